@@ -1,0 +1,11 @@
+"""Operators for preparing training text at large scale.
+
+Nothing outside this package imports it.  Functions that run in Python workers
+are pickled by value, so executors need no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
