@@ -55,7 +55,11 @@ def list_array(values: np.ndarray, sizes, kind: pa.DataType) -> pa.Array:
 
 
 def add_columns(
-    df: DataFrame, fields: list[T.StructField], column: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]
+    df: DataFrame,
+    fields: list[T.StructField],
+    column: str,
+    make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
+    max_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Adds ``fields``, computed batch by batch from string column ``column``.
 
@@ -71,7 +75,7 @@ def add_columns(
     def run(source):
         compute = make()
         for whole in source:
-            for batch in pieces(whole, used):
+            for batch in pieces(whole, used, max_bytes):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n) for n in names] + compute(batch), names=names + [f.name for f in fields]
                 )
