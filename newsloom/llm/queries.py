@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, languages, sentencepieces
+from . import decontamination, languages, licences, sentencepieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_decode(docs, piece_model_path()))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
+        "op7_licence_scan": op7_licence_scan,
         "op8_language_id": op8_language_id,
     }
 
