@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, languages, licences, sentencepieces
+from . import decontamination, jaccard, languages, licences, sentencepieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.report(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
         "op7_licence_scan": op7_licence_scan,
         "op8_language_id": op8_language_id,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
