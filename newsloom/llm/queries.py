@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, languages, licences, sentencepieces
+from . import decontamination, jaccard, languages, licences, sentencepieces, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_decode(docs, piece_model_path()))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    kept = substrings.deduplicate(docs)
+    return kept.select("doc_id", (F.col("n_removed") > 0).alias("has_repeats"), "n_removed", "removed", "n_chars", "text")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_substring_dedup": op3_substring_dedup,
         "op7_licence_scan": op7_licence_scan,
         "op8_language_id": op8_language_id,
         "op10_ngram_jaccard": op10_ngram_jaccard,
