@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, languages, licences, sentencepieces, substrings
+from . import decontamination, jaccard, languages, licences, neighbours, sentencepieces, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", (F.col("n_removed") > 0).alias("has_repeats"), "n_removed", "removed", "n_chars", "text")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_neighbours": op4_neighbours,
         "op7_licence_scan": op7_licence_scan,
         "op8_language_id": op8_language_id,
         "op10_ngram_jaccard": op10_ngram_jaccard,
