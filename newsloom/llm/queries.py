@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, languages, licences, neighbours, pages, sentencepieces, substrings
+from . import decontamination, jaccard, languages, licences, neighbours, pages, sentencepieces, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
@@ -59,6 +66,7 @@ def queries() -> dict:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_neighbours": op4_neighbours,
+        "op5_token_counts": op5_token_counts,
         "op6_html_extraction": op6_html_extraction,
         "op7_licence_scan": op7_licence_scan,
         "op8_language_id": op8_language_id,
