@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, languages, licences, neighbours, pages, sentencepieces, substrings, token_counts
+from . import decontamination, jaccard, languages, licences, neighbours, pages, quality, sentencepieces, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def queries() -> dict:
         "op6_html_extraction": op6_html_extraction,
         "op7_licence_scan": op7_licence_scan,
         "op8_language_id": op8_language_id,
+        "op9_quality": op9_quality,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
