@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pieces
-from .shared import cut
+from .shared import Workspace, cut
 from .shingles import Shingler
 
 #: Columns with more rows than this are worked off by leading documents.
@@ -194,7 +194,7 @@ def classes(described: DataFrame) -> DataFrame:
     return rows.join(least, ["b", "c", "n"]).select(F.col("a").alias("doc"), "rep")
 
 
-def entries(docs: DataFrame, described: DataFrame) -> DataFrame:
+def entries(docs: DataFrame, described: DataFrame, space: Workspace) -> DataFrame:
     """key, rep, n, pos, rows: leading entries of the classes in columns that several classes share."""
     dealt = leading_entries(docs, frequent(described))
     # frequent columns surely have many rows: these are spread, the others' rows meet in one place
@@ -203,9 +203,11 @@ def entries(docs: DataFrame, described: DataFrame) -> DataFrame:
     both = dealt.mapInArrow(_drop_single, dealt.schema)
     moved = classes(described).filter("doc <> rep").distinct()
     own_rep = both.join(moved, "doc", "left").select("key", F.coalesce("rep", "doc").alias("rep"), "n", "pos")
-    grouped = cut(own_rep.groupBy("key", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+    grouped = space.keep(own_rep.groupBy("key", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     sizes = grouped.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    return cut(grouped.join(sizes, "key"))
+    out = space.keep(grouped.join(sizes, "key"))
+    space.drop(grouped)
+    return out
 
 
 def _room(na, pa_, nb, pb):
@@ -236,17 +238,29 @@ def discard(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _pack(values: np.ndarray) -> bytes:
+    """The upper six bytes of each number: two sets of thousands agree by chance once in 10^7 pairs."""
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that link, by their whole sets."""
 
     def run(source):
         for batch in source:
-            held = [
-                9 * len(np.intersect1d(x := np.frombuffer(u, np.uint64), y := np.frombuffer(v, np.uint64), True)) >= 4 * (len(x) + len(y))
-                for u, v in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
-            ]
+            held = []
+            for u, v in zip(batch.column("sa"), batch.column("sb")):
+                x, y = _unpack(u.as_py()), _unpack(v.as_py())
+                held.append(9 * len(np.intersect1d(x, y, True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
+    sets = _whole_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
     x, y = (sets.select(F.col("rep").alias(s), F.col("shingles").alias("s" + s)) for s in "ab")
     return pairs.join(y, "b").join(x, "a").mapInArrow(run, "a long, b long")
 
@@ -269,7 +283,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, shingles of the wanted documents.  A bitmap of fixed size spares most other texts the way."""
+    """rep, shingles of the wanted documents and a few more: a bitmap of fixed size holds most other texts back."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS)).cast("long")
     maps = (
         wanted.select((spot("rep") + 1).alias("p"))
@@ -288,24 +302,23 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for whole in source:
             whole = whole.filter(pa.array(table[whole.column("spot").to_numpy()]))
             for batch in pieces(whole, "text", PIECE):
-                sets = [s.tobytes() for s in shingler.sets(batch.column("text"))]
+                sets = [_pack(s) for s in shingler.sets(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     used = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").dropna()
-    made = used.withColumn("spot", spot("rep")).mapInArrow(run, "rep long, shingles binary")
-    return cut(made.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]))
+    return used.withColumn("spot", spot("rep")).mapInArrow(run, "rep long, shingles binary")
 
 
 def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame | None:
     """node, label of every class that links with another one; None if no two share a leading column."""
-    shared = entries(docs, described)
+    space = Workspace(docs.sparkSession)
+    shared = entries(docs, described, space)
+    space.tidy()
     if shared.isEmpty():
         return None
     rows = shared.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
-    short, long = shared.filter(F.col("rows") <= LONG), cut(shared.filter(F.col("rows") > LONG))
-    pairs = cut(discard(_multiply(short, short.filter("true"), False), rows))
-    wanted = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct())
-    sets = _whole_sets(docs, wanted)
+    short, long = shared.filter(F.col("rows") <= LONG), space.keep(shared.filter(F.col("rows") > LONG))
+    pairs = space.keep(discard(_multiply(short, short.filter("true"), False), rows))
     labels, links = None, []
     for turn in range(ROUNDS + 1):
         open_pairs, open_long = _across(pairs, labels), _labelled(long, labels)
@@ -321,13 +334,16 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame | None:
             chosen = chosen.union(discard(_multiply(leaders, open_long, True), rows)).distinct()
         else:
             chosen = open_pairs.union(discard(_multiply(open_long, open_long.filter("true"), True), rows)).distinct()
-        found = cut(verify(chosen, sets))
+        chosen = cut(chosen)
+        found = cut(verify(chosen, docs))
+        space.tidy()
         if found.isEmpty():
             if turn == ROUNDS or (turn == 0 and long.isEmpty() and pairs.isEmpty()):
                 break
             continue
         links.append(found)
         labels = components(reduce(DataFrame.union, links))
+    space.drop(shared, long, pairs)
     return labels
 
 

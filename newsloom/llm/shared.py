@@ -1,16 +1,50 @@
-"""Checkpoints in the folder that the cluster names."""
+"""Tables written to the folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir`` and continues from there; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoints ``df``; a folder of its own is set only where the session has none."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Workspace:
+    """Compressed tables for the intermediate results of one operator, which it drops itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.number = spark, f"{_folder(spark)}/{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{self.number}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}")
+        out.workspace_number = self.number
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            self._delete(f"{self.path}/{table.workspace_number}")
+
+    def tidy(self) -> None:
+        """Lets Spark's cleaner see that shuffles of finished steps are no longer in use."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
