@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import WORD_BYTES, pieces, raw_texts
+from .shared import cut
 
 LEAST_WORDS = 8
 LINE_WORDS = 4
@@ -132,7 +133,8 @@ def removals(docs: DataFrame) -> DataFrame:
         .filter("least <> most OR any_again")
         .select("d1", "d2", "least")
     )
-    gone = found.join(repeated, ["d1", "d2"]).filter("doc > least OR again")
+    # written first, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
+    gone = found.join(cut(repeated), ["d1", "d2"]).filter("doc > least OR again")
     return gone.groupBy("doc", "sig").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
