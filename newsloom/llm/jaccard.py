@@ -32,22 +32,22 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .batches import pieces
 from .shared import Workspace, cut
 from .shingles import Shingler
 
 #: Columns with more rows than this are worked off by leading documents.
 LONG = 32
-LEADERS = 3
+LEADERS = 4
 ROUNDS = 2
 #: The frequent shingles that are told apart for the order of columns; any choice gives the same links.
 FREQUENT_KEPT = 1 << 18
 FREQUENT = 32
 PIECE = 2 << 20
-_BITS = 1 << 25
 
 
 def _least(n):
@@ -217,12 +217,24 @@ def _room(na, pa_, nb, pb):
 
 
 def _multiply(left: DataFrame, right: DataFrame, labelled: bool) -> DataFrame:
-    """Candidate pairs a < b of rows that share a column."""
+    """rep1, rep2: rows of the left and right block that share a column, for each such column."""
     x = left.select("key", *[F.col(c).alias(c + "1") for c in left.columns if c not in ("key", "rows")])
     y = right.select("key", *[F.col(c).alias(c + "2") for c in right.columns if c not in ("key", "rows")])
     pairs = x.join(y, "key").filter(_room(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    pairs = pairs.filter("label1 <> label2" if labelled else "rep1 <> rep2")
-    return pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    pairs = pairs.filter("label1 <> label2" if labelled else "rep1 <> rep2").select("rep1", "rep2")
+    return pairs
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    x, y = pairs.columns
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _followers(leaders: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
+    """Each row with the LEADERS first (by hash) of all the leaders in its columns."""
+    met = _multiply(leaders, rows, True).distinct()
+    order = Window.partitionBy("rep2").orderBy(F.xxhash64("rep1", F.lit(turn)), "rep1")
+    return _unordered(met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("rep1", "rep2"))
 
 
 def discard(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -284,21 +296,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep, shingles of the wanted documents and a few more: a bitmap of fixed size holds most other texts back."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS)).cast("long")
-    maps = (
-        wanted.select((spot("rep") + 1).alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("k"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-        .collect()
-    )
-    table = np.zeros(_BITS, bool)
-    for k, bits in maps:
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")) + (k - 1) * 32768
-        table[at] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted, "rep"))
 
     def run(source):
-        shingler, table = Shingler(), np.unpackbits(shared.value).view(bool)
+        shingler, table = Shingler(), bitmaps.unpack(shared.value)
         for whole in source:
             whole = whole.filter(pa.array(table[whole.column("spot").to_numpy()]))
             for batch in pieces(whole, "text", PIECE):
@@ -306,7 +307,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     used = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").dropna()
-    return used.withColumn("spot", spot("rep")).mapInArrow(run, "rep long, shingles binary")
+    return used.withColumn("spot", bitmaps.spot("rep")).mapInArrow(run, "rep long, shingles binary")
 
 
 def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame | None:
@@ -318,7 +319,7 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         return None
     rows = shared.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
     short, long = shared.filter(F.col("rows") <= LONG), space.keep(shared.filter(F.col("rows") > LONG))
-    pairs = space.keep(discard(_multiply(short, short.filter("true"), False), rows))
+    pairs = space.keep(discard(_unordered(_multiply(short, short.filter("true"), False)), rows))
     labels, links = None, []
     for turn in range(ROUNDS + 1):
         open_pairs, open_long = _across(pairs, labels), _labelled(long, labels)
@@ -326,14 +327,11 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame | None:
             ends = open_pairs.select("a", "b").union(open_pairs.select("b", "a")).toDF("u", "v")
             first = ends.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v"))["v"].alias("v"))
             chosen = first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-            lead = [
-                F.min(F.struct(F.xxhash64("rep", F.lit(turn), F.lit(k)).alias("h"), "rep", "n", "pos", "label")) for k in range(LEADERS)
-            ]
-            leaders = open_long.groupBy("key").agg(F.array(*lead).alias("l")).select("key", F.explode("l").alias("l"))
-            leaders = leaders.select("key", "l.rep", "l.n", "l.pos", "l.label").distinct()
-            chosen = chosen.union(discard(_multiply(leaders, open_long, True), rows)).distinct()
+            order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
+            leaders = open_long.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).drop("r")
+            chosen = chosen.union(discard(_followers(leaders, open_long, turn), rows)).distinct()
         else:
-            chosen = open_pairs.union(discard(_multiply(open_long, open_long.filter("true"), True), rows)).distinct()
+            chosen = open_pairs.union(discard(_unordered(_multiply(open_long, open_long.filter("true"), True)), rows)).distinct()
         chosen = cut(chosen)
         found = cut(verify(chosen, docs))
         space.tidy()
