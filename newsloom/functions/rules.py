@@ -37,8 +37,9 @@ def tiered(folded: Column, strong=V.SPORT_STRONG, team=V.SPORT_TEAM, context=V.S
     return let(folded, use)
 
 
-def is_sports(title, summary, content, source="") -> Column:
-    return tiered(joined(F.lit("") if source == "" else source, title, summary, content))
+def is_sports(title, summary, content, source=None) -> Column:
+    """Stored flags leave the source's name out; the selection's filter counts it."""
+    return tiered(joined(*([] if source is None else [source]), title, summary, content))
 
 
 def is_low_value(title, summary, patterns=V.LOW_VALUE) -> Column:

@@ -97,12 +97,12 @@ def word_count(c) -> Column:
 
 
 def sentences(c) -> Column:
-    return F.filter(F.transform(F.split(text(c), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text(c), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def paragraphs(c) -> Column:
     """Split at line ends, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text(c), r"\n+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text(c), r"\n+"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def safe_stem(c) -> Column:
@@ -223,7 +223,7 @@ def bounded_excerpt(title, c, source, most: int) -> Column:
 
 def pair_sentences(c) -> Column:
     """Several paragraphs stay; of one with more than three sentences each two become a paragraph."""
-    parts = F.filter(F.transform(F.split(text(c), r"\n{2,}"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text(c), r"\n{2,}"), lambda x: F.trim(x)), lambda p: p != "")
     split = F.split(F.trim(text(c)), r"(?<=[.!?])\s+")
     twos = F.transform(F.sequence(F.lit(1), F.size(split), F.lit(2)), lambda i: F.trim(F.array_join(F.slice(split, i, F.lit(2)), " ")))
     return (

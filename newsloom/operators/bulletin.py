@@ -128,7 +128,7 @@ def credited(transcript, sources: Column, language: str, repair: bool = True) ->
 
 def repeated_opening(transcript) -> Column:
     """The first three words that open at least four paragraphs of eight words or more; the first such opening."""
-    parts = F.filter(F.transform(F.split(text(transcript), "\n\n"), F.trim), lambda p: X.word_count(p) >= 8)
+    parts = F.filter(F.transform(F.split(text(transcript), "\n\n"), lambda x: F.trim(x)), lambda p: X.word_count(p) >= 8)
     strip = lambda w: F.lower(F.regexp_replace(w, "^[ ,;:.!?]+|[ ,;:.!?]+$", ""))
     openings = F.transform(parts, lambda p: F.filter(F.transform(F.slice(X.words(p), 1, 3), strip), lambda w: w != ""))
     openings = F.transform(F.filter(openings, lambda o: F.size(o) >= 2), lambda o: F.array_join(o, " "))
