@@ -41,7 +41,7 @@ from .shared import Workspace, cut
 from .shingles import Shingler
 
 #: Columns with more rows than this are worked off by leading documents.
-LONG = 32
+LONG = 4
 LEADERS = 4
 ROUNDS = 2
 #: The frequent shingles that are told apart for the order of columns; any choice gives the same links.
@@ -187,21 +187,20 @@ def _drop_single(source):
         yield batch.filter(pa.array(emit))
 
 
-def classes(described: DataFrame) -> DataFrame:
-    """doc, rep: for every document with a set, the smallest id with the same set."""
-    rows = described.filter("kind = 0 AND n > 0")
-    least = rows.groupBy("b", "c", "n").agg(F.min("a").alias("rep"))
-    return rows.join(least, ["b", "c", "n"]).select(F.col("a").alias("doc"), "rep")
+def representatives(described: DataFrame) -> DataFrame:
+    """b, c, n, rep: the smallest id with each set.  Written, so that joins with it can split a large group of copies."""
+    return cut(described.filter("kind = 0 AND n > 0").groupBy("b", "c", "n").agg(F.min("a").alias("rep")))
 
 
-def entries(docs: DataFrame, described: DataFrame, space: Workspace) -> DataFrame:
+def entries(docs: DataFrame, described: DataFrame, least: DataFrame, space: Workspace) -> DataFrame:
     """key, rep, n, pos, rows: leading entries of the classes in columns that several classes share."""
     dealt = leading_entries(docs, frequent(described))
     # frequent columns surely have many rows: these are spread, the others' rows meet in one place
     salt = F.when(F.col("own"), F.pmod(F.xxhash64("doc"), F.lit(256))).otherwise(0)
     dealt = dealt.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key")
     both = dealt.mapInArrow(_drop_single, dealt.schema)
-    moved = classes(described).filter("doc <> rep").distinct()
+    moved = described.filter("kind = 0 AND n > 0").join(least, ["b", "c", "n"])
+    moved = moved.select(F.col("a").alias("doc"), "rep").filter("doc <> rep").distinct()
     own_rep = both.join(moved, "doc", "left").select("key", F.coalesce("rep", "doc").alias("rep"), "n", "pos")
     grouped = space.keep(own_rep.groupBy("key", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     sizes = grouped.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
@@ -310,10 +309,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return used.withColumn("spot", bitmaps.spot("rep")).mapInArrow(run, "rep long, shingles binary")
 
 
-def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame | None:
+def link_classes(docs: DataFrame, described: DataFrame, least: DataFrame) -> DataFrame | None:
     """node, label of every class that links with another one; None if no two share a leading column."""
     space = Workspace(docs.sparkSession)
-    shared = entries(docs, described, space)
+    shared = entries(docs, described, least, space)
     space.tidy()
     if shared.isEmpty():
         return None
@@ -364,11 +363,11 @@ def link(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     described = cut(describe(docs))
     rows = described.filter("kind = 0")
-    least = rows.filter("n > 0").groupBy("b", "c", "n").agg(F.min("a").alias("rep"))
-    labels = link_classes(docs, described)
+    least = representatives(described)
+    labels = link_classes(docs, described, least)
     if labels is not None:
         least = least.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        least = least.select("b", "c", "n", F.coalesce("label", "rep").alias("component_id"))
+        least = cut(least.select("b", "c", "n", F.coalesce("label", "rep").alias("component_id")))
     else:
         least = least.select("b", "c", "n", F.col("rep").alias("component_id"))
     return rows.join(least, ["b", "c", "n"], "left").select(
