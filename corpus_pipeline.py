@@ -31,13 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that five-word shingles link at a Jaccard similarity of 0.8: the smallest id.
 
-    Rows that repeat a doc_id count as one document, of which the first text stays; rows without
-    doc_id stay if no document with one has their text's group.
+    Rows that repeat a doc_id count as one document, of which one text stays; rows without doc_id
+    cannot be named in a group and stay.
     """
-    groups = jaccard.link(docs)
-    stay = groups.filter(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    named = docs.filter(F.col("doc_id").isNotNull()).join(stay.select("doc_id").dropna().distinct(), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns)
+    stay = jaccard.link(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return named.union(docs.filter(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
