@@ -1,6 +1,7 @@
 """Removal of passages that occur before, by hashing their units.
 
-A text is cut into sentences (``. ! ?`` or a line's end closes one) and normalised to
+A text is cut into sentences (``. ! ?`` or a line's end closes one; one of more than
+``LONG_WORDS`` words is also cut behind words that their hash picks) and normalised to
 its lower-cased words.  Lines or paragraphs alone would miss a passage that stands
 inside another document's line, so a unit is the shortest run of whole sentences that
 has ``LEAST_WORDS`` words, one from each sentence on; a whole line of ``LINE_WORDS`` to
@@ -32,18 +33,34 @@ from .shared import cut
 
 LEAST_WORDS = 8
 LINE_WORDS = 4
+LONG_WORDS = 24
+#: One word in so many ends a part of a long sentence.
+PART = 8
 _LAST = (1 << 63) - 1
 
 #: As WORD_BYTES, but ends of sentences become \\x01 and ends of lines stay.
 _CLEAN = bytes(10 if c == 10 else 1 if c in b".!?" else WORD_BYTES[c] for c in range(256))
 
 
+def parts(sentence: bytes) -> list[bytes]:
+    """A long sentence in parts that depend on its words alone; their bytes add up to it."""
+    if sentence.count(b" ") < LONG_WORDS or len(words := sentence.split(b" ")) - words.count(b"") <= LONG_WORDS:
+        return [sentence]
+    out, begin = [], 0
+    for k, word in enumerate(words[:-1], 1):
+        if word and xxhash.xxh32_intdigest(word) % PART == 0:
+            out.append(b" ".join(words[begin:k]) + b" ")
+            begin = k
+    return [*out, b" ".join(words[begin:])]
+
+
 def sentences(raw: bytes) -> tuple[list[bytes], list[int], list[tuple[int, int]]]:
     """Normalised sentences, their numbers of words, and the (first, last) sentence of each line."""
     found, lines = [], []
     for line in raw.translate(_CLEAN).split(b"\n"):
         first = len(found)
-        found += line.split(b"\x01")
+        for sentence in line.split(b"\x01"):
+            found += parts(sentence)
         lines.append((first, len(found) - 1))
     found = [b" ".join(s.split()) for s in found]
     return found, [s.count(b" ") + 1 if s else 0 for s in found], lines
@@ -51,7 +68,11 @@ def sentences(raw: bytes) -> tuple[list[bytes], list[int], list[tuple[int, int]]
 
 def bounds(raw: bytes) -> list[int]:
     """Byte offsets between the sentences of :func:`sentences`, each with what closes it."""
-    sizes = [len(s) + 1 for line in raw.translate(_CLEAN).split(b"\n") for s in line.split(b"\x01")]
+    sizes = []
+    for line in raw.translate(_CLEAN).split(b"\n"):
+        for sentence in line.split(b"\x01"):
+            sizes += map(len, parts(sentence))
+            sizes[-1] += 1
     ends = np.cumsum(sizes).tolist()
     return [0, *ends[:-1], len(raw)]
 

@@ -1,9 +1,23 @@
 import random
 import re
 
+import xxhash
+
 from newsloom.llm import substrings
 
 
+def brute_parts(text, a, b):
+    """A sentence of more than 24 words, cut behind each word that its hash picks."""
+    end = b - 1 if b > a and text[b - 1] in ".!?\n" else b
+    found = [m.span() for m in re.finditer(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text[a:end])]
+    if len(found) <= 24:
+        return [(a, b)]
+    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()
+    cuts = [a + y + 1 for x, y in found if a + y < end and xxhash.xxh32_intdigest(low(text[a + x : a + y])) % 8 == 0]
+    edges = [a, *cuts, b]
+    return [(x, y) for x, y in zip(edges, edges[1:])]
+
+
 def brute_units(text):
     """(normalised words, first character, end) of each unit, written plainly."""
     spans, start = [], 0
@@ -12,6 +26,7 @@ def brute_units(text):
             spans.append((start, k + 1))
             start = k + 1
     spans.append((start, len(text)))
+    spans = [piece for span in spans for piece in brute_parts(text, *span)]
     words = [re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b])) for a, b in spans]
     out = []
     for i in range(len(spans)):
@@ -68,6 +83,8 @@ def corpus():
         if doc % 4 == 0:
             parts.insert(rng.randrange(len(parts)), "\n" + rng.choice(lines) + "\n")
         rows.append((doc, rng.choice([" ", "\n"]).join(parts)))
+    long = " ".join(f"lang{rng.randrange(40)}" for _ in range(90))
+    rows += [(300, "Anfang " + long + ", " + long[:200] + " Ende"), (301, "Etwas anderes " + long + " und mehr"), (302, long)]
     rows.append((500, "Same sentence with more than eight words in it. " * 5))
     rows.append((501, "a. " * 40))
     return rows
