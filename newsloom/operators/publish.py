@@ -43,6 +43,7 @@ def export_rows(articles: DataFrame, limit: int = 400, variants: dict | None = N
     return kept.select(
         "id",
         "title",
+        *[c for c in ("url",) if c in articles.columns],
         F.col("source_name").alias("source"),
         F.coalesce(F.nullif(text("region"), F.lit("")), F.lit("general")).alias("region"),
         F.coalesce(F.nullif(text("language"), F.lit("")), F.lit("unknown")).alias("language"),

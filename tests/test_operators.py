@@ -245,7 +245,7 @@ def test_export(spark):
     import json
 
     doc = json.loads(publish.export_document(publish.export_rows(a, variants={"german": True}), "now").first().value)
-    assert doc["count"] == 2 and doc["languages"] == ["de", "fr"] and len(doc["articles"]) == 2
+    assert doc["articles"][0]["url"] == "u" and doc["count"] == 2 and doc["languages"] == ["de", "fr"] and len(doc["articles"]) == 2
 
 
 def test_schedule(spark):
