@@ -215,13 +215,12 @@ def _room(na, pa_, nb, pb):
     return (9 * F.least(na - pa_, nb - pb) >= total) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
 
 
-def _multiply(left: DataFrame, right: DataFrame, labelled: bool) -> DataFrame:
+def _multiply(left: DataFrame, right: DataFrame, labelled: bool, *more: str) -> DataFrame:
     """rep1, rep2: rows of the left and right block that share a column, for each such column."""
     x = left.select("key", *[F.col(c).alias(c + "1") for c in left.columns if c not in ("key", "rows")])
     y = right.select("key", *[F.col(c).alias(c + "2") for c in right.columns if c not in ("key", "rows")])
     pairs = x.join(y, "key").filter(_room(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    pairs = pairs.filter("label1 <> label2" if labelled else "rep1 <> rep2").select("rep1", "rep2")
-    return pairs
+    return pairs.filter("label1 <> label2" if labelled else "rep1 <> rep2").select("rep1", "rep2", *more)
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -229,10 +228,13 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _followers(leaders: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
-    """Each row with the LEADERS first (by hash) of all the leaders in its columns."""
-    met = _multiply(leaders, rows, True).distinct()
-    order = Window.partitionBy("rep2").orderBy(F.xxhash64("rep1", F.lit(turn)), "rep1")
+def _followers(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each row with some leaders of its columns: those that have the fewest columns of their own, which copies resemble most."""
+    own = Window.partitionBy("key").orderBy("own", F.xxhash64("rep"), "rep")
+    leaders = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= LEADERS * (turn + 1))
+    leaders = leaders.filter(F.col("r") > LEADERS * turn).drop("r")
+    met = _multiply(leaders, rows, True, "own1").distinct()
+    order = Window.partitionBy("rep2").orderBy("own1", F.xxhash64("rep1"), "rep1")
     return _unordered(met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("rep1", "rep2"))
 
 
@@ -317,7 +319,10 @@ def link_classes(docs: DataFrame, described: DataFrame, least: DataFrame) -> Dat
     if shared.isEmpty():
         return None
     rows = shared.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
-    short, long = shared.filter(F.col("rows") <= LONG), space.keep(shared.filter(F.col("rows") > LONG))
+    short, long = shared.filter(F.col("rows") <= LONG), shared.filter(F.col("rows") > LONG)
+    # the part of a row's columns that comes before the first long one: rare columns of its own
+    own = long.groupBy("rep").agg((F.min("pos") / F.first("n")).alias("own"))
+    long = space.keep(long.join(own, "rep"))
     pairs = space.keep(discard(_unordered(_multiply(short, short.filter("true"), False)), rows))
     labels, links = None, []
     for turn in range(ROUNDS + 1):
@@ -326,9 +331,7 @@ def link_classes(docs: DataFrame, described: DataFrame, least: DataFrame) -> Dat
             ends = open_pairs.select("a", "b").union(open_pairs.select("b", "a")).toDF("u", "v")
             first = ends.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v"))["v"].alias("v"))
             chosen = first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-            order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
-            leaders = open_long.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).drop("r")
-            chosen = chosen.union(discard(_followers(leaders, open_long, turn), rows)).distinct()
+            chosen = chosen.union(discard(_followers(open_long, turn), rows)).distinct()
         else:
             chosen = open_pairs.union(discard(_unordered(_multiply(open_long, open_long.filter("true"), True)), rows)).distinct()
         chosen = cut(chosen)
