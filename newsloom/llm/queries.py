@@ -83,4 +83,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.REPORT_SQL,
+        "op10_ngram_jaccard": jaccard.SQL,
     }
