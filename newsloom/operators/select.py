@@ -58,9 +58,12 @@ def in_language(articles: DataFrame, code: str) -> DataFrame:
     return articles.filter((F.col("region") != "english") & fits)
 
 
-def for_topic(articles: DataFrame, topic: str | None, minimum: int = 4, topics=V.TOPICS) -> DataFrame:
-    """Articles relevant to the topic, or all where too few are.  The count is over the given rows, which callers bound."""
-    every = Window.partitionBy(F.lit(0))
+def for_topic(articles: DataFrame, topic: str | None, minimum: int = 4, topics=V.TOPICS, pool: str | None = None) -> DataFrame:
+    """Articles relevant to the topic, or all where too few are.
+
+    The count is over the given rows, which callers bound, or over those with the same value in column ``pool``.
+    """
+    every = Window.partitionBy(F.col(pool) if pool else F.lit(0))
     if topic == "international_english":
         n = F.count(F.when(F.col("region") == "english", 1)).over(every)
         return articles.withColumn("_n", n).filter((F.col("region") == "english") | (F.col("_n") == 0)).drop("_n")
@@ -178,19 +181,18 @@ def selection(
     child = style.key == "enfant"
     english = style.language == "en"
 
-    def fit(df: DataFrame) -> DataFrame:
-        df = without_sports(df, **sets.get("sports", {}))
-        df = without_low_value(df, sets.get("low_value", V.LOW_VALUE))
-        df = in_language(df, style.language)
-        df = for_children(df, sets.get("child", V.CHILD_UNSUITABLE)) if child else df
-        return for_topic(df, style.key, max(3, target // 3), topics)
-
-    chosen = numbered(fit(top(candidates(articles, english), pool, *candidate_order())), *candidate_order())
-    late = fit(top(recent(articles, english), pool, *recent_order()))
-    late = numbered(late.join(chosen.select("id"), "id", "left_anti"), *recent_order())
-    few = chosen.agg(F.count("*").alias("_n"))
-    late = late.join(F.broadcast(few), F.col("_n") < target).drop("_n")  # one row
-    both = chosen.withColumn("part", F.lit(0)).unionByName(late.withColumn("part", F.lit(1)))
+    # both pools go through the filters together, so that each is read and filtered once
+    first = numbered(top(candidates(articles, english), pool, *candidate_order()), *candidate_order()).withColumn("part", F.lit(0))
+    late = numbered(top(recent(articles, english), pool, *recent_order()), *recent_order()).withColumn("part", F.lit(1))
+    both = without_sports(first.unionByName(late), **sets.get("sports", {}))
+    both = without_low_value(both, sets.get("low_value", V.LOW_VALUE))
+    both = in_language(both, style.language)
+    both = for_children(both, sets.get("child", V.CHILD_UNSUITABLE)) if child else both
+    both = for_topic(both, style.key, max(3, target // 3), topics, "part")
+    # recent ones fill up only where candidates are too few, and only with others
+    both = both.withColumn("_first", F.min("part").over(Window.partitionBy("id")))
+    both = both.withColumn("_n", F.count(F.when(F.col("part") == 0, 1)).over(Window.partitionBy(F.lit(0))))
+    both = both.filter((F.col("part") == F.col("_first")) & ((F.col("part") == 0) | (F.col("_n") < target))).drop("_first", "_n")
     both = numbered(both, F.asc("part"), F.asc("ord")).drop("part")
     both = rank(both, "non_anxiogene" if child else style.key, topics, sets.get("anxiety", V.ANXIETY), sets.get("calm", V.CALM))
     both = unique_stories(both)
