@@ -29,7 +29,9 @@ from .batches import add_columns, list_array
 
 MARK = "▁"
 #: Distinct units that a worker keeps; beyond that its table starts anew.
-UNITS_KEPT = 600_000
+UNITS_KEPT = 400_000
+#: Bytes of text encoded at once.
+PIECE = 2 << 20
 #: Units of up to so many characters have their agenda in an array, longer ones in a heap.
 SHORT = 48
 #: Rank of a pair that forms no piece.
@@ -287,7 +289,7 @@ def encode_decode(
         T.StructField(decoded, T.StringType()),
         T.StructField(agrees, T.BooleanType()),
     ]
-    return add_columns(docs, fields, text, make)
+    return add_columns(docs, fields, text, make, PIECE)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
