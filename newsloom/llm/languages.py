@@ -33,6 +33,8 @@ MOST_LANGUAGES = 1000
 ALPHA = 0.5
 ROUNDS = 12
 STEP = 3.0
+#: Bytes of text worked on at once.
+PIECE = 2 << 20
 
 #: 0 for what is no letter; 1-26 for a-z in either case; above for every byte of other characters.
 _CLASS = np.array(
@@ -62,7 +64,7 @@ def count_trigrams(labelled: DataFrame, text: str = "text", lang: str = "lang")
     def run(source):
         held: dict[str, np.ndarray] = {}
         for whole in source:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 names = batch.column("lang").dictionary_encode()
                 codes, first, row = word_trigrams(batch.column("text"))
                 if not len(codes):
@@ -188,7 +190,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         T.StructField("score", T.DoubleType()),
         T.StructField("languages", T.ArrayType(one)),
     ]
-    return add_columns(docs, fields, text, make, max(1 << 16, min(8 << 20, (32 << 20) // max(1, len(names)))))
+    return add_columns(docs, fields, text, make, max(1 << 16, min(PIECE, (16 << 20) // max(1, len(names)))))
 
 
 def held_out(doc_id):
