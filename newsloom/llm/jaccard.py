@@ -232,7 +232,8 @@ def _followers(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs of each row with some leaders of its columns: those that have the fewest columns of their own, which copies resemble most."""
     own = Window.partitionBy("key").orderBy("own", F.xxhash64("rep"), "rep")
     leaders = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= LEADERS * (turn + 1))
-    leaders = leaders.filter(F.col("r") > LEADERS * turn).drop("r")
+    # written first: a join of plain exchanges, in which Spark can split a long column
+    leaders = cut(leaders.filter(F.col("r") > LEADERS * turn).drop("r"))
     met = _multiply(leaders, rows, True, "own1").distinct()
     order = Window.partitionBy("rep2").orderBy("own1", F.xxhash64("rep1"), "rep1")
     return _unordered(met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("rep1", "rep2"))
