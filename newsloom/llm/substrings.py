@@ -21,6 +21,8 @@ The grouping is an aggregate with partial results and a join that splits hot dig
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,9 +35,9 @@ from .shared import cut
 
 LEAST_WORDS = 8
 LINE_WORDS = 4
-LONG_WORDS = 24
+LONG_WORDS = 32
 #: One word in so many ends a part of a long sentence.
-PART = 8
+PART = 16
 _LAST = (1 << 63) - 1
 
 #: As WORD_BYTES, but ends of sentences become \\x01 and ends of lines stay.
@@ -48,7 +50,7 @@ def parts(sentence: bytes) -> list[bytes]:
         return [sentence]
     out, begin = [], 0
     for k, word in enumerate(words[:-1], 1):
-        if word and xxhash.xxh32_intdigest(word) % PART == 0:
+        if word and zlib.crc32(word) % PART == 0:
             out.append(b" ".join(words[begin:k]) + b" ")
             begin = k
     return [*out, b" ".join(words[begin:])]
