@@ -10,6 +10,14 @@ earliest ranked occurrence (smallest doc_id, then place in the text) stays, the
 sentences of every other one go, with their offsets in the original text retained.
 Shorter sentences go only as part of a unit.
 
+Units miss what lies between two cuts of a long sentence, so with ``run_words`` every run of so
+many words that occurs before goes too, wherever it begins.  By winnowing, the smallest hash of
+``GRAM`` words in each window of ``run_words`` words is an anchor: equal windows have equal
+anchors.  A bitmap of the anchors that repeat (bounded; false hits cost only work) holds most
+windows back; the 64-bit digests of all others are grouped as the units are.  A longer repeated
+passage is the union of its windows and so goes from its first word to its last, with what
+follows that up to the next word.
+
 Null texts stay null and empty texts empty, with nothing removed.  Rows without doc_id
 rank behind all others.  Rows that share a doc_id take nothing from each other: they
 count as one document.  Occurrences of a unit that overlap in one text count once.  An
@@ -30,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import WORD_BYTES, pieces, raw_texts
+from . import bitmaps
+from .batches import WORD_BYTES, flat_bytes, pieces, raw_texts
 from .shared import cut
 
 LEAST_WORDS = 8
@@ -38,6 +47,11 @@ LINE_WORDS = 4
 LONG_WORDS = 32
 #: One word in so many ends a part of a long sentence.
 PART = 16
+#: Repeated passages of over 50 words go whole.
+RUN_WORDS = 51
+GRAM = 16
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
 _LAST = (1 << 63) - 1
 
 #: As WORD_BYTES, but ends of sentences become \\x01 and ends of lines stay.
@@ -147,17 +161,142 @@ def _signature(text):
     return F.xxhash64(text)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc, sig, gone: the (first, last) sentences of each text that occur before."""
-    found = unit_table(docs)
-    repeated = (
-        found.groupBy("d1", "d2")
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a column of longs."""
+    turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
+    h = (np.uint64(50) + _P5) ^ turn(values * _P2, 31) * _P1
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A mixed polynomial hash of values[begin:end] for each pair, the same wherever they stand."""
+    n = len(values)
+    powers = lambda b: np.multiply.accumulate(np.append(np.uint64(1), np.full(n, b, np.uint64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers(base)[:n], dtype=np.uint64)))
+    return _mixed((total[end] - total[begin]) * powers(pow(base, -1, 1 << 64))[begin])
+
+
+def word_starts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's hash and row, and each row's first word (rows + 1)."""
+    data, bounds = flat_bytes(column)
+    low = np.frombuffer(WORD_BYTES, np.uint8)[data]
+    inside = low != 32
+    edge = np.zeros(len(low) + 1, bool)
+    edge[bounds] = True
+    begin = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    words = _sums(low.astype(np.uint64), begin, end, 0x9FB21C651E98DF25)
+    return words, np.searchsorted(bounds, begin, "right") - 1, np.searchsorted(begin, bounds)
+
+
+def windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word (in its row), digest and anchor of each run of ``size`` words."""
+    words, row, first = word_starts(column)
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(row[:n] == row[size - 1 :])
+    spread = size - GRAM + 1
+    grams = np.arange(len(words) - GRAM + 1)
+    least, width = _sums(words, grams, grams + GRAM, 0xD6E8FEB86659FD93), 1
+    while width < spread:
+        step = min(width, spread - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return row[at], at - first[row[at]], _sums(words, at, at + size, 0xA0761D6478BD642F), least[at]
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together (else as they stand), and where each group begins in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def anchor_table(docs: DataFrame, size: int) -> DataFrame:
+    """h, doc, again: the distinct anchors of each text (again: it has more than one place there)."""
+
+    def run(source):
+        for whole in source:
+            for batch in pieces(whole, "text", PIECE):
+                row, _, _, anchor = windows(batch.column("text"), size)
+                if not len(row):
+                    continue
+                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]))))
+                length = np.diff(np.append(new, len(row)))
+                row, anchor = row[new], anchor[new]
+                order, start = _groups(row, anchor)
+                # one place is the anchor of size - GRAM + 1 windows in a row at most
+                again = (np.diff(np.append(start, len(order))) > 1) | np.logical_or.reduceat((length > size - GRAM + 1)[order], start)
+                at = order[start]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[at].view(np.int64)), batch.column("doc").take(pa.array(row[at])), pa.array(again)],
+                    names=["h", "doc", "again"],
+                )
+
+    return docs.select(_rank(docs["doc_id"]).alias("doc"), "text").mapInArrow(run, "h long, doc long, again boolean")
+
+
+def window_table(docs: DataFrame, size: int) -> DataFrame:
+    """h, doc, sig, first, again: the runs of ``size`` words whose anchor repeats, by their first word."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(_repeated(anchor_table(docs, size), "h"), "h"))
+
+    def run(source):
+        table = bitmaps.unpack(shared.value)
+        for whole in source:
+            for batch in pieces(whole, "text", PIECE):
+                row, first, digest, anchor = windows(batch.column("text"), size)
+                spot = np.mod(_mixed(anchor).view(np.int64), bitmaps.BITS)
+                row, first, digest = (x[table[spot]] for x in (row, first, digest))
+                order, start = _groups(row, digest)
+                # what overlaps a text's first occurrence is no repetition of it
+                since = np.empty(len(order), np.int64)
+                since[order] = np.repeat(first[order[start]], np.diff(np.append(start, len(order))))
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(digest.view(np.int64)),
+                        batch.column("doc").take(at),
+                        batch.column("sig").take(at),
+                        pa.array(first, pa.int32()),
+                        pa.array(first - since >= size),
+                    ],
+                    names=["h", "doc", "sig", "first", "again"],
+                )
+
+    used = docs.select(_rank(docs["doc_id"]).alias("doc"), _signature(docs["text"]).alias("sig"), "text")
+    return used.mapInArrow(run, "h long, doc long, sig long, first int, again boolean")
+
+
+def _repeated(found: DataFrame, *keys: str) -> DataFrame:
+    return (
+        found.groupBy(*keys)
         .agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("again").alias("any_again"))
         .filter("least <> most OR any_again")
-        .select("d1", "d2", "least")
+        .select(*keys, "least")
     )
+
+
+def _gone(found: DataFrame, *keys: str) -> DataFrame:
     # written first, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
-    gone = found.join(cut(repeated), ["d1", "d2"]).filter("doc > least OR again")
+    return found.join(cut(_repeated(found, *keys)), list(keys)).filter("doc > least OR again")
+
+
+def removals(docs: DataFrame, run_words: int | None = None) -> DataFrame:
+    """doc, sig, gone: the (first, last) sentences of each text that occur before; runs of words as (-1 - first word, -1)."""
+    gone = _gone(unit_table(docs), "d1", "d2").select("doc", "sig", "first", "last")
+    if run_words is not None:
+        runs = _gone(window_table(docs, run_words), "h")
+        gone = gone.union(runs.select("doc", "sig", (F.lit(-1) - F.col("first")).alias("first"), F.lit(-1).alias("last")))
     return gone.groupBy("doc", "sig").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
@@ -165,20 +304,40 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 _ARROW_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def cut_out(raw: bytes, gone: list[dict]) -> tuple[str, list[dict], int]:
-    """The text without the given sentences, the removed spans (in characters), and the number of sentences removed."""
+def _run_bytes(raw: bytes, firsts: list[int], size: int, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes the runs of ``size`` words that begin at ``firsts`` take, and the sentences they touch."""
+    low = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
+    begin = np.flatnonzero(low & ~np.concatenate(([False], low[:-1])))
+    change = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(change, firsts, 1)
+    np.add.at(change, np.add(firsts, size), -1)
+    gone = np.cumsum(change[:-1]) > 0
+    out = np.zeros(len(raw), bool)
+    out[begin[0] :] = np.repeat(gone, np.diff(np.append(begin, len(raw))))
+    return out, np.unique(np.searchsorted(edges, begin[gone], "right") - 1)
+
+
+def cut_out(raw: bytes, gone: list[dict], run_words: int | None = None) -> tuple[str, list[dict], int]:
+    """The text without the given sentences and runs, the removed spans (in characters), and the number of sentences touched."""
     found, counts, _ = sentences(raw)
     edges = bounds(raw)
     out = np.zeros(len(found), bool)
     for g in gone:
-        out[g["first"] : g["last"] + 1] = True
-    removed = int((out & (np.array(counts) > 0)).sum())
+        if g["first"] >= 0:
+            out[g["first"] : g["last"] + 1] = True
+    touched = out & (np.array(counts) > 0)
     for k in range(1, len(out)):
         if not counts[k] and out[k - 1]:
             out[k] = True  # what closes a sentence goes with it
+    bytes_out = np.repeat(out, np.diff(edges))
+    if firsts := [-1 - g["first"] for g in gone if g["first"] < 0]:
+        more, sentence = _run_bytes(raw, firsts, run_words, edges)
+        bytes_out |= more
+        touched[sentence] = True
+    removed = int(touched.sum())
     spans, kept, at = [], [], 0
-    for flag, first, last in _runs(out):
-        piece = raw[edges[first] : edges[last + 1]].decode("utf-8", "replace")
+    for flag, first, last in _runs(bytes_out):
+        piece = raw[first : last + 1].decode("utf-8", "replace")
         if flag:
             spans.append({"start": at, "end": at + len(piece)})
         else:
@@ -192,9 +351,10 @@ def _runs(flags: np.ndarray):
     return [(bool(flags[a]), a, b - 1) for a, b in zip(edge, edge[1:])]
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, run_words: int | None = None) -> DataFrame:
     """The documents with ``text`` shortened; adds ``removed`` (spans of the original text) and ``n_removed`` (sentences).
 
+    With ``run_words``, runs of so many words go as well, and a sentence counts once any of its words goes.
     ``n_chars``, where the input has it, is brought up to date.
     """
     names = [c for c in docs.columns if c.lower() not in ("removed", "n_removed")]
@@ -205,7 +365,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         _rank(docs["doc_id"]).alias("doc"),
         _signature(docs["text"]).alias("sig"),
     )
-    joined = keyed.join(removals(docs), ["doc", "sig"], "left").select("row", "text", "gone")
+    joined = keyed.join(removals(docs, run_words), ["doc", "sig"], "left").select("row", "text", "gone")
     fields = [T.StructField("removed", T.ArrayType(SPAN)), T.StructField("n_removed", T.LongType())]
     schema = T.StructType([joined.schema["row"], joined.schema["text"], *fields])
 
@@ -214,7 +374,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             for batch in pieces(whole, "text"):
                 texts, spans, numbers = batch.column("text").to_pylist(), [], []
                 for k, gone in enumerate(batch.column("gone").to_pylist()):
-                    text, span, n = cut_out(texts[k].encode(), gone) if gone else (texts[k], [], 0)
+                    text, span, n = cut_out(texts[k].encode(), gone, run_words) if gone else (texts[k], [], 0)
                     texts[k] = text
                     spans.append(span)
                     numbers.append(n)

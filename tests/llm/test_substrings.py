@@ -2,7 +2,7 @@ import random
 import re
 import zlib
 
-from newsloom.llm import substrings
+from newsloom.llm import queries, substrings
 
 
 def brute_parts(text, a, b):
@@ -122,3 +122,60 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or 99, r.text, r.n_chars, r.n_removed) for r in substrings.deduplicate(docs).collect()), key=str)
     assert got == sorted([(99, "", 0, 1), (4, text, 50, 0), (4, text, 50, 0), (5, None, None, 0), (6, "", 0, 0)], key=str)
     assert substrings.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_every_run_of_over_50_words_goes_whole(spark, tmp_path):
+    rng = random.Random(8)
+    fresh = lambda n: [f"ü{rng.randrange(10**6)}" for _ in range(n)]
+    rows, runs = [], {}
+    for k, n in enumerate([50, 51, 52, 60, 80, 300] * 8):
+        run = fresh(n)
+        if k % 2:
+            run[n // 3] += ". No,"  # one word more, and a sentence's end
+        before, after = fresh(rng.randrange(40)), fresh(rng.randrange(1, 40))
+        rows.append((2 * k, " ".join([*fresh(30), *run, *fresh(9)])))
+        rows.append((2 * k + 1, " ".join(["", *before, *run, *after])))
+        runs[2 * k + 1] = (n + k % 2, " ".join(["", *before, *after]))
+    twice = fresh(70)
+    rows.append((900, " ".join(["one", *twice, "two", *twice, "three"])))
+    rows.append((901, "ab " * 300))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    for doc, r in got.items():
+        if doc in runs:
+            n, rest = runs[doc]
+            assert n <= 50 or (r.text == rest and r.n_removed), doc
+        elif doc < 900:
+            assert r.text == texts[doc] and not r.n_removed
+    assert got[900].text == " ".join(["one", *twice, "two", "three"])
+    assert got[901].text.split() == ["ab"] * 51
+    assert len(got) == len(rows)
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(4)
+    pool = [f"w{k}" for k in range(3000)]
+    rows = []
+    for doc in range(60):
+        words = []
+        while len(words) < 150:
+            a = rng.randrange(2900)
+            words += pool[a : a + rng.randrange(5, 90)] if rng.random() < 0.8 else [f"x{rng.randrange(10**6)}"]
+        rows.append((doc, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = substrings._gone(substrings.window_table(docs, 51), "h")
+    first = {}
+    for doc, text in rows:
+        w = text.split()
+        for i in range(len(w) - 50):
+            first.setdefault(tuple(w[i : i + 51]), (doc, i))
+    want = set()
+    for doc, text in rows:
+        w, own = text.split(), {}
+        for i in range(len(w) - 50):
+            key = tuple(w[i : i + 51])
+            if first[key][0] < doc or i - own.setdefault(key, i) >= 51:
+                want.add((doc, i))
+    assert len(want) > 100 and {(r.doc, r.first) for r in found.collect()} == want
