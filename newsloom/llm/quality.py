@@ -10,8 +10,8 @@ To score, the distinct n-grams of the corpus are joined with the sharded counts
 own, their history's and all shorter orders.  The joined table has at most
 SYMBOLS ** ORDER = 2^24 numbers whatever the corpus, so it is broadcast and each document
 adds up its own n-grams' logarithms in one narrow pass.  Documents whose perplexity
-exceeds the cutoff of their language (a quantile of its trusted documents' perplexity, times
-SLACK; of all trusted ones where the language has none) are rejected.
+exceeds the cutoff of their language (a quantile of its trusted documents' perplexity; of
+all trusted ones where the language has none) are rejected.
 
 Null and empty texts have no symbols: their perplexity is null and they are not kept.
 Without any trusted text nothing can be judged: the perplexity is null and every document
@@ -40,8 +40,6 @@ PIECE = 1 << 20
 #: Up to so many languages' cutoffs are broadcast.
 MOST_LANGUAGES = 10_000
 QUANTILE = 0.995
-#: A document may exceed the quantile by this factor, so that the trusted texts' own tail is kept.
-SLACK = 1.25
 #: Something must be left for unseen n-grams.
 LEAST_DISCOUNT = 0.01
 
@@ -207,6 +205,6 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Da
     cutoffs = cut(known.groupBy("lang").agg(at.alias("own")))
     # a row for each language: few, unless the column holds something else
     few = cutoffs.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
-    out = scored.join(F.broadcast(cutoffs) if few else cutoffs, "lang", "left").withColumn("cutoff", SLACK * F.coalesce("own", F.lit(overall).cast("double")))
+    out = scored.join(F.broadcast(cutoffs) if few else cutoffs, "lang", "left").withColumn("cutoff", F.coalesce("own", F.lit(overall).cast("double")))
     keep = F.when(F.col("n_symbols") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("cutoff"), F.lit(True)))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "cutoff", keep.alias("keep"))

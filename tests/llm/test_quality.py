@@ -70,3 +70,13 @@ def test_nothing_trusted_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert sorted((r.doc_id, r.perplexity, r.keep) for r in quality.judge(docs, none).collect()) == [(1, None, True), (2, None, False)]
     assert quality.judge(docs.limit(0), docs.select("doc_id")).count() == 0
+
+
+def test_cutoff_is_the_quantile_of_the_trusted_texts(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, sentence(rng), "en" if k % 3 else "fr") for k in range(90)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(0, 90, 2)], "doc_id long")
+    got = quality.judge(docs, trusted).collect()
+    for lang in ("en", "fr"):
+        own = sorted(r.perplexity for r in got if r.lang == lang and r.doc_id % 2 == 0)
+        assert {r.cutoff for r in got if r.lang == lang} == {own[math.ceil(quality.QUANTILE * len(own)) - 1]}
