@@ -3,26 +3,37 @@
 Two documents link when 100 * |intersection| >= 80 * |union| of their sets (``shingles``).
 The join is a blocked sparse product of the document by shingle incidence matrix:
 
-1. Documents with equal sets become one row of the matrix (a class).
+1. Documents with equal sets are one row of the matrix (a class), named by a 64-bit hash of
+   its set.
 2. Columns are ordered by rarity (the frequent shingles that tasks meet come last).
    Two sets that link share one of the first n - ceil(0.8 n) + 1 columns of each, so
-   only those entries are dealt out by column, and columns with one entry are dropped.
-3. Blocks of columns are multiplied: rows that share a column are a candidate pair if
-   their sizes and the positions of the column leave enough room.  The product counts
-   their common leading columns; pairs whose count cannot reach the bound are discarded.
-4. The rest are compared on whole sets.
+   only those entries are dealt out by column.
+3. Blocks of columns are multiplied where they meet: rows that share a column are a
+   candidate pair if their sizes and the positions of the column leave enough room.  The
+   product counts their common leading columns; pairs whose count cannot reach the bound
+   are discarded.
+4. The rest are compared on whole sets, which are multiplied in blocks of columns too: each
+   set is cut into slices of about ``SLICE`` shingles by their highest bits, a pair meets
+   slice by slice, and the counts are added.  No row carries a whole set.
 
 Columns with more than ``LONG`` rows (a large group of near copies) are not multiplied
-out: in each round every such column, and every document with candidates, is compared
-with a few leading documents; links merge components, and only pairs across components
-remain for the next round.  A last round compares every pair that is left, so no link
-between components is missed.
+out: in each round the rows of such a column, and every document with candidates, are
+compared with a few leading documents; links merge components, and only pairs across
+components remain for the next round.  A last round compares every pair that is left, so no
+link between components is missed; there a column is dealt out by bands of sizes as well.
+
+A column that a task meets often is spread over many tasks; one of its rows stays behind
+for each task, so that the rest, wherever they are, know that the column is long.
+
+Shingles and sets count as equal when their 64-bit hashes are (for 10^8 sets the odds of
+any two sets colliding are 3 in 10,000).
 
 Null or empty texts and texts without words have an empty set, link with nothing and
-are their own component.  Repeated rows and documents with equal sets share a component.
-A row without doc_id gets the smallest id that its set reaches, or null.  Rows that
-repeat a doc_id with another text count as linked with each other.  An empty table gives
-an empty result.  Columns other than doc_id and text are not read.
+are their own component.  Repeated rows and documents with equal sets share a component;
+rows that repeat a doc_id with another text are judged by their own texts.  A row without
+doc_id gets the smallest id that it reaches by links, or null.  Very long texts are worked on
+whole, one at a time.  An empty table gives an empty result.  Columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +43,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
@@ -43,11 +54,20 @@ from .shingles import Shingler
 #: Columns with more rows than this are worked off by leading documents.
 LONG = 4
 LEADERS = 4
+PARTNERS = 2
 ROUNDS = 2
 #: The frequent shingles that are told apart for the order of columns; any choice gives the same links.
 FREQUENT_KEPT = 1 << 18
 FREQUENT = 32
+#: Bytes of text that are shingled at once, and in which a task counts shingles.
 PIECE = 1 << 20
+WINDOW = 8 * PIECE
+#: A column with so many rows in a window is spread over SALTS tasks.
+OFTEN = 3
+SALTS = 256
+SLICE = 1024
+#: Stands for a missing doc_id.
+_NONE = -(1 << 63)
 
 
 def _least(n):
@@ -55,49 +75,45 @@ def _least(n):
     return (4 * n + 4) // 5
 
 
-def _signature(values: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(values.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _signature(values: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id a, signature b, c and size n of each row; kind 1: a frequent shingle a and its count n in a task."""
+    """kind 0: doc_id a, signature b and size n of each row; kind 1: a frequent shingle a and its count n in a window."""
 
     def run(source):
-        shingler = Shingler()
-        seen: dict[int, int] = {}
+        shingler, held, size = Shingler(), [], 0
         for whole in source:
             for batch in pieces(whole, "text", PIECE):
                 sets = shingler.sets(batch.column("text"))
-                signs = [_signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.zeros(len(sets), np.int32)),
                         batch.column("doc_id"),
-                        pa.array([s[0] for s in signs], pa.int64()),
-                        pa.array([s[1] for s in signs], pa.int64()),
+                        pa.array([_signature(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                     ],
-                    names=["kind", "a", "b", "c", "n"],
+                    names=["kind", "a", "b", "n"],
                 )
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= 3
-                for v, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist()):
-                    seen[v] = seen.get(v, 0) + c
-                if len(seen) > FREQUENT_KEPT:
-                    yield _counts(seen)
-                    seen = {}
-        yield _counts(seen)
+                held += sets
+                size += batch.column("text").nbytes
+                if size > WINDOW:
+                    yield _counts(held)
+                    held, size = [], 0
+        yield _counts(held)
 
     used = docs.select(F.col("doc_id").cast("long"), "text")
-    return used.mapInArrow(run, "kind int, a long, b long, c long, n long")
+    return used.mapInArrow(run, "kind int, a long, b long, n long")
 
 
-def _counts(seen: dict[int, int]) -> pa.RecordBatch:
-    none = pa.nulls(len(seen), pa.int64())
+def _counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+    values, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+    often = counts >= OFTEN
+    values, counts = values[often], counts[often]
+    kind = pa.array(np.ones(len(values), np.int32))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(len(seen), np.int32)), pa.array(seen.keys(), pa.int64()), none, none, pa.array(seen.values(), pa.int64())],
-        names=["kind", "a", "b", "c", "n"],
+        [kind, pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.array(counts, pa.int64())], names=["kind", "a", "b", "n"]
     )
 
 
@@ -117,166 +133,243 @@ def frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.log2(np.maximum(counts[order], 2)).astype(np.int64)
 
 
+def _spread(key: np.ndarray, row: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Salt and flag of each entry: 1 one that is spread, 2 one that stays behind to say that its column is long."""
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    start = np.flatnonzero(new)
+    flag = np.zeros(len(key), np.int32)
+    flag[order] = np.repeat(np.diff(np.append(start, len(key))) >= OFTEN, np.diff(np.append(start, len(key))))
+    first = order[start]
+    flag[first[flag[first] == 1]] = 2
+    flag[known] = 1
+    salt = ((row.view(np.uint64) >> np.uint64(20)) % np.uint64(SALTS)).astype(np.int32)
+    return np.where(flag == 1, salt, 0).astype(np.int32), flag
+
+
 def leading_entries(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, doc, n, pos, own: the entries of each document's leading columns, and whether the column is a frequent one."""
+    """key, row, n, pos, salt, flag: the entries of each set's leading columns; the sets of a window count once."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(source):
         shingler, (keys, level) = Shingler(), shared.value
-        done: set[tuple[int, int]] = set()
+        done: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        size = 0
+
+        def flush():
+            out, known, signs, sizes = zip(*held)
+            held.clear()
+            takes = np.array([len(x) for x in out])
+            ends = np.cumsum(takes)
+            key, row = np.concatenate(out).view(np.int64), np.repeat(np.array(signs, np.int64), takes)
+            salt, flag = _spread(key, row, np.concatenate(known))
+            columns = [key, row, np.repeat(np.array(sizes, np.int32), takes), (np.arange(ends[-1]) - np.repeat(ends - takes, takes)).astype(np.int32), salt, flag]
+            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "row", "n", "pos", "salt", "flag"])
+            for at in range(0, whole.num_rows, 100_000):
+                yield whole.slice(at, 100_000)
+
         for whole in source:
             for batch in pieces(whole, "text", PIECE):
-                sets = shingler.sets(batch.column("text"))
-                docs_, sizes, takes, out, flags = [], [], [], [], []
-                for doc, values in zip(batch.column("doc_id").to_pylist(), sets):
-                    if doc is None or not len(values) or (sign := _signature(values)) in done:
+                for values in shingler.sets(batch.column("text")):
+                    if not len(values) or (sign := _signature(values)) in done:
                         continue
                     if len(done) > 200_000:
                         done.clear()
                     done.add(sign)
                     n = len(values)
                     take = n - _least(n) + 1
+                    hit = np.zeros(n, bool)
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
                         hit = keys[at] == values
                         if hit.any():
-                            rank = np.where(hit, level[at], 0)
-                            order = np.argsort(rank, kind="stable")[:take]
+                            order = np.argsort(np.where(hit, level[at], 0), kind="stable")[:take]
                             values, hit = values[order], hit[order]
-                        flags.append(hit[:take])
-                    else:
-                        flags.append(np.zeros(take, bool))
-                    out.append(values[:take])
-                    docs_.append(doc)
-                    sizes.append(n)
-                    takes.append(take)
-                if not out:
-                    continue
-                takes = np.array(takes)
-                ends = np.cumsum(takes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(out).view(np.int64)),
-                        pa.array(np.repeat(np.array(docs_, np.int64), takes)),
-                        pa.array(np.repeat(np.array(sizes, np.int32), takes)),
-                        pa.array((np.arange(ends[-1]) - np.repeat(ends - takes, takes)).astype(np.int32)),
-                        pa.array(np.concatenate(flags)),
-                    ],
-                    names=["key", "doc", "n", "pos", "own"],
-                )
-
-    used = docs.select(F.col("doc_id").cast("long"), "text")
-    return used.mapInArrow(run, "key long, doc long, n int, pos int, own boolean")
-
-
-def _drop_single(source):
-    """Of batches sorted by key, the rows whose key has more than one, and the frequent keys' rows; holds one row back."""
-    held, last = None, None
-    for batch in source:
-        key = batch.column("key").to_numpy()
+                    held.append((values[:take].copy(), hit[:take].copy(), sign, n))
+                size += batch.column("text").nbytes
+                if size > WINDOW and held:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "key long, row long, n int, pos int, salt int, flag int")
+
+
+def _roomy(na, pa_, nb, pb):
+    """Whether two sets that share their pa-th and pb-th column can still link (arrays)."""
+    return (9 * np.minimum(na - pa_, nb - pb) >= 4 * (na + nb)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+
+
+def _multiplied(source):
+    """Of entries sorted by column and row: the pairs of short columns (a, b, na, nb) and the entries of long ones (key, a, na, pos)."""
+    names = ["key", "row", "n", "pos", "flag"]
+    held, going = None, None
+    last = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
+    for batch in _and_end(source):
+        key, row, n, pos, flag = (batch.column(c).to_numpy() for c in names) if batch is not None else last
+        if held is not None:
+            key, row, n, pos, flag = (np.concatenate(x) for x in zip(held, (key, row, n, pos, flag)))
+            held = None
         if not len(key):
             continue
-        again = np.zeros(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        again[0] = key[0] == last
-        emit = again | batch.column("own").to_numpy(zero_copy_only=False)
-        emit[:-1] |= again[1:]
-        if held is not None and again[0]:
-            yield held
-        held, last = None if emit[-1] else batch.slice(len(key) - 1), key[-1]
-        yield batch.filter(pa.array(emit))
-
-
-def representatives(described: DataFrame) -> DataFrame:
-    """b, c, n, rep: the smallest id with each set.  Written, so that joins with it can split a large group of copies."""
-    return cut(described.filter("kind = 0 AND n > 0").groupBy("b", "c", "n").agg(F.min("a").alias("rep")))
-
-
-def entries(docs: DataFrame, described: DataFrame, least: DataFrame, space: Workspace) -> DataFrame:
-    """key, rep, n, pos, rows: leading entries of the classes in columns that several classes share."""
-    dealt = leading_entries(docs, frequent(described))
-    # frequent columns surely have many rows: these are spread, the others' rows meet in one place
-    salt = F.when(F.col("own"), F.pmod(F.xxhash64("doc"), F.lit(256))).otherwise(0)
-    dealt = dealt.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key")
-    both = dealt.mapInArrow(_drop_single, dealt.schema)
-    moved = described.filter("kind = 0 AND n > 0").join(least, ["b", "c", "n"])
-    moved = moved.select(F.col("a").alias("doc"), "rep").filter("doc <> rep").distinct()
-    own_rep = both.join(moved, "doc", "left").select("key", F.coalesce("rep", "doc").alias("rep"), "n", "pos")
-    grouped = space.keep(own_rep.groupBy("key", "rep").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
-    sizes = grouped.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    out = space.keep(grouped.join(sizes, "key"))
-    space.drop(grouped)
-    return out
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        fresh = new.copy()
+        fresh[1:] |= row[1:] != row[:-1]
+        count = np.add.reduceat(fresh.astype(np.int64), start)
+        long = (count > LONG) | (np.maximum.reduceat(flag, start) > 0)
+        if going is not None:
+            long[0] |= key[0] == going
+        going = None
+        if batch is not None:
+            if long[-1]:
+                going = key[-1]
+            else:
+                held = [x[start[-1] :] for x in (key, row, n, pos, flag)]
+                fresh[start[-1] :] = False
+        at = np.flatnonzero(fresh & long[group])
+        if len(at):
+            yield _out(key[at], row[at], None, n[at], None, pos[at])
+        at = np.flatnonzero(fresh & ~long[group])
+        k, r, n, pos = key[at], row[at], n[at], pos[at]
+        for d in range(1, LONG):
+            i = np.flatnonzero(k[d:] == k[:-d])
+            i = i[_roomy(n[i], pos[i], n[i + d], pos[i + d])]
+            if len(i):
+                yield _out(None, r[i], r[i + d], n[i], n[i + d], None)
+
+
+def _and_end(source):
+    yield from source
+    yield None
+
+
+def _out(key, a, b, na, nb, pos) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    columns = [pa.nulls(len(a), t) if x is None else pa.array(x, t) for x, t in zip((key, a, b, na, nb, pos), kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "na", "nb", "pos"])
+
+
+def multiply(docs: DataFrame, described: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The counted candidate pairs of the short columns (a < b, na, nb, c), and the entries of the long ones (key, row, n, pos)."""
+    dealt = leading_entries(docs, frequent(described)).repartition("key", "salt").sortWithinPartitions("key", "row")
+    both = space.keep(dealt.mapInArrow(_multiplied, "key long, a long, b long, na int, nb int, pos int"))
+    pairs = both.filter("b IS NOT NULL").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    long = both.filter("key IS NOT NULL").select("key", F.col("a").alias("row"), F.col("na").alias("n"), "pos")
+    return pairs, long
+
+
+def discard(pairs: DataFrame, long: DataFrame) -> DataFrame:
+    """Adds the common long columns to each pair's count and drops the pairs that cannot reach the bound."""
+    keys = long.groupBy("row").agg(F.collect_set("key").alias("k"))
+    x, y = (keys.select(F.col("row").alias(s), F.col("k").alias("k" + s)) for s in "ab")
+    none = F.array().cast("array<bigint>")
+    met = F.size(F.array_intersect(F.coalesce("ka", none), F.coalesce("kb", none)))
+    rest = lambda n: F.expr(f"(4 * {n} + 4) div 5 - 1")  # noqa: E731  columns that do not lead
+    held = 9 * (F.col("c") + met + F.greatest(rest("na"), rest("nb"))) >= 4 * (F.col("na") + F.col("nb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(held).select("a", "b", "na", "nb")
 
 
 def _room(na, pa_, nb, pb):
-    """Whether two sets that share their pa-th and pb-th column first can still link."""
-    total = 4 * (na + nb)
-    return (9 * F.least(na - pa_, nb - pb) >= total) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
+    """As :func:`_roomy`, on columns."""
+    total = 4 * (F.col(na) + F.col(nb))
+    return (9 * F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) >= total) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
 
 
-def _multiply(left: DataFrame, right: DataFrame, labelled: bool, *more: str) -> DataFrame:
-    """rep1, rep2: rows of the left and right block that share a column, for each such column."""
-    x = left.select("key", *[F.col(c).alias(c + "1") for c in left.columns if c not in ("key", "rows")])
-    y = right.select("key", *[F.col(c).alias(c + "2") for c in right.columns if c not in ("key", "rows")])
-    pairs = x.join(y, "key").filter(_room(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    return pairs.filter("label1 <> label2" if labelled else "rep1 <> rep2").select("rep1", "rep2", *more)
+def _unordered(pairs: DataFrame) -> DataFrame:
+    """a < b of pairs (row1, n1, row2, n2)."""
+    turned = F.col("row1") > F.col("row2")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return pairs.select(pick("row1", "row2").alias("a"), pick("row2", "row1").alias("b"), pick("n1", "n2").alias("na"), pick("n2", "n1").alias("nb"))
 
 
-def _unordered(pairs: DataFrame) -> DataFrame:
-    x, y = pairs.columns
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def _ended(rows: DataFrame, end: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(c + end) for c in rows.columns if c != "key"])
 
 
-def _followers(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each row with some leaders of its columns: those that have the fewest columns of their own, which copies resemble most."""
-    own = Window.partitionBy("key").orderBy("own", F.xxhash64("rep"), "rep")
-    leaders = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= LEADERS * (turn + 1))
+def _followers(long: DataFrame, turn: int, space: Workspace) -> DataFrame:
+    """Pairs of rows with a few leaders of their columns: first those that have the fewest rarer columns, which copies resemble most."""
+    own = (F.col("pos") / F.col("n") if turn == 0 else F.lit(0.0)).alias("own")
+    drawn = F.xxhash64("row", F.lit(turn))
+    leaders = long.groupBy("key", F.pmod(drawn, F.lit(LEADERS)).alias("place")).agg(F.min(F.struct(own, drawn.alias("drawn"), "row", "n", "pos", "label")).alias("x"))
     # written first: a join of plain exchanges, in which Spark can split a long column
-    leaders = cut(leaders.filter(F.col("r") > LEADERS * turn).drop("r"))
-    met = _multiply(leaders, rows, True, "own1").distinct()
-    order = Window.partitionBy("rep2").orderBy("own1", F.xxhash64("rep1"), "rep1")
-    return _unordered(met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("rep1", "rep2"))
+    leaders = space.keep(leaders.select("key", "x.*"))
+    met = _ended(leaders, "1").join(_ended(long, "2"), "key").filter("label1 <> label2").filter(_room("n1", "pos1", "n2", "pos2"))
+    best = met.groupBy("row2", "n2", F.pmod("drawn1", F.lit(PARTNERS)).alias("place")).agg(F.min(F.struct("own1", "drawn1", "row1", "n1")).alias("x"))
+    return _unordered(best.select("x.row1", "x.n1", "row2", "n2"))
 
 
-def discard(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts the common leading columns of each pair and drops those that cannot reach the bound."""
-    x, y = (rows.select(F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("keys").alias("k" + s)) for s in "ab")
-    na, nb = F.col("na"), F.col("nb")
-    rest = lambda n: F.expr(f"(4 * {n} + 4) div 5 - 1")  # noqa: E731  columns that do not lead
-    return (
-        pairs.join(x, "a")
-        .join(y, "b")
-        .filter(9 * (F.size(F.array_intersect("ka", "kb")) + F.greatest(rest("na"), rest("nb"))) >= 4 * (na + nb))
-        .select("a", "b")
-    )
+def _all_across(long: DataFrame) -> DataFrame:
+    """Every pair of rows of different components that share a long column and leave room, dealt out by column and band of sizes."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    # the smaller set needs the column within its first n - ceil(8 n / 9) + 1
+    smaller = long.filter("pos <= n div 9").withColumn("band", F.explode(F.array(band, band + 1, band + 2)))
+    x = smaller.select("key", "band", *[F.col(c).alias(c + "1") for c in ("row", "n", "pos", "label")])
+    y = long.select("key", band.alias("band"), *[F.col(c).alias(c + "2") for c in ("row", "n", "pos", "label")])
+    met = x.join(y, ["key", "band"]).filter("label1 <> label2 AND (n1 < n2 OR (n1 = n2 AND row1 <> row2))").filter(_room("n1", "pos1", "n2", "pos2"))
+    return _unordered(met).distinct()
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """The upper six bytes of each number: two sets of thousands agree by chance once in 10^7 pairs."""
-    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _levels(n: int) -> list[int]:
+    """In how many slices a set of n shingles is cut: once for itself, and once more if a larger partner is cut finer."""
+    cuts = lambda m: 1 << max(0, (m - 1) // SLICE).bit_length()
+    return sorted({cuts(n), cuts(n * 5 // 4)})
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """row, parts, part, shingles: slices of the wanted sets and a few more: a bitmap of fixed size holds most other texts back."""
+    asked = wanted.join(classes, "row").select(F.coalesce("rep", F.lit(_NONE)).alias("rep"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(asked, "rep"))
 
+    def run(source):
+        shingler, table = Shingler(), bitmaps.unpack(shared.value)
+        for whole in source:
+            whole = whole.filter(pa.array(table[whole.column("spot").to_numpy()]))
+            for batch in pieces(whole, "text", PIECE):
+                out = []
+                for values in shingler.sets(batch.column("text")):
+                    if not len(values):
+                        continue
+                    sign = _signature(values)
+                    for parts in _levels(len(values)):
+                        bits = parts.bit_length() - 1
+                        edges = np.searchsorted(values, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+                        out += [(sign, parts, k, s.tobytes()) for k, s in enumerate(np.split(values, edges))]
+                if out:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "parts", "part", "shingles"])
+
+    used = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("rep"), "text").filter("text IS NOT NULL")
+    return used.withColumn("spot", bitmaps.spot("rep")).mapInArrow(run, "row long, parts int, part int, shingles binary")
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that link, by their whole sets: each pair meets slice by slice, and the counts of common shingles are added."""
 
     def run(source):
         for batch in source:
-            held = []
-            for u, v in zip(batch.column("sa"), batch.column("sb")):
-                x, y = _unpack(u.as_py()), _unpack(v.as_py())
-                held.append(9 * len(np.intersect1d(x, y, True)) >= 4 * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
-
-    sets = _whole_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
-    x, y = (sets.select(F.col("rep").alias(s), F.col("shingles").alias("s" + s)) for s in "ab")
-    return pairs.join(y, "b").join(x, "a").mapInArrow(run, "a long, b long")
+            held = [
+                len(np.intersect1d(np.frombuffer(u.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint64), True))
+                for u, v in zip(batch.column("sa"), batch.column("sb"))
+            ]
+            yield batch.select(["a", "b", "need", "part"]).append_column("n", pa.array(held, pa.int64()))
+
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, wanted, classes)
+    need = F.expr("(4 * (na + nb) + 8) div 9")
+    parts = F.expr(f"CAST(shiftleft(1, CAST(ceil(log2(greatest(1, (greatest(na, nb) - 1) div {SLICE} + 1))) AS INT)) AS INT)")
+    dealt = pairs.select("a", "b", need.alias("need"), parts.alias("parts")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    x, y = (sets.select(F.col("row").alias(s), "parts", "part", F.col("shingles").alias("s" + s)) for s in "ab")
+    met = dealt.join(y, ["b", "parts", "part"]).join(x, ["a", "parts", "part"]).select("a", "b", "need", "part", "sa", "sb")
+    counted = met.mapInArrow(run, "a long, b long, need long, part int, n long")
+    # several copies of a set may come out of the texts: a slice counts once
+    total = F.aggregate(F.collect_set(F.struct("part", "n")), F.lit(0).cast("long"), lambda x, s: x + s["n"])
+    return counted.groupBy("a", "b", "need").agg(total.alias("n")).filter("n >= need").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,63 +389,40 @@ def components(links: DataFrame) -> DataFrame:
         total = now
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, shingles of the wanted documents and a few more: a bitmap of fixed size holds most other texts back."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted, "rep"))
-
-    def run(source):
-        shingler, table = Shingler(), bitmaps.unpack(shared.value)
-        for whole in source:
-            whole = whole.filter(pa.array(table[whole.column("spot").to_numpy()]))
-            for batch in pieces(whole, "text", PIECE):
-                sets = [_pack(s) for s in shingler.sets(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
-
-    used = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").dropna()
-    return used.withColumn("spot", bitmaps.spot("rep")).mapInArrow(run, "rep long, shingles binary")
-
-
-def link_classes(docs: DataFrame, described: DataFrame, least: DataFrame) -> DataFrame | None:
+def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame | None:
     """node, label of every class that links with another one; None if no two share a leading column."""
     space = Workspace(docs.sparkSession)
-    shared = entries(docs, described, least, space)
+    found_pairs, long = multiply(docs, described, space)
+    pairs = space.keep(discard(found_pairs, long))
     space.tidy()
-    if shared.isEmpty():
-        return None
-    rows = shared.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
-    short, long = shared.filter(F.col("rows") <= LONG), shared.filter(F.col("rows") > LONG)
-    # the part of a row's columns that comes before the first long one: rare columns of its own
-    own = long.groupBy("rep").agg((F.min("pos") / F.first("n")).alias("own"))
-    long = space.keep(long.join(own, "rep"))
-    pairs = space.keep(discard(_unordered(_multiply(short, short.filter("true"), False)), rows))
     labels, links = None, []
     for turn in range(ROUNDS + 1):
         open_pairs, open_long = _across(pairs, labels), _labelled(long, labels)
         if turn < ROUNDS:
-            ends = open_pairs.select("a", "b").union(open_pairs.select("b", "a")).toDF("u", "v")
-            first = ends.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v"))["v"].alias("v"))
-            chosen = first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-            chosen = chosen.union(discard(_followers(open_long, turn), rows)).distinct()
+            ends = open_pairs.selectExpr("a AS u", "na AS m", "b AS v", "nb AS n").union(open_pairs.selectExpr("b", "nb", "a", "na"))
+            one = ends.groupBy("u", "m").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n")).alias("x"))
+            one = _unordered(one.selectExpr("u AS row1", "m AS n1", "x.v AS row2", "x.n AS n2"))
+            chosen = one.union(_followers(open_long, turn, space)).distinct()
         else:
-            chosen = open_pairs.union(discard(_unordered(_multiply(open_long, open_long.filter("true"), True)), rows)).distinct()
+            chosen = open_pairs.union(_all_across(open_long)).distinct()
         chosen = cut(chosen)
-        found = cut(verify(chosen, docs))
+        found = cut(verify(chosen, docs, classes))
         space.tidy()
         if found.isEmpty():
-            if turn == ROUNDS or (turn == 0 and long.isEmpty() and pairs.isEmpty()):
+            if turn == ROUNDS or chosen.isEmpty():
                 break
             continue
         links.append(found)
         labels = components(reduce(DataFrame.union, links))
-    space.drop(shared, long, pairs)
+    space.close()
     return labels
 
 
 def _labelled(long: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return long.withColumn("label", F.col("rep"))
-    known = labels.withColumnRenamed("node", "rep")
-    return long.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        return long.withColumn("label", F.col("row"))
+    known = labels.withColumnRenamed("node", "row")
+    return long.join(known, "row", "left").withColumn("label", F.coalesce("label", "row")).select("key", "row", "n", "pos", "label")
 
 
 def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -360,21 +430,22 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         return pairs
     x, y = (labels.select(F.col("node").alias(s), F.col("label").alias("l" + s)) for s in "ab")
     joined = pairs.join(x, "a", "left").join(y, "b", "left")
-    return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "na", "nb")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     described = cut(describe(docs))
     rows = described.filter("kind = 0")
-    least = representatives(described)
-    labels = link_classes(docs, described, least)
+    # written, so that joins with it can split a large group of copies
+    classes = cut(rows.filter("n > 0").groupBy(F.col("b").alias("row")).agg(F.min("a").alias("rep")))
+    labels = link_classes(docs, described, classes)
+    least = classes.withColumnRenamed("rep", "component_id")
     if labels is not None:
-        least = least.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        least = cut(least.select("b", "c", "n", F.coalesce("label", "rep").alias("component_id")))
-    else:
-        least = least.select("b", "c", "n", F.col("rep").alias("component_id"))
-    return rows.join(least, ["b", "c", "n"], "left").select(
+        named = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        first = cut(named.groupBy("label").agg(F.min("rep").alias("component_id")))
+        least = cut(named.join(first, "label").select("row", "component_id"))
+    return rows.join(least.withColumnRenamed("row", "b"), "b", "left").select(
         F.col("a").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("a")).alias("component_id"),

@@ -45,6 +45,9 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def close(self) -> None:
+        self._delete(self.path)
+
     def _delete(self, path: str) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
