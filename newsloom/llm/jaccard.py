@@ -198,13 +198,18 @@ def leading_entries(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> Da
     return docs.select("text").mapInArrow(run, "key long, row long, n int, pos int, salt int, flag int")
 
 
+def _sized(na, nb):
+    """Whether the sizes of two sets let them link (arrays)."""
+    return 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
+
+
 def _roomy(na, pa_, nb, pb):
-    """Whether two sets that share their pa-th and pb-th column can still link (arrays)."""
-    return (9 * np.minimum(na - pa_, nb - pb) >= 4 * (na + nb)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+    """Whether two sets whose first common column is the pa-th and pb-th can still link (arrays)."""
+    return 9 * np.minimum(na - pa_, nb - pb) >= 4 * (na + nb)
 
 
 def _multiplied(source):
-    """Of entries sorted by column and row: the pairs of short columns (a, b, na, nb) and the entries of long ones (key, a, na, pos)."""
+    """Of entries sorted by column and row: the pairs of short columns (a, b, na, nb, pos: 1 if there is room) and the entries of long ones (key, a, na, pos)."""
     names = ["key", "row", "n", "pos", "flag"]
     held, going = None, None
     last = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
@@ -239,9 +244,10 @@ def _multiplied(source):
         k, r, n, pos = key[at], row[at], n[at], pos[at]
         for d in range(1, LONG):
             i = np.flatnonzero(k[d:] == k[:-d])
-            i = i[_roomy(n[i], pos[i], n[i + d], pos[i + d])]
+            i = i[_sized(n[i], n[i + d])]
             if len(i):
-                yield _out(None, r[i], r[i + d], n[i], n[i + d], None)
+                room = _roomy(n[i], pos[i], n[i + d], pos[i + d])
+                yield _out(None, r[i], r[i + d], n[i], n[i + d], room.astype(np.int32))
 
 
 def _and_end(source):
@@ -256,27 +262,29 @@ def _out(key, a, b, na, nb, pos) -> pa.RecordBatch:
 
 
 def multiply(docs: DataFrame, described: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The counted candidate pairs of the short columns (a < b, na, nb, c), and the entries of the long ones (key, row, n, pos)."""
+    """The pairs of the short columns (a < b, na, nb, c: common columns, room), and the entries of the long ones (key, row, n, pos)."""
     dealt = leading_entries(docs, frequent(described)).repartition("key", "salt").sortWithinPartitions("key", "row")
     both = space.keep(dealt.mapInArrow(_multiplied, "key long, a long, b long, na int, nb int, pos int"))
-    pairs = both.filter("b IS NOT NULL").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    met = both.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pos").alias("room"))
     long = both.filter("key IS NOT NULL").select("key", F.col("a").alias("row"), F.col("na").alias("n"), "pos")
-    return pairs, long
+    return space.keep(met), long
 
 
-def discard(pairs: DataFrame, long: DataFrame) -> DataFrame:
-    """Adds the common long columns to each pair's count and drops the pairs that cannot reach the bound."""
+def discard(pairs: DataFrame, counted: DataFrame | None, long: DataFrame) -> DataFrame:
+    """Drops the pairs whose common leading columns, short (c, or else by ``counted``) and long ones, cannot reach the bound."""
     keys = long.groupBy("row").agg(F.collect_set("key").alias("k"))
     x, y = (keys.select(F.col("row").alias(s), F.col("k").alias("k" + s)) for s in "ab")
+    if counted is not None:
+        pairs = pairs.join(counted.select("a", "b", "c"), ["a", "b"], "left")
     none = F.array().cast("array<bigint>")
-    met = F.size(F.array_intersect(F.coalesce("ka", none), F.coalesce("kb", none)))
+    met = F.coalesce("c", F.lit(0)) + F.size(F.array_intersect(F.coalesce("ka", none), F.coalesce("kb", none)))
     rest = lambda n: F.expr(f"(4 * {n} + 4) div 5 - 1")  # noqa: E731  columns that do not lead
-    held = 9 * (F.col("c") + met + F.greatest(rest("na"), rest("nb"))) >= 4 * (F.col("na") + F.col("nb"))
+    held = 9 * (met + F.greatest(rest("na"), rest("nb"))) >= 4 * (F.col("na") + F.col("nb"))
     return pairs.join(x, "a", "left").join(y, "b", "left").filter(held).select("a", "b", "na", "nb")
 
 
 def _room(na, pa_, nb, pb):
-    """As :func:`_roomy`, on columns."""
+    """As :func:`_sized` and :func:`_roomy`, on columns."""
     total = 4 * (F.col(na) + F.col(nb))
     return (9 * F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) >= total) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
 
@@ -300,8 +308,10 @@ def _followers(long: DataFrame, turn: int, space: Workspace) -> DataFrame:
     # written first: a join of plain exchanges, in which Spark can split a long column
     leaders = space.keep(leaders.select("key", "x.*"))
     met = _ended(leaders, "1").join(_ended(long, "2"), "key").filter("label1 <> label2").filter(_room("n1", "pos1", "n2", "pos2"))
-    best = met.groupBy("row2", "n2", F.pmod("drawn1", F.lit(PARTNERS)).alias("place")).agg(F.min(F.struct("own1", "drawn1", "row1", "n1")).alias("x"))
-    return _unordered(best.select("x.row1", "x.n1", "row2", "n2"))
+    # those that a row meets in most columns
+    often = met.groupBy("row1", "n1", "row2", "n2").agg((-F.count("*")).alias("c"), F.min("own1").alias("own"), F.first("drawn1").alias("drawn"))
+    best = often.groupBy("row2", "n2", F.pmod("drawn", F.lit(PARTNERS)).alias("place")).agg(F.min(F.struct("c", "own", "drawn", "row1", "n1")).alias("x"))
+    return _unordered(best.select("x.row1", "x.n1", "row2", "n2")).distinct()
 
 
 def _all_across(long: DataFrame) -> DataFrame:
@@ -392,8 +402,8 @@ def components(links: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame | None:
     """node, label of every class that links with another one; None if no two share a leading column."""
     space = Workspace(docs.sparkSession)
-    found_pairs, long = multiply(docs, described, space)
-    pairs = space.keep(discard(found_pairs, long))
+    counted, long = multiply(docs, described, space)
+    pairs = space.keep(discard(counted.filter("room = 1"), None, long))
     space.tidy()
     labels, links = None, []
     for turn in range(ROUNDS + 1):
@@ -402,9 +412,9 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> D
             ends = open_pairs.selectExpr("a AS u", "na AS m", "b AS v", "nb AS n").union(open_pairs.selectExpr("b", "nb", "a", "na"))
             one = ends.groupBy("u", "m").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n")).alias("x"))
             one = _unordered(one.selectExpr("u AS row1", "m AS n1", "x.v AS row2", "x.n AS n2"))
-            chosen = one.union(_followers(open_long, turn, space)).distinct()
+            chosen = one.union(discard(_followers(open_long, turn, space), counted, long)).distinct()
         else:
-            chosen = open_pairs.union(_all_across(open_long)).distinct()
+            chosen = open_pairs.union(discard(_all_across(open_long), counted, long)).distinct()
         chosen = cut(chosen)
         found = cut(verify(chosen, docs, classes))
         space.tidy()
