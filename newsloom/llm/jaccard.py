@@ -337,9 +337,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(asked, "rep"))
 
     def run(source):
-        shingler, table = Shingler(), bitmaps.unpack(shared.value)
+        shingler = Shingler()
         for whole in source:
-            whole = whole.filter(pa.array(table[whole.column("spot").to_numpy()]))
+            whole = whole.filter(pa.array(bitmaps.hit(shared.value, whole.column("spot").to_numpy())))
             for batch in pieces(whole, "text", PIECE):
                 out = []
                 for values in shingler.sets(batch.column("text")):

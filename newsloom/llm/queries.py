@@ -30,7 +30,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     kept = substrings.deduplicate(docs, substrings.RUN_WORDS)
-    return kept.select("doc_id", (F.col("n_removed") > 0).alias("has_repeats"), "n_removed", "removed", "n_chars", "text")
+    return kept.select("doc_id", F.col("has_run").alias("has_repeats"), "n_removed", "removed", "n_chars", "text")
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,36 @@
 """Removal of passages that occur before, by hashing their units.
 
-A text is cut into sentences (``. ! ?`` or a line's end closes one; one of more than
-``LONG_WORDS`` words is also cut behind words that their hash picks) and normalised to
-its lower-cased words.  Lines or paragraphs alone would miss a passage that stands
-inside another document's line, so a unit is the shortest run of whole sentences that
-has ``LEAST_WORDS`` words, one from each sentence on; a whole line of ``LINE_WORDS`` to
-fewer words than that is a unit too.  Units' 128-bit digests are grouped globally; the
-earliest ranked occurrence (smallest doc_id, then place in the text) stays, the
-sentences of every other one go, with their offsets in the original text retained.
-Shorter sentences go only as part of a unit.
-
-Units miss what lies between two cuts of a long sentence, so with ``run_words`` every run of so
-many words that occurs before goes too, wherever it begins.  By winnowing, the smallest hash of
-``GRAM`` words in each window of ``run_words`` words is an anchor: equal windows have equal
-anchors.  A bitmap of the anchors that repeat (bounded; false hits cost only work) holds most
-windows back; the 64-bit digests of all others are grouped as the units are.  A longer repeated
-passage is the union of its windows and so goes from its first word to its last, with what
-follows that up to the next word.
+Units of a text, each normalised to its lower-cased words:
+
+* every line that has a word (and so every paragraph, which is its lines);
+* every shortest run of whole sentences that has ``LEAST_WORDS`` words, from each sentence on
+  (``. ! ?`` or a line's end closes a sentence; one of more than ``LONG_WORDS`` words is also
+  cut behind words that their hash picks), since lines alone would miss what stands inside
+  another document's line;
+* every run of ``run_words`` words, wherever it begins, so that a longer passage that occurs
+  before goes from its first word to its last, with what follows that up to the next word.
+
+Units' 64-bit digests are grouped globally; the earliest ranked occurrence (smallest doc_id,
+then place in the text) stays, every other one goes, with its offsets in the original text
+retained.  (Two different units of 10^9 share a digest with odds of 3 in 100.)
+
+Most units stand nowhere else, so they are held back first: the digests alone are counted,
+and a bitmap of those that repeat (of fixed size; false hits cost only work) decides which
+units are dealt out with their places.  For runs of words the digests counted are anchors, by
+winnowing: the smallest hash of ``GRAM`` words in each window of ``run_words`` words, so equal
+windows have equal anchors.  Windows in a row with one anchor are a block.  Blocks are grouped
+first, and only the earliest copy of a block has its windows grouped one by one: another copy
+goes whole, and all its windows stand in the earliest one.
 
 Null texts stay null and empty texts empty, with nothing removed.  Rows without doc_id
 rank behind all others.  Rows that share a doc_id take nothing from each other: they
-count as one document.  Occurrences of a unit that overlap in one text count once.  An
-empty table gives an empty result.  Input columns named like an output are replaced.
+count as one document.  Occurrences of a unit that overlap in one text count once.  Very
+long texts are worked on whole, one at a time.  An empty table gives an empty result.  Input
+columns named like an output are replaced.
 
 The grouping is an aggregate with partial results and a join that splits hot digests
-(adaptive skew join); a common line is never gathered in one place.
+(adaptive skew join); a common line is never gathered in one place.  Only texts that lose
+something are shuffled.
 """
 
 from __future__ import annotations
@@ -40,18 +46,19 @@ from pyspark.sql import types as T
 
 from . import bitmaps
 from .batches import WORD_BYTES, flat_bytes, pieces, raw_texts
-from .shared import cut
+from .shared import Workspace
 
 LEAST_WORDS = 8
-LINE_WORDS = 4
-LONG_WORDS = 32
+LONG_WORDS = 24
 #: One word in so many ends a part of a long sentence.
-PART = 16
+PART = 8
 #: Repeated passages of over 50 words go whole.
 RUN_WORDS = 51
 GRAM = 16
 #: Bytes of text whose words are hashed at once.
 PIECE = 1 << 20
+#: Bits of the map of repeated digests.
+BITS = 1 << 27
 _LAST = (1 << 63) - 1
 
 #: As WORD_BYTES, but ends of sentences become \\x01 and ends of lines stay.
@@ -93,10 +100,10 @@ def bounds(raw: bytes) -> list[int]:
     return [0, *ends[:-1], len(raw)]
 
 
-def units(raw: bytes) -> list[tuple[bytes, int, int]]:
-    """(digest, first sentence, last sentence) of every unit."""
+def units(raw: bytes) -> list[tuple[int, int, int]]:
+    """(digest, first sentence, last sentence) of every line and run of sentences; of those that overlap, the first."""
     found, counts, lines = sentences(raw)
-    digest = xxhash.xxh3_128_digest
+    digest = xxhash.xxh3_64_intdigest
     out = []
     full = [k for k, n in enumerate(counts) if n]
     for place, k in enumerate(full):
@@ -110,47 +117,28 @@ def units(raw: bytes) -> list[tuple[bytes, int, int]]:
                 out.append((digest(b" ".join([found[i] for i in full[place : other + 1]])), k, full[other]))
                 break
     for first, last in lines:
-        if LINE_WORDS <= sum(counts[first : last + 1]) < LEAST_WORDS:
-            out.append((digest(b"\n" + b" ".join(s for s in found[first : last + 1] if s)), first, last))
+        if first < last:
+            line = [s for s in found[first : last + 1] if s]
+            if line:
+                out.append((digest(b"\n" + b" ".join(line)), first, last))
+        elif counts[first]:
+            out.append((digest(b"\n" + found[first]), first, first))
     return out
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """d1, d2, doc, sig, first, last, again: one row for each unit (again: it stood in the same text before)."""
-
-    def run(source):
-        for whole in source:
-            for batch in pieces(whole, "text"):
-                digests, rows, firsts, lasts, agains = [], [], [], [], []
-                for row, raw in enumerate(raw_texts(batch.column("text"))):
-                    seen: dict[bytes, int] = {}
-                    for digest, first, last in units(raw):
-                        before = seen.get(digest)
-                        if before is not None and first <= before:
-                            continue
-                        seen[digest] = last
-                        digests.append(digest)
-                        rows.append(row)
-                        firsts.append(first)
-                        lasts.append(last)
-                        agains.append(before is not None)
-                pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(pair[:, 0]),
-                        pa.array(pair[:, 1]),
-                        batch.column("doc").take(at),
-                        batch.column("sig").take(at),
-                        pa.array(firsts, pa.int32()),
-                        pa.array(lasts, pa.int32()),
-                        pa.array(agains, pa.bool_()),
-                    ],
-                    names=["d1", "d2", "doc", "sig", "first", "last", "again"],
-                )
-
-    schema = "d1 long, d2 long, doc long, sig long, first int, last int, again boolean"
-    return docs.select(_rank(docs["doc_id"]).alias("doc"), _signature(docs["text"]).alias("sig"), "text").mapInArrow(run, schema)
+def _unit_arrays(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Row, digest, first and last sentence, and whether it stood in the same text before, of every unit."""
+    out = []
+    for row, raw in enumerate(texts):
+        seen: dict[int, int] = {}
+        for digest, first, last in units(raw):
+            before = seen.get(digest)
+            if before is not None and first <= before:
+                continue
+            seen[digest] = last
+            out.append((row, digest, first, last, before is not None))
+    columns = zip(*out) if out else ((),) * 5
+    return tuple(np.array(c, t) for c, t in zip(columns, (np.int64, np.uint64, np.int32, np.int32, bool)))
 
 
 def _rank(doc_id):
@@ -166,10 +154,10 @@ _P1, _P2, _P3, _P4, _P5 = (
 )
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a column of longs."""
+def _mixed(values: np.ndarray, seed: np.ndarray | np.uint64 = np.uint64(42)) -> np.ndarray:
+    """Spark's xxhash64 of a column of longs; the seed for a further column is what those before give."""
     turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
-    h = (np.uint64(50) + _P5) ^ turn(values * _P2, 31) * _P1
+    h = (seed + np.uint64(8) + _P5) ^ turn(values * _P2, 31) * _P1
     h = turn(h, 27) * _P1 + _P4
     h = (h ^ h >> np.uint64(33)) * _P2
     h = (h ^ h >> np.uint64(29)) * _P3
@@ -197,12 +185,12 @@ def word_starts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, np.searchsorted(bounds, begin, "right") - 1, np.searchsorted(begin, bounds)
 
 
-def windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word (in its row), digest and anchor of each run of ``size`` words."""
+def windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Row, first word (in its row), digest and anchor of each run of ``size`` words; the words' hashes and each row's first word."""
     words, row, first = word_starts(column)
     n = len(words) - size + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), (words, first)
     at = np.flatnonzero(row[:n] == row[size - 1 :])
     spread = size - GRAM + 1
     grams = np.arange(len(words) - GRAM + 1)
@@ -211,7 +199,7 @@ def windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
         step = min(width, spread - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    return row[at], at - first[row[at]], _sums(words, at, at + size, 0xA0761D6478BD642F), least[at]
+    return row[at], at - first[row[at]], _sums(words, at, at + size, 0xA0761D6478BD642F), least[at], (words, first)
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,103 +210,157 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def anchor_table(docs: DataFrame, size: int) -> DataFrame:
-    """h, doc, again: the distinct anchors of each text (again: it has more than one place there)."""
+def blocks(row: np.ndarray, first: np.ndarray, anchor: np.ndarray, words: tuple, size: int) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows, digest of all words and anchor of each block; where each window's block begins."""
+    new = np.ones(len(row), bool)
+    # windows in a row share an anchor for size - GRAM + 1 places at most; a text that repeats itself has longer runs, cut by place
+    new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+    start = np.flatnonzero(new)
+    run = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    new[run % (size - GRAM + 1) == 0] = True
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(row)))
+    hashes, begin = words
+    at = begin[row[start]] + first[start]
+    return row[start], first[start], length, _sums(hashes, at, at + size + length - 1, 0xE7037ED1A0B428DB), anchor[start], start
+
+
+def digest_table(docs: DataFrame, size: int | None) -> DataFrame:
+    """h, n: the digests of units and the anchors of blocks in each piece of the texts, and how often they stand there."""
 
     def run(source):
         for whole in source:
             for batch in pieces(whole, "text", PIECE):
-                row, _, _, anchor = windows(batch.column("text"), size)
-                if not len(row):
-                    continue
-                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]))))
-                length = np.diff(np.append(new, len(row)))
-                row, anchor = row[new], anchor[new]
-                order, start = _groups(row, anchor)
-                # one place is the anchor of size - GRAM + 1 windows in a row at most
-                again = (np.diff(np.append(start, len(order))) > 1) | np.logical_or.reduceat((length > size - GRAM + 1)[order], start)
-                at = order[start]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[at].view(np.int64)), batch.column("doc").take(pa.array(row[at])), pa.array(again)],
-                    names=["h", "doc", "again"],
-                )
+                found = [_unit_arrays(raw_texts(batch.column("text")))[1]]
+                if size is not None:
+                    row, first, _, anchor, words = windows(batch.column("text"), size)
+                    found.append(blocks(row, first, anchor, words, size)[4])
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], names=["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, n int")
+
+
+_PLACE = "h long, doc long, sig long, first int, last int, again boolean"
+
+
+def _placed(batch: pa.RecordBatch, h, row, first, last, again) -> pa.RecordBatch:
+    at = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(h.view(np.int64)),
+            batch.column("doc").take(at),
+            batch.column("sig").take(at),
+            pa.array(first, pa.int32()),
+            pa.array(last, pa.int32()),
+            pa.array(again, pa.bool_()),
+        ],
+        names=["h", "doc", "sig", "first", "last", "again"],
+    )
+
 
-    return docs.select(_rank(docs["doc_id"]).alias("doc"), "text").mapInArrow(run, "h long, doc long, again boolean")
+def _later(row: np.ndarray, h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Whether the text held the digest before; what overlaps its first occurrence is no repetition of it."""
+    order, start = _groups(row, h)
+    since = np.empty(len(order), np.int64)
+    since[order] = np.repeat(first[order[start]], np.diff(np.append(start, len(order))))
+    return first - since >= size
 
 
-def window_table(docs: DataFrame, size: int) -> DataFrame:
-    """h, doc, sig, first, again: the runs of ``size`` words whose anchor repeats, by their first word."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(_repeated(anchor_table(docs, size), "h"), "h"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_rank(docs["doc_id"]).alias("doc"), _signature(docs["text"]).alias("sig"), "text")
+
+
+def _spots(h: np.ndarray) -> np.ndarray:
+    return np.mod(_mixed(h).view(np.int64), BITS)
+
+
+def unit_table(docs: DataFrame, repeated: np.ndarray, size: int | None) -> DataFrame:
+    """The places of units (sentences first to last) and blocks (-1 - first window, number of windows) whose digest or anchor repeats."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(source):
-        table = bitmaps.unpack(shared.value)
         for whole in source:
             for batch in pieces(whole, "text", PIECE):
-                row, first, digest, anchor = windows(batch.column("text"), size)
-                spot = np.mod(_mixed(anchor).view(np.int64), bitmaps.BITS)
-                row, first, digest = (x[table[spot]] for x in (row, first, digest))
-                order, start = _groups(row, digest)
-                # what overlaps a text's first occurrence is no repetition of it
-                since = np.empty(len(order), np.int64)
-                since[order] = np.repeat(first[order[start]], np.diff(np.append(start, len(order))))
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digest.view(np.int64)),
-                        batch.column("doc").take(at),
-                        batch.column("sig").take(at),
-                        pa.array(first, pa.int32()),
-                        pa.array(first - since >= size),
-                    ],
-                    names=["h", "doc", "sig", "first", "again"],
-                )
+                row, h, first, last, again = _unit_arrays(raw_texts(batch.column("text")))
+                held = bitmaps.hit(shared.value, _spots(h))
+                yield _placed(batch, *(x[held] for x in (h, row, first, last, again)))
+                if size is not None:
+                    row, first, _, anchor, words = windows(batch.column("text"), size)
+                    row, first, length, h, anchor, _ = blocks(row, first, anchor, words, size)
+                    held = bitmaps.hit(shared.value, _spots(anchor))
+                    row, first, length, h = (x[held] for x in (row, first, length, h))
+                    yield _placed(batch, h, row, -1 - first, length, _later(row, h, first, size))
 
-    used = docs.select(_rank(docs["doc_id"]).alias("doc"), _signature(docs["text"]).alias("sig"), "text")
-    return used.mapInArrow(run, "h long, doc long, sig long, first int, again boolean")
+    return _keyed(docs).mapInArrow(run, _PLACE)
 
 
-def _repeated(found: DataFrame, *keys: str) -> DataFrame:
-    return (
-        found.groupBy(*keys)
-        .agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("again").alias("any_again"))
-        .filter("least <> most OR any_again")
-        .select(*keys, "least")
-    )
+def window_table(docs: DataFrame, repeated: np.ndarray, earliest: np.ndarray, size: int) -> DataFrame:
+    """The places (-1 - first, 1) of the runs of ``size`` words in blocks whose anchor repeats, in the earliest copy of each block."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((repeated, earliest))
+
+    def run(source):
+        repeated, earliest = shared.value
+        for whole in source:
+            for batch in pieces(whole, "text", PIECE):
+                row, first, digest, anchor, words = windows(batch.column("text"), size)
+                of, _, length, h, anchor, _ = blocks(row, first, anchor, words, size)
+                doc = batch.column("doc").to_numpy()[of]
+                held = bitmaps.hit(repeated, _spots(anchor)) & bitmaps.hit(earliest, _spots(_mixed(doc.view(np.uint64), _mixed(h))))
+                held = np.repeat(held, length)
+                row, first, digest = (x[held] for x in (row, first, digest))
+                yield _placed(batch, digest, row, -1 - first, np.ones(len(row), np.int32), _later(row, digest, first, size))
+
+    return _keyed(docs).mapInArrow(run, _PLACE)
+
+
+def _least(found: DataFrame) -> DataFrame:
+    return found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("again").alias("any_again"))
 
 
-def _gone(found: DataFrame, *keys: str) -> DataFrame:
-    # written first, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
-    return found.join(cut(_repeated(found, *keys)), list(keys)).filter("doc > least OR again")
+def _gone(found: DataFrame, least: DataFrame) -> DataFrame:
+    # both sides of the join are written tables, so plain exchanges, whose hot partitions Spark can split
+    repeated = least.filter("least <> most OR any_again").select("h", "least")
+    return found.join(repeated, "h").filter("doc > least OR again").select("doc", "sig", "first", "last")
 
 
-def removals(docs: DataFrame, run_words: int | None = None) -> DataFrame:
-    """doc, sig, gone: the (first, last) sentences of each text that occur before; runs of words as (-1 - first word, -1)."""
-    gone = _gone(unit_table(docs), "d1", "d2").select("doc", "sig", "first", "last")
+def removals(docs: DataFrame, space: Workspace, run_words: int | None = None) -> DataFrame:
+    """doc, sig, gone: what of each text occurs before, as places of :func:`unit_table` and :func:`window_table`."""
+    counted = digest_table(docs, run_words).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    repeated = bitmaps.build(counted, "h", BITS)
+    space.tidy()
+    found = space.keep(unit_table(docs, repeated, run_words))
+    least = space.keep(_least(found))
+    gone = _gone(found, least)
     if run_words is not None:
-        runs = _gone(window_table(docs, run_words), "h")
-        gone = gone.union(runs.select("doc", "sig", (F.lit(-1) - F.col("first")).alias("first"), F.lit(-1).alias("last")))
-    return gone.groupBy("doc", "sig").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+        blocks_ = found.filter("first < 0").select("h").distinct().join(least, "h")
+        earliest = bitmaps.build(blocks_.select(F.xxhash64("h", "least").alias("o")), "o", BITS)
+        runs = space.keep(window_table(docs, repeated, earliest, run_words))
+        gone = gone.union(_gone(runs, space.keep(_least(runs))))
+    return space.keep(gone.groupBy("doc", "sig").agg(F.collect_set(F.struct("first", "last")).alias("gone")))
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _ARROW_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def _run_bytes(raw: bytes, firsts: list[int], size: int, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Which bytes the runs of ``size`` words that begin at ``firsts`` take, and the sentences they touch."""
+def _run_bytes(raw: bytes, runs: list[tuple[int, int]], edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes the runs of words (first, end) take, and the sentences they touch."""
     low = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
     begin = np.flatnonzero(low & ~np.concatenate(([False], low[:-1])))
+    first, end = np.array(runs).T
     change = np.zeros(len(begin) + 1, np.int64)
-    np.add.at(change, firsts, 1)
-    np.add.at(change, np.add(firsts, size), -1)
+    np.add.at(change, first, 1)
+    np.add.at(change, end, -1)
     gone = np.cumsum(change[:-1]) > 0
     out = np.zeros(len(raw), bool)
     out[begin[0] :] = np.repeat(gone, np.diff(np.append(begin, len(raw))))
     return out, np.unique(np.searchsorted(edges, begin[gone], "right") - 1)
 
 
-def cut_out(raw: bytes, gone: list[dict], run_words: int | None = None) -> tuple[str, list[dict], int]:
-    """The text without the given sentences and runs, the removed spans (in characters), and the number of sentences touched."""
+def cut_out(raw: bytes, gone: list[dict], run_words: int | None = None) -> tuple[str, list[dict], int, bool]:
+    """The text without the given sentences and runs, the removed spans (in characters), the number of sentences touched, and whether a run went."""
     found, counts, _ = sentences(raw)
     edges = bounds(raw)
     out = np.zeros(len(found), bool)
@@ -330,8 +372,8 @@ def cut_out(raw: bytes, gone: list[dict], run_words: int | None = None) -> tuple
         if not counts[k] and out[k - 1]:
             out[k] = True  # what closes a sentence goes with it
     bytes_out = np.repeat(out, np.diff(edges))
-    if firsts := [-1 - g["first"] for g in gone if g["first"] < 0]:
-        more, sentence = _run_bytes(raw, firsts, run_words, edges)
+    if runs := [(-1 - g["first"], -2 - g["first"] + g["last"] + run_words) for g in gone if g["first"] < 0]:
+        more, sentence = _run_bytes(raw, runs, edges)
         bytes_out |= more
         touched[sentence] = True
     removed = int(touched.sum())
@@ -343,7 +385,7 @@ def cut_out(raw: bytes, gone: list[dict], run_words: int | None = None) -> tuple
         else:
             kept.append(piece)
         at += len(piece)
-    return "".join(kept), spans, removed
+    return "".join(kept), spans, removed, bool(runs)
 
 
 def _runs(flags: np.ndarray):
@@ -352,12 +394,14 @@ def _runs(flags: np.ndarray):
 
 
 def deduplicate(docs: DataFrame, run_words: int | None = None) -> DataFrame:
-    """The documents with ``text`` shortened; adds ``removed`` (spans of the original text) and ``n_removed`` (sentences).
+    """The documents with ``text`` shortened; adds ``removed`` (spans of the original text), ``n_removed`` (sentences) and ``has_run``.
 
-    With ``run_words``, runs of so many words go as well, and a sentence counts once any of its words goes.
-    ``n_chars``, where the input has it, is brought up to date.
+    With ``run_words``, runs of so many words go as well, a sentence counts once any of its words
+    goes, and ``has_run`` tells that such a run went.  ``n_chars``, where the input has it, is
+    brought up to date.
     """
-    names = [c for c in docs.columns if c.lower() not in ("removed", "n_removed")]
+    added = [T.StructField("removed", T.ArrayType(SPAN)), T.StructField("n_removed", T.LongType()), T.StructField("has_run", T.BooleanType())]
+    names = [c for c in docs.columns if c.lower() not in ("removed", "n_removed", "has_run")]
     docs = docs.select(*names)
     keyed = docs.select(
         F.struct(*[docs[c] for c in names if c != "text"]).alias("row"),
@@ -365,29 +409,25 @@ def deduplicate(docs: DataFrame, run_words: int | None = None) -> DataFrame:
         _rank(docs["doc_id"]).alias("doc"),
         _signature(docs["text"]).alias("sig"),
     )
-    joined = keyed.join(removals(docs, run_words), ["doc", "sig"], "left").select("row", "text", "gone")
-    fields = [T.StructField("removed", T.ArrayType(SPAN)), T.StructField("n_removed", T.LongType())]
-    schema = T.StructType([joined.schema["row"], joined.schema["text"], *fields])
+    space = Workspace(docs.sparkSession)
+    gone = removals(docs, space, run_words)
+    space.tidy()
+    losing, whole = bitmaps.parted(keyed, "doc", gone, "doc")
+    joined = losing.join(gone, ["doc", "sig"], "left").select("row", "text", "gone")
+    schema = T.StructType([joined.schema["row"], joined.schema["text"], *added])
 
     def run(source):
         for whole in source:
             for batch in pieces(whole, "text"):
-                texts, spans, numbers = batch.column("text").to_pylist(), [], []
-                for k, gone in enumerate(batch.column("gone").to_pylist()):
-                    text, span, n = cut_out(texts[k].encode(), gone, run_words) if gone else (texts[k], [], 0)
-                    texts[k] = text
-                    spans.append(span)
-                    numbers.append(n)
+                out = []
+                for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+                    out.append(cut_out(text.encode(), gone, run_words) if gone else (text, [], 0, False))
+                kinds = (pa.string(), pa.list_(_ARROW_SPAN), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row"),
-                        pa.array(texts, pa.string()),
-                        pa.array(spans, pa.list_(_ARROW_SPAN)),
-                        pa.array(numbers, pa.int64()),
-                    ],
-                    names=["row", "text", "removed", "n_removed"],
+                    [batch.column("row"), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=["row", "text", "removed", "n_removed", "has_run"]
                 )
 
-    made = joined.mapInArrow(run, schema)
+    none = [F.array().cast(added[0].dataType).alias("removed"), F.lit(0).cast("long").alias("n_removed"), F.lit(False).alias("has_run")]
+    made = joined.mapInArrow(run, schema).union(whole.select("row", "text", *none))
     back = [F.col("text") if c == "text" else F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in names]
-    return made.select(*back, "removed", "n_removed")
+    return made.select(*back, "removed", "n_removed", "has_run")

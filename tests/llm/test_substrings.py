@@ -3,16 +3,17 @@ import re
 import zlib
 
 from newsloom.llm import queries, substrings
+from newsloom.llm.shared import Workspace
 
 
 def brute_parts(text, a, b):
-    """A sentence of more than 32 words, cut behind each word that its hash picks."""
+    """A sentence of more than 24 words, cut behind each word that its hash picks."""
     end = b - 1 if b > a and text[b - 1] in ".!?\n" else b
     found = [m.span() for m in re.finditer(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text[a:end])]
-    if len(found) <= 32:
+    if len(found) <= 24:
         return [(a, b)]
     low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()
-    cuts = [a + y + 1 for x, y in found if a + y < end and zlib.crc32(low(text[a + x : a + y])) % 16 == 0]
+    cuts = [a + y + 1 for x, y in found if a + y < end and zlib.crc32(low(text[a + x : a + y])) % 8 == 0]
     edges = [a, *cuts, b]
     return [(x, y) for x, y in zip(edges, edges[1:])]
 
@@ -41,7 +42,7 @@ def brute_units(text):
     for i in range(len(spans)):
         if i == len(spans) - 1 or text[spans[i][1] - 1] == "\n":
             run = [w for ws in words[line : i + 1] for w in ws]
-            if 4 <= len(run) < 8:
+            if run:
                 out.append((("\n", *run), line, i))
             line = i + 1
     return spans, words, out
@@ -154,7 +155,7 @@ def test_every_run_of_over_50_words_goes_whole(spark, tmp_path):
     assert len(got) == len(rows)
 
 
-def test_runs_equal_brute_force(spark):
+def test_runs_equal_brute_force(spark, tmp_path):
     rng = random.Random(4)
     pool = [f"w{k}" for k in range(3000)]
     rows = []
@@ -164,18 +165,36 @@ def test_runs_equal_brute_force(spark):
             a = rng.randrange(2900)
             words += pool[a : a + rng.randrange(5, 90)] if rng.random() < 0.8 else [f"x{rng.randrange(10**6)}"]
         rows.append((doc, " ".join(words)))
+    rows += [(60 + k, rows[k][1]) for k in range(5)] + [(70, " ".join(pool[:70] * 3)), (71, " ".join(pool[:70] * 2))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = substrings._gone(substrings.window_table(docs, 51), "h")
+    gone = {}
+    for r in substrings.removals(docs, Workspace(spark), 51).collect():
+        gone[r.doc] = {k for g in r.gone if g["first"] < 0 for k in range(-1 - g["first"], -2 - g["first"] + g["last"] + 51)}
     first = {}
     for doc, text in rows:
         w = text.split()
         for i in range(len(w) - 50):
             first.setdefault(tuple(w[i : i + 51]), (doc, i))
-    want = set()
+    want = {}
     for doc, text in rows:
         w, own = text.split(), {}
         for i in range(len(w) - 50):
             key = tuple(w[i : i + 51])
             if first[key][0] < doc or i - own.setdefault(key, i) >= 51:
-                want.add((doc, i))
-    assert len(want) > 100 and {(r.doc, r.first) for r in found.collect()} == want
+                want.setdefault(doc, set()).update(range(i, i + 51))
+    assert len(want) > 20 and {d: g for d, g in gone.items() if g} == want
+
+
+def test_very_long_text(spark):
+    rng = random.Random(6)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, "before. " + long + " after"), (3, long[:400_000])], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.deduplicate(docs, 51).collect()}
+    assert got[1].text == long and not got[1].has_run and got[2].text == "before.after" and got[2].has_run
+    assert len(got[3].text.split()) <= 1
+
+
+def test_every_repeated_line_goes(spark):
+    rows = [(1, "One\nTwo words\nown text of the first"), (2, "one\n\n two  WORDS!\nother text"), (3, "text\nOne, two words\nOne")]
+    got = {r.doc_id: r.text for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\nother text", 3: "text\nOne, two words\n"}
