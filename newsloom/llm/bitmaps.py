@@ -35,11 +35,11 @@ def hit(packed: np.ndarray, spots: np.ndarray) -> np.ndarray:
 
 def parted(rows: DataFrame, column: str, ids: DataFrame, of: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``column`` is (but for false hits) among the ids, and the others; in the JVM, by a broadcast of BITS / 8 bytes."""
-    bits = F.broadcast(table(ids, of))
     at = F.pmod(F.col("p"), F.lit(_ROW))
     byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = rows.columns
-    met = rows.withColumn("p", spot(column)).join(bits, (F.col("p") / _ROW).cast("long") + 1 == F.col("k"), "left")
-    held = F.col("bits").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, CAST(pmod(p, 8) AS INT))")) != 0)
-    held = F.coalesce(held, F.lit(False))
-    return met.filter(held).select(*kept), met.filter(~held).select(*kept)
+    met = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), spot(rows[column]).alias("p")).join(
+        F.broadcast(table(ids, of)), (F.col("p") / _ROW).cast("long") + 1 == F.col("k"), "left"
+    )
+    held = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(pmod(p, 8) AS INT))")) != 0, F.lit(False))
+    back = [F.col("row")[c].alias(c) for c in rows.columns]
+    return met.filter(held).select(*back), met.filter(~held).select(*back)

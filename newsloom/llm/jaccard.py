@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import bitmaps
 from .batches import pieces
-from .shared import Workspace, cut
+from .shared import Workspace, cut, fewer_parts
 from .shingles import Shingler
 
 #: Columns with more rows than this are worked off by leading documents.
@@ -264,10 +264,10 @@ def _out(key, a, b, na, nb, pos) -> pa.RecordBatch:
 def multiply(docs: DataFrame, described: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """The pairs of the short columns (a < b, na, nb, c: common columns, room), and the entries of the long ones (key, row, n, pos)."""
     dealt = leading_entries(docs, frequent(described)).repartition("key", "salt").sortWithinPartitions("key", "row")
-    both = space.keep(dealt.mapInArrow(_multiplied, "key long, a long, b long, na int, nb int, pos int"))
+    both = space.keep(dealt.mapInArrow(_multiplied, "key long, a long, b long, na int, nb int, pos int"), True)
     met = both.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pos").alias("room"))
     long = both.filter("key IS NOT NULL").select("key", F.col("a").alias("row"), F.col("na").alias("n"), "pos")
-    return space.keep(met), long
+    return space.keep(met, True), long
 
 
 def discard(pairs: DataFrame, counted: DataFrame | None, long: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def _followers(long: DataFrame, turn: int, space: Workspace) -> DataFrame:
     drawn = F.xxhash64("row", F.lit(turn))
     leaders = long.groupBy("key", F.pmod(drawn, F.lit(LEADERS)).alias("place")).agg(F.min(F.struct(own, drawn.alias("drawn"), "row", "n", "pos", "label")).alias("x"))
     # written first: a join of plain exchanges, in which Spark can split a long column
-    leaders = space.keep(leaders.select("key", "x.*"))
+    leaders = space.keep(leaders.select("key", "x.*"), True)
     met = _ended(leaders, "1").join(_ended(long, "2"), "key").filter("label1 <> label2").filter(_room("n1", "pos1", "n2", "pos2"))
     # those that a row meets in most columns
     often = met.groupBy("row1", "n1", "row2", "n2").agg((-F.count("*")).alias("c"), F.min("own1").alias("own"), F.first("drawn1").alias("drawn"))
@@ -403,7 +403,7 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> D
     """node, label of every class that links with another one; None if no two share a leading column."""
     space = Workspace(docs.sparkSession)
     counted, long = multiply(docs, described, space)
-    pairs = space.keep(discard(counted.filter("room = 1"), None, long))
+    pairs = space.keep(discard(counted.filter("room = 1"), None, long), True)
     space.tidy()
     labels, links = None, []
     for turn in range(ROUNDS + 1):
@@ -415,8 +415,8 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> D
             chosen = one.union(discard(_followers(open_long, turn, space), counted, long)).distinct()
         else:
             chosen = open_pairs.union(discard(_all_across(open_long), counted, long)).distinct()
-        chosen = cut(chosen)
-        found = cut(verify(chosen, docs, classes))
+        chosen = cut(chosen.coalesce(fewer_parts(docs.sparkSession)))
+        found = cut(verify(chosen, docs, classes).coalesce(fewer_parts(docs.sparkSession)))
         space.tidy()
         if found.isEmpty():
             if turn == ROUNDS or chosen.isEmpty():

@@ -9,17 +9,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; one of its own only where no cluster needs to share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
+def fewer_parts(spark: SparkSession) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints ``df``; a folder of its own is set only where the session has none."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -27,10 +34,13 @@ class Workspace:
     """Compressed tables for the intermediate results of one operator, which it drops itself."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.number = spark, f"{_folder(spark)}/{uuid.uuid4().hex}", 0
+        self.spark, self.path, self.number = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, fewer: bool = False) -> DataFrame:
+        """Writes and reads ``df``; ``fewer``: what comes out of a shuffle is far less than went in, and fewer files hold it."""
         self.number += 1
+        if fewer:
+            df = df.coalesce(fewer_parts(self.spark))
         df.write.option("compression", "zstd").parquet(f"{self.path}/{self.number}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}")
         out.workspace_number = self.number

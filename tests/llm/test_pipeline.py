@@ -57,7 +57,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     kept = [(d, t) for d, t, *_ in rows if t and re.search(r"[^\W\d_]", t)]
     groups = components(kept)
     kept = [(d, t) for d, t in kept if groups[d][1] == d]
-    texts = {d: t for d, t in shortened(kept).items() if t.strip() or not dict(kept)[d].strip()}
+    texts = {d: t for d, t in shortened(kept, 51).items() if t.strip() or not dict(kept)[d].strip()}
     texts = {d: t for d, t in texts.items() if not contaminated(t, bench, 10)[1]}
     assert got.keys() == texts.keys()
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -79,6 +79,16 @@ def test_stages_keep_the_columns_and_drop_what_they_must(spark, tmp_path):
     ]
 
 
+def test_clashing_names_and_repeated_ids(spark, tmp_path):
+    write(spark, str(tmp_path))
+    rows = [(1, "the house and the river", "x", 5), (1, "the people and the window", "y", 6), (2, "the house and the river", "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __lang string, score int").selectExpr("*", "'en' AS lang")
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, kept.collect())) == sorted((*r, "en") for r in rows)
+    alone = [sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs.repartition(n), str(tmp_path)).collect())) for n in (1, 3)]
+    assert alone[0] == alone[1] == [(1, "the house and the river", "x", 5, "en")]
+
+
 def test_empty_and_odd_documents(spark, tmp_path):
     write(spark, str(tmp_path))
     empty = spark.createDataFrame([], FIELDS)
