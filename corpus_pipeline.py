@@ -6,15 +6,15 @@ A stage works on all that its predecessor kept.  The first four return the colum
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, jaccard, languages, queries, sentencepieces, substrings
+from newsloom.llm import bitmaps, decontamination, jaccard, languages, queries, sentencepieces, substrings
+from newsloom.llm.shared import Workspace, shared_folder
 
-#: A document goes if no language holds this part of its words.
+#: A document goes if no language of those chosen for it holds this part of its words.
 LEAST_SHARE = 0.4
 
 
@@ -23,20 +23,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.learn(docs)
     if not model[0]:
         return docs
-    found = languages.predict(docs.withColumn("__lang", F.col("lang")), model)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("__lang", "lang_pred")).select(docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    found = languages.predict(docs.select(row, docs["text"].alias("text")), model)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("languages")[0]["share"] >= LEAST_SHARE))
+    back = {c: F.col("row")[c].alias(c) for c in docs.columns}
+    return kept.select(*[F.coalesce(x, F.col("lang_pred")).alias("lang") if c == "lang" else x for c, x in back.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that five-word shingles link at a Jaccard similarity of 0.8: the smallest id.
 
-    Rows that repeat a doc_id count as one document, of which one text stays; rows without doc_id
-    cannot be named in a group and stay.
+    Rows that repeat a doc_id count as one document, of which the smallest text stays; rows without
+    doc_id cannot be named in a group and stay.
     """
-    stay = jaccard.link(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.union(docs.filter(F.col("doc_id").isNull()))
+    linked = jaccard.link(docs).filter("doc_id IS NOT NULL")
+    ids = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    known = Workspace(spark).keep(ids.filter("NOT stays OR n > 1"), True)
+    # only documents that may go are shuffled
+    asked, others = bitmaps.parted(docs, "doc_id", known, "doc_id")
+    out = others.union(asked.join(known, "doc_id", "left_anti").select(docs.columns))
+    several = known.filter("stays")
+    if several.isEmpty():
+        return out
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")
+    one = asked.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", rest)).alias("x"))
+    return out.union(one.select(*[F.col(c if c == "doc_id" else f"x.{c}" if c == "text" else f"x.rest.{c}").alias(c) for c in docs.columns]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +81,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them goes to the shared folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = queries.table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
