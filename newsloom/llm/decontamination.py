@@ -6,13 +6,14 @@ binary search, word by word, which gives the longest verbatim matches and where
 they stand.  Documents with a match of at least a window are contaminated.
 
 The benchmark travels to the shards in blocks of at most ``block_words`` words
-(a single longer item is a block of its own), so a benchmark of any size needs
-bounded memory; with several blocks the documents pass through one after the
-other within the same stage.  Nothing is shuffled.
+(a single longer item is a block of its own).  A shard meets block after block in
+one pass; a task holds at most ``HELD_BLOCKS`` of them at a time and reads the others
+anew, so a benchmark of any size needs bounded memory.  Nothing is shuffled.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A window
 is ``window`` consecutive words of an item, or the whole item if it has fewer.
-Null and empty texts have no words and match nothing; a null item text is an item
+Null and empty texts have no words and match nothing; a very long text is a shard of
+its own; a null item text is an item
 without words; an item with a null id still marks words as hit but is not listed.
 Repeated rows are each judged alone; items that share windows are all listed.  An
 empty benchmark leaves every document clean.  Input columns that bear the name of
@@ -34,6 +35,7 @@ from .batches import add_columns, raw_texts, words_of
 
 WINDOW = 10
 BLOCK_WORDS = 250_000
+HELD_BLOCKS = 4
 
 MATCH = T.StructType(
     [
@@ -65,18 +67,18 @@ class Block:
         self.longest = int(sizes.max(initial=0))
 
 
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark as blocks; the driver holds one at a time."""
+def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The benchmark's items in blocks; the driver holds one at a time."""
     held, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = words_of((row[1] or "").encode())
         if held and n + len(words) > block_words:
-            yield Block(held, window)
+            yield held
             held, n = [], 0
         held.append((row[0], words))
         n += len(words)
     if n:
-        yield Block(held, window)
+        yield held
 
 
 def suffix_array(text: np.ndarray, depth: int, top: int) -> np.ndarray:
@@ -199,45 +201,49 @@ def find_matches(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Adds ``n_words`` and ``matches``: the maximal verbatim matches of at least a window with any item."""
-    session = docs.sparkSession
-    shared = [session.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words)]
+    context = docs.sparkSession.sparkContext
+    # plain values: a worker that has no copy of this package builds the blocks itself
+    shared = [context.broadcast(items) for items in blocks(benchmark, block_words)]
     source = text
     if text in ("n_words", "matches"):
         source = "__text"
         docs = docs.withColumn(source, docs[text])
 
-    def step(bc, prior: bool):
-        def make():
-            block = bc.value if bc is not None else None
-
-            def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-                texts = [words_of(t) for t in raw_texts(batch.column(source))]
-                words = pa.array([len(t) for t in texts], pa.int64())
-                if block is None:
-                    return [words, pa.array([[]] * len(texts), pa.list_(_ARROW_MATCH))]
-                doc, item, inside, at, size = shard_matches(texts, block)
-                new = pa.StructArray.from_arrays(
-                    [
-                        pa.array([block.names[i] for i in item.tolist()], pa.string()),
-                        *(pa.array(x, pa.int32()) for x in (inside, at, size)),
-                    ],
-                    fields=list(_ARROW_MATCH),
-                )
-                offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(offsets), new)
-                if prior:
-                    both = [a + b for a, b in zip(batch.column("matches").to_pylist(), found.to_pylist())]
-                    found = pa.array(both, pa.list_(_ARROW_MATCH))
-                return [words, found]
-
-            return compute
-
-        return make
+    def make():
+        held: dict[int, Block] = {}
+
+        def block_of(k: int) -> Block:
+            if k in held:
+                return held[k]
+            block = Block(shared[k].value, window)
+            shared[k].__dict__.pop("_value", None)  # what was read; it can be read again
+            if len(held) < HELD_BLOCKS:
+                held[k] = block
+            return block
+
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = [words_of(t) for t in raw_texts(batch.column(source))]
+            found, names = [np.zeros((5, 0), np.int64)], []
+            for k in range(len(shared)):
+                block = block_of(k)
+                met = np.array(shard_matches(texts, block), np.int64)
+                used, met[1] = np.unique(met[1], return_inverse=True)
+                met[1] += len(names)
+                names += [block.names[i] for i in used.tolist()]
+                found.append(met)
+            doc, item, inside, at, size = (x := np.concatenate(found, axis=1))[:, np.argsort(x[0], kind="stable")]
+            new = pa.StructArray.from_arrays(
+                [pa.array([names[i] for i in item.tolist()], pa.string()), *(pa.array(x, pa.int32()) for x in (inside, at, size))],
+                fields=list(_ARROW_MATCH),
+            )
+            offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            return [pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), new)]
+
+        return compute
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))]
     docs = docs.drop("n_words", "matches")
-    for k, bc in enumerate(shared or [None]):
-        docs = add_columns(docs, fields, source, step(bc, k > 0))
+    docs = add_columns(docs, fields, source, make)
     return docs.drop("__text") if source == "__text" else docs
 
 

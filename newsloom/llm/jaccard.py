@@ -60,8 +60,8 @@ ROUNDS = 2
 FREQUENT_KEPT = 1 << 18
 FREQUENT = 32
 #: Bytes of text that are shingled at once, and in which a task counts shingles.
-PIECE = 1 << 20
-WINDOW = 8 * PIECE
+PIECE = 1 << 19
+WINDOW = 8 << 20
 #: A column with so many rows in a window is spread over SALTS tasks.
 OFTEN = 3
 SALTS = 256

@@ -6,9 +6,12 @@ of languages: expectation-maximisation estimates its proportions from the words'
 likelihoods, and the set of languages is chosen by penalised likelihood (half the
 logarithm of the number of words, and ``STEP``, for each language beyond the first).
 
-Learning shuffles one row per task, language and trigram bucket; the model has
-``BUCKETS`` numbers for each language, at most ``MOST_LANGUAGES`` of them, so its
-broadcast is bounded.  Prediction is one narrow pass over whole texts.
+Learning shuffles one row per task, language and trigram bucket.  The model is sparse, one
+number for each language and bucket seen with it (at most ``BUCKETS`` for a language), so
+what reaches the driver and the workers grows with the number of languages alone, and a
+language whose name is junk costs next to nothing.  Prediction is one narrow pass over whole
+texts, in pieces that are the smaller the more languages there are; a very long text is a
+piece of its own.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing was learned (no row with a language, or an empty table).  Rows without a
@@ -28,13 +31,12 @@ from pyspark.sql import types as T
 from .batches import add_columns, flat_bytes, pieces
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 1000
 #: Pseudo-count of every bucket.
 ALPHA = 0.5
 ROUNDS = 12
 STEP = 3.0
 #: Bytes of text worked on at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 #: 0 for what is no letter; 1-26 for a-z in either case; above for every byte of other characters.
 _CLASS = np.array(
@@ -86,17 +88,35 @@ def count_trigrams(labelled: DataFrame, text: str = "text", lang: str = "lang")
     return used.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages, sorted, and the log-probabilities of their trigrams (language, bucket)."""
-    counts = count_trigrams(labelled, text, lang).select("lang", "bucket", "n").toArrow()
-    names = sorted(set(counts["lang"].to_pylist()))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is bounded to {MOST_LANGUAGES}")
-    table = np.full((len(names), BUCKETS), ALPHA)
-    place = {n: k for k, n in enumerate(names)}
-    at = np.array([place[n] for n in counts["lang"].to_pylist()], np.int64)
-    table[at, counts["bucket"].to_numpy()] += counts["n"].to_numpy()
-    return names, np.log(table / table.sum(1, keepdims=True)).astype(np.float32) if names else table
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], tuple[np.ndarray, ...]]:
+    """The languages, sorted, and the logarithms of their trigrams' probabilities.
+
+    These are each language's logarithm of an unseen bucket, and by bucket the languages it was
+    seen with and what their logarithm is above that of an unseen one.
+    """
+    one = F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("x")
+    rows = count_trigrams(labelled, text, lang).groupBy("lang").agg(F.sum("n").alias("n"), one).orderBy("lang")
+    names, least, buckets, of, above = [], [], [], [], []
+    for r in rows.select("lang", "n", "x.bucket", F.col("x.n").alias("counts")).toLocalIterator():
+        least.append(np.log(ALPHA / (r["n"] + ALPHA * BUCKETS)))
+        buckets.append(np.array(r["bucket"], np.int32))
+        of.append(np.full(len(buckets[-1]), len(names), np.int32))
+        above.append((np.log((np.array(r["counts"]) + ALPHA) / ALPHA)).astype(np.float32))
+        names.append(r["lang"])
+    bucket, of, above = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((buckets, np.int32), (of, np.int32), (above, np.float32)))
+    order = np.argsort(bucket, kind="stable")
+    start = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    return names, (np.array(least, np.float32), start, of[order], above[order])
+
+
+def _columns(logs: tuple[np.ndarray, ...], used: np.ndarray) -> np.ndarray:
+    """The logarithms of some buckets (language, bucket)."""
+    least, start, of, above = logs
+    out = np.repeat(least[:, None], len(used), axis=1)
+    size = start[used + 1] - start[used]
+    at = np.repeat(start[used], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[of[at], np.repeat(np.arange(len(used)), size)] += above[at]
+    return out
 
 
 def mixtures(likelihood: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +135,18 @@ def mixtures(likelihood: np.ndarray, starts: np.ndarray, allowed: np.ndarray) ->
     return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)).astype(np.float64), starts)
 
 
-def infer(column: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(column: pa.Array, logs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row: best language (-1 for none), its proportion in the full mixture, proportions in the chosen set."""
-    languages, rows = len(logs), len(column)
+    languages, rows = len(logs[0]), len(column)
     best, score, chosen = np.full(rows, -1), np.zeros(rows), np.zeros((languages, rows))
     codes, first, word_row = word_trigrams(column)
     if not languages or not len(first):
         return best, score, chosen
-    words = np.stack([np.add.reduceat(log[codes], first) for log in logs])
+    seen = np.zeros(BUCKETS, bool)
+    seen[codes] = True
+    number = np.cumsum(seen) - 1
+    codes = number[codes]
+    words = np.stack([np.add.reduceat(log[codes], first) for log in _columns(logs, np.flatnonzero(seen))])
     words -= words.max(0)
     starts = np.flatnonzero(np.concatenate(([True], word_row[1:] != word_row[:-1])))
     row = word_row[starts]
@@ -157,7 +181,7 @@ def infer(column: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, score, chosen
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], tuple[np.ndarray, ...]], text: str = "text") -> DataFrame:
     """Adds lang_pred, score and languages (the chosen set with its proportions, largest first)."""
     names, logs = model
     shared = docs.sparkSession.sparkContext.broadcast((names, logs))

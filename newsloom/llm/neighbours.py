@@ -62,6 +62,13 @@ class Codebook:
         unit = units(sample)
         self.first, self.second = kmeans(unit[:, : self.half], self.k), kmeans(unit[:, self.half :], self.k)
 
+    @classmethod
+    def of(cls, state: dict) -> Codebook:
+        """From the attributes, which are plain values that any worker can read."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(unit[:, : self.half], self.first), squared(unit[:, self.half :], self.second)
 
@@ -137,12 +144,13 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         return empty
     by_hash = lambda df, m: matrix(df.orderBy(F.xxhash64("d1", "d2")).limit(m).select("v").toArrow()["v"].combine_chunks())
     book = Codebook(by_hash(entries, SAMPLE), n)
-    shared_book = session.sparkContext.broadcast(book)
+    shared_book = session.sparkContext.broadcast(vars(book))
 
     def place(source):
+        book = Codebook.of(shared_book.value)
         for batch in source:
             if batch.num_rows:
-                cells = shared_book.value.cells(matrix(batch.column("v")))
+                cells = book.cells(matrix(batch.column("v")))
                 yield batch.append_column("cell", pa.array(cells, pa.int32()))
 
     placed = cut(entries.mapInArrow(place, "d1 long, d2 long, ids array<long>, v array<double>, cell int"))
@@ -176,11 +184,11 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     def deal_queries(source):
         of_cell, counts, enough, chunks = plan.value
-        listed = counts.tolist()
+        book, listed = Codebook.of(shared_book.value), counts.tolist()
         for batch in source:
             if not batch.num_rows:
                 continue
-            a, b = shared_book.value.distances(units(matrix(batch.column("v"))))
+            a, b = book.distances(units(matrix(batch.column("v"))))
             row, blocks, cells = [], [], []
             for r in range(batch.num_rows):
                 met: dict[int, list[int]] = {}

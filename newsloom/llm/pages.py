@@ -370,10 +370,12 @@ def _page(rng: random.Random) -> str:
 
 def main_text(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """Adds the main text and its number of code points."""
-    shared = pages.sparkSession.sparkContext.broadcast(Model(labelled_pages()))
+    # plain values: a worker that has no copy of this package builds the model itself
+    shared = pages.sparkSession.sparkContext.broadcast(vars(Model(labelled_pages())))
 
     def make():
-        model = shared.value
+        model = Model.__new__(Model)
+        model.__dict__.update(shared.value)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(html if html in batch.schema.names else "__input")

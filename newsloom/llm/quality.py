@@ -146,9 +146,8 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(ids, "id"))
 
     def run(source):
-        table = bitmaps.unpack(shared.value)
         for batch in source:
-            yield batch.filter(pa.array(table[batch.column("spot").to_numpy()]))
+            yield batch.filter(pa.array(bitmaps.hit(shared.value, batch.column("spot").to_numpy())))
 
     used = docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropna().withColumn("spot", bitmaps.spot("id"))
     return used.mapInArrow(run, used.schema).join(ids, "id", "left_semi")

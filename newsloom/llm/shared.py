@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +21,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts that go to a Python worker at once while a table is written here.
+BATCH_ROWS = 1000
+
+
+def lower_batches(spark: SparkSession) -> str:
+    """Keeps the session's Arrow batches small in the JVM and in Python; gives the setting that it had."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for a while; the session's own setting comes back."""
+    before = lower_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def fewer_parts(spark: SparkSession) -> int:
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints ``df``; a folder of its own is set only where the session has none."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 class Workspace:
@@ -41,7 +66,8 @@ class Workspace:
         self.number += 1
         if fewer:
             df = df.coalesce(fewer_parts(self.spark))
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{self.number}")
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{self.number}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}")
         out.workspace_number = self.number
         return out

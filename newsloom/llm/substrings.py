@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from . import bitmaps
 from .batches import WORD_BYTES, flat_bytes, pieces
-from .shared import Workspace
+from .shared import Workspace, small_batches
 
 LEAST_WORDS = 8
 LONG_WORDS = 24
@@ -59,9 +59,9 @@ PART = 8
 RUN_WORDS = 51
 GRAM = 16
 #: Bytes of text that are worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bits of the maps of digests.
-BITS = 1 << 27
+BITS = 1 << 26
 _LAST = (1 << 63) - 1
 
 _IN_WORD = np.frombuffer(WORD_BYTES, np.uint8) != 32
@@ -293,7 +293,8 @@ def _gone(found: DataFrame, least: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, space: Workspace, run_words: int | None = None) -> DataFrame:
     """doc, sig, gone: the words (first to end) of each text that occur before, and whether they do as a run of ``run_words``."""
     counted = digest_table(docs, run_words).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    repeated = bitmaps.build(counted, "h", BITS)
+    with small_batches(docs.sparkSession):
+        repeated = bitmaps.build(counted, "h", BITS)
     space.tidy()
     found = space.keep(unit_table(docs, repeated, run_words))
     least = space.keep(_least(found), True)

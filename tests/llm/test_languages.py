@@ -48,6 +48,59 @@ def test_predictions_and_sets(spark, model):
     assert languages.predict(docs.limit(0), model).count() == 0
 
 
+def test_logarithms_equal_plain_counts(spark, model):
+    counts = {}
+    rows = [("en", EN * 3), ("de", DE * 3)]
+    for r in languages.count_trigrams(spark.createDataFrame(rows, "lang string, text string")).collect():
+        counts.setdefault(r.lang, {})[r.bucket] = r.n
+    used = np.array(sorted(set(counts["en"]) | set(counts["de"]) | {0, languages.BUCKETS - 1}))
+    got = languages._columns(model[1], used)
+    for name in ("en", "de"):
+        whole = sum(counts[name].values()) + languages.ALPHA * languages.BUCKETS
+        want = np.log([(counts[name].get(b, 0) + languages.ALPHA) / whole for b in used.tolist()])
+        assert np.allclose(got[model[0].index(name)], want, atol=1e-4)
+
+
+def test_sets_equal_plain_search(model):
+    """The chosen set is the prefix of languages, by their share in the full mixture, with the largest penalised likelihood."""
+    texts = [EN, DE, EN + DE, EN * 2 + DE * 2, EN[:20] + DE[:30], "the der", "x"]
+    names, logs = model
+    _, _, chosen = languages.infer(pa.array(texts), logs)
+    table = np.exp(languages._columns(logs, np.arange(languages.BUCKETS)).astype(np.float64))
+    for t, text in enumerate(texts):
+        codes, first, _ = languages.word_trigrams(pa.array([text]))
+        words = np.multiply.reduceat(table[:, codes], first, axis=1)
+        words /= words.max(0)
+        share = np.full(len(names), 1 / len(names))
+
+        def em(allowed, words=words):
+            share = allowed / allowed.sum()
+            for _ in range(languages.ROUNDS):
+                joint = words * share[:, None]
+                share = (joint / joint.sum(0)).mean(1)
+            return share, np.log((words * share[:, None]).sum(0)).sum()
+
+        share, _ = em(np.ones(len(names)))
+        order = np.argsort(-share, kind="stable")
+        one = np.log(words).sum(1)
+        best, value = {int(one.argmax())}, one.max()
+        step = languages.STEP + np.log(words.shape[1]) / 2
+        for k in range(2, len(names) + 1):
+            allowed = np.zeros(len(names))
+            allowed[order[:k]] = 1
+            reached = em(allowed)[1] - (k - 1) * step
+            if reached > value + 1e-3:
+                best, value = set(order[:k].tolist()), reached
+        assert set(np.flatnonzero(chosen[:, t] > 1e-6)) <= best and {int(chosen[:, t].argmax())} <= best
+
+
+def test_two_thousand_languages(spark):
+    rows = [(k, "en" if k % 2 else "de", EN if k % 2 else DE) for k in range(200)] + [(1000 + k, f"junk{k}", f"word{k} abc") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = languages.report(docs.filter("doc_id < 30 OR doc_id >= 1000")).filter("doc_id < 30").collect()
+    assert len(got) == 30 and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got)
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert languages.report(docs).select("lang_pred", "score").first() == ("und", 0.0)
