@@ -7,12 +7,14 @@ A stage works on all that its predecessor kept.  The first four return the colum
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bitmaps, decontamination, jaccard, languages, queries, sentencepieces, substrings
-from newsloom.llm.shared import Workspace, shared_folder
+from newsloom.llm.shared import Workspace, fewer_parts, lower_batches, shared_folder
 
 #: A document goes if no language of those chosen for it holds this part of its words.
 LEAST_SHARE = 0.4
@@ -41,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     known = Workspace(spark).keep(ids.filter("NOT stays OR n > 1"), True)
     # only documents that may go are shuffled
     asked, others = bitmaps.parted(docs, "doc_id", known, "doc_id")
-    out = others.union(asked.join(known, "doc_id", "left_anti").select(docs.columns))
+    out = others.union(asked.join(known, "doc_id", "left_anti").select(docs.columns).coalesce(fewer_parts(spark)))
     several = known.filter("stays")
     if several.isEmpty():
         return out
@@ -67,12 +69,23 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), "agrees")
 
 
+def _small(stage: Callable) -> Callable:
+    """The stage in a session whose Arrow batches of whole texts are small."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lower_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("ngram_jaccard_join", near_duplicates),
-    ("substring_dedup", repeated_passages),
-    ("benchmark_decontamination", benchmark_free),
-    ("sentencepiece_encoding", encoded),
+    ("language_id", _small(language_id)),
+    ("ngram_jaccard_join", _small(near_duplicates)),
+    ("substring_dedup", _small(repeated_passages)),
+    ("benchmark_decontamination", _small(benchmark_free)),
+    ("sentencepiece_encoding", _small(encoded)),
 ]
 
 #: Mixture inference and the encoder cannot be expressed in SQL; tests hold run() against brute force.
