@@ -10,9 +10,12 @@ with the usual parts in varying order, nesting and naming.
 
 A null or empty page, or one without content, has the empty text.  Character references
 are decoded after the markup is parsed; white space inside a block becomes one space,
-blocks are joined by a line end, in page order.  Scripts, styles, markup comments and the
-head hold no text.  Unclosed and misnested elements are closed as browsers do for
-paragraphs, list items and table cells; a ``<`` that starts no tag is text.  Rows are
+blocks are joined by a line end, in page order.  Scripts, styles, frames, templates, markup
+comments, controls of forms and the head hold no text; what else stands in an article,
+formulas and fallbacks included, stays.  A hidden element takes no part in the model, and its
+text is left out.  Unclosed and misnested elements are closed as browsers do for
+paragraphs, list items and table cells; a ``<`` that starts no tag is text.  Parsing and
+inference take time in proportion to the page, however deep or broken it is.  Rows are
 mapped one by one, so repeats, ties and an empty table need no rule; an input column that
 bears the name of an output is replaced.  One narrow pass.
 """
@@ -39,9 +42,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
-_RAW = {name: re.compile(rf"(?i)</{name}\b[^>]*>") for name in ("script", "style", "textarea", "title", "xmp")}
+_RAW = {name: re.compile(rf"(?i)</{name}\b[^>]*>") for name in ("script", "style", "textarea", "title", "iframe", "noframes", "xmp")}
 #: Elements whose whole content is no text of the page.
-_DARK = frozenset("head noscript template svg math iframe canvas object audio video select datalist button".split())
+_DARK = frozenset("head template select datalist button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -50,15 +53,29 @@ _BLOCK = frozenset(
 )
 #: What an opening tag closes, and what stops the search for it.
 _CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "tr": ("tr", "td", "th"),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "tbody": ("thead", "tbody", "tfoot"),
+    "tfoot": ("thead", "tbody", "tfoot"),
 }
+_STOPS = {
+    "li": ("ul", "ol", "menu", "dir"),
+    "dt": ("dl",),
+    "dd": ("dl",),
+    "tr": ("table",),
+    "td": ("tr", "table"),
+    "th": ("tr", "table"),
+    "tbody": ("table",),
+    "tfoot": ("table",),
+}
+#: A paragraph does not reach beyond these; nor do the closing tags of inline elements beyond cells.
+_ROOMS = ("td", "th", "button", "object", "caption")
+_CELLS = ("td", "th", "table")
+_INLINE = frozenset(("p", "b", "i", "a", "span"))
 _KIND = {
     **dict.fromkeys(("p", "pre", "blockquote"), "prose"),
     **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"),
@@ -73,7 +90,7 @@ class Node:
 
     def __init__(self, tag: str, names: str, parent: int, within: str, hidden: bool):
         self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
-        #: The nearest article or main element around it.
+        #: The nearest article or main element around it; for a part of a table, the table's use.
         self.within = within
         self.letters = self.linked = 0
         self.label = False
@@ -84,6 +101,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("html", "", -1, "", False)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block each belongs to
+    where: dict[str, list[int]] = defaultdict(list)  # the places in the stack of each name
     run: list[str] = []
     dark = links = 0
     at = 0
@@ -100,13 +118,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if any(name in _BLOCK for name, _ in stack[depth:]):
             flush()
         for name, _ in stack[depth:]:
+            where[name].pop()
             dark -= name in _DARK
             links -= name == "a"
         del stack[depth:]
 
-    def text(piece: str):
+    def nearest(names) -> int:
+        """The innermost open element of these names; 0 for none."""
+        return max((where[name][-1] for name in names if where[name]), default=0)
+
+    def text(piece: str, raw: bool = False):
         if piece and not dark:
-            if "&" in piece:
+            if "&" in piece and not raw:
                 piece = unescape(piece)
             run.append(piece)
             node = nodes[stack[-1][1]]
@@ -114,9 +137,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             node.letters += n
             node.linked += n * (links > 0)
 
-    end = len(html)
+    end, last = len(html), html.rfind(">")
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 else None
         if m is None:
             text(html[at:])
             break
@@ -127,44 +150,35 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "table") and name in ("p", "b", "i", "a", "span"):
-                    break
+            depth = nearest((name,))
+            if depth and not (name in _INLINE and depth < nearest(_CELLS)):
+                close(depth)
             continue
         attributes = m[3] or m[6] or ""
         if name in _RAW:
             closing = _RAW[name].search(html, at)
+            if name == "xmp":
+                flush()
+                text(html[at : closing.start() if closing else end], True)
+                flush()
             at = closing.end() if closing else end
             continue
-        if name in ("html", "body") and any(s[0] == name for s in stack[1:]) or name == "html":
+        if name == "html" or name == "body" and where["body"]:
             continue
         if name == "br":
             run.append("\n")
             continue
         if name in _BLOCK:
-            if name == "body":  # an unclosed head ends here
-                for depth in range(1, len(stack)):
-                    if stack[depth][0] == "head":
-                        close(depth)
-                        break
+            if name == "body" and where["head"]:  # an unclosed head ends here
+                close(where["head"][-1])
             if name in _CLOSES:
-                wanted, stops = _CLOSES[name]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in wanted:
-                        close(depth)
-                        if name not in ("tr",) or stack[depth - 1][0] not in wanted:
-                            break
-                    elif stack[depth][0] in stops:
-                        break
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
+                stop = nearest(_STOPS[name])
+                depth = nearest(("tr",)) if name == "tr" and nearest(("tr",)) > stop else nearest(_CLOSES[name])
+                if depth > stop:
                     close(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "button", "object", "caption"):
-                    break
+            depth = nearest(("p",))
+            if depth > nearest(_ROOMS):
+                close(depth)
             flush()
             if name == "hr":
                 continue
@@ -179,19 +193,39 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parent = stack[-1][1]
             around = nodes[parent]
             within = around.tag if around.tag in ("article", "main") else around.within
-            nodes.append(Node(name, " ".join(names), parent, within, hidden))
+            nodes.append(Node(name, " ".join(names), parent, within, hidden or around.hidden))
+            where[name].append(len(stack))
             stack.append((name, len(nodes) - 1))
         elif name not in _VOID:
+            where[name].append(len(stack))
             stack.append((name, stack[-1][1]))
             dark += name in _DARK
             links += name == "a"
     flush()
+    _mark_layout(nodes)
     return nodes, blocks
 
 
+def _mark_layout(nodes: list[Node]) -> None:
+    """Tells tables whose cells hold other blocks, as those that lay out a page do, from tables of plain cells."""
+    table = [0] * len(nodes)  # the table that a part of a table belongs to
+    laid = set()
+    for k, node in enumerate(nodes[1:], 1):
+        if node.tag == "table":
+            table[k] = k
+        elif _KIND.get(node.tag) == "table":
+            table[k] = table[node.parent]
+        elif table[node.parent]:
+            laid.add(table[node.parent])
+    for k, node in enumerate(nodes):
+        if table[k]:
+            node.within = "layout" if table[k] in laid else "plain"
+
+
 def evidence(node: Node) -> list[str]:
     """What is seen of an element."""
-    out = [f"tag {node.tag} {node.within}" if node.tag in ("header", "footer") else f"tag {node.tag}"]
+    shown = node.tag in ("header", "footer") or _KIND.get(node.tag) == "table"
+    out = [f"tag {node.tag} {node.within}" if shown else f"tag {node.tag}"]
     out += [f"name {w}" for w in set(node.names.split())]
     if node.letters:
         out.append(f"words {min(6, node.letters.bit_length())}")
@@ -227,7 +261,7 @@ class Model:
         n = len(nodes)
         own = [0.0] * n  # log-odds of what is seen of the element
         for k in range(1, n):
-            own[k] = -30.0 if nodes[k].hidden else sum(self.weight.get(e, 0.0) for e in evidence(nodes[k]))
+            own[k] = 0.0 if nodes[k].hidden else sum(self.weight.get(e, 0.0) for e in evidence(nodes[k]))
         tables = [self.pair.get(_KIND.get(nodes[k].tag, "part"), self.default) for k in range(n)]
         below = list(own)  # own and all children's messages
         up = [0.0] * n
@@ -237,7 +271,8 @@ class Model:
             w = exp(odds)
             (a, b), (c, d) = t
             up[k] = log(exp(c) + exp(d) * w) - log(exp(a) + exp(b) * w)
-            below[nodes[k].parent] += up[k]
+            if not nodes[k].hidden:
+                below[nodes[k].parent] += up[k]
         belief = [0.0] * n
         belief[0] = max(-60.0, min(60.0, below[0]))
         for k in range(1, n):
@@ -246,7 +281,7 @@ class Model:
             (a, b), (c, d) = tables[k]
             down = log(exp(b) + exp(d) * w) - log(exp(a) + exp(c) * w)
             belief[k] = max(-60.0, min(60.0, below[k] + down))
-        return [1 / (1 + exp(-x)) for x in belief]
+        return [0.0 if node.hidden else 1 / (1 + exp(-x)) for node, x in zip(nodes, belief)]
 
 
 def extract(model: Model, html: str) -> str:
@@ -362,12 +397,32 @@ def _page(rng: random.Random) -> str:
         tag = rng.choice(["main", "div", "div"])
         named = f' class="{rng.choice(WRAPPER_NAMES + ["main", "content"])}"' if tag == "div" else ""
         middle = f"<{tag}{named}>{middle}</{tag}>"
+    if rng.random() < 0.15:
+        return _laid_out(rng, before, middle, after)
     inner = "".join(_part(rng, k) for k in before) + middle + "".join(_part(rng, k) for k in after)
     if rng.random() < 0.3:
         inner = f'<div class="{rng.choice(WRAPPER_NAMES)}">{inner}</div>'
     return f"<html><head><title>x</title></head><body>{inner}</body></html>"
 
 
+def _laid_out(rng: random.Random, before: list[str], middle: str, after: list[str]) -> str:
+    """A page whose parts are cells of a table."""
+    if rng.random() < 0.5:
+        middle = re.sub(r"^<(\w+)[^>]*>(.*)</\1>$", r"\2", middle, flags=re.S)
+    links = lambda: "".join(f'<a href="/x">{_words(rng, 1, 3, "")}</a>{rng.choice([" ", "<br>", " | "])}' for _ in range(rng.randrange(1, 9)))
+    inside = lambda k: _part(rng, k) if rng.random() < 0.5 else links() if rng.random() < 0.7 else _words(rng, 1, 6, "")
+    cell = lambda body: f"<td>{body}</td>"
+    sides = [cell(inside(k)) for k in before + after] or [cell(inside("nav"))]
+    rng.shuffle(sides)
+    left, top = rng.randrange(len(sides) + 1), rng.randrange(3)
+    rows = [f"<tr>{x}</tr>" for x in sides[:top]]
+    cells = sides[top:]
+    at = min(left, len(cells))
+    rows.append(f"<tr>{''.join(cells[:at])}{cell(middle)}{''.join(cells[at:][:2])}</tr>")
+    rows += [f"<tr>{x}</tr>" for x in cells[at:][2:]]
+    return f"<html><head><title>x</title></head><body><table>{''.join(rows)}</table></body></html>"
+
+
 def main_text(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """Adds the main text and its number of code points."""
     # plain values: a worker that has no copy of this package builds the model itself
