@@ -372,7 +372,8 @@ def _article(rng: random.Random) -> str:
         elif kind < 0.95:
             parts.append(f"<figure><img><figcaption>{own(2, 15)}</figcaption></figure>")
         elif kind < 0.97:
-            parts.append("<table>" + f"<tr><td>{own(1, 4)}</td><td>{own(1, 4)}</td></tr>" * 2 + "</table>")
+            head = f"<tr><th>{own(1, 3)}</th><th>{own(1, 3)}</th></tr>" if rng.random() < 0.6 else ""
+            parts.append(f"<table>{head}" + f"<tr><td>{own(1, 4)}</td><td>{own(1, 4)}</td></tr>" * 2 + "</table>")
         else:
             parts.append(f"<pre>{own(3, 30)}</pre>")
         if rng.random() < 0.1:
