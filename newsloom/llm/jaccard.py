@@ -66,6 +66,8 @@ WINDOW = 8 << 20
 OFTEN = 3
 SALTS = 256
 SLICE = 1024
+#: So many earlier columns of a row are looked through for one that a pair has met in already.
+BEFORE = 64
 #: Stands for a missing doc_id.
 _NONE = -(1 << 63)
 
@@ -270,9 +272,8 @@ def multiply(docs: DataFrame, described: DataFrame, space: Workspace) -> tuple[D
     return space.keep(met, True), long
 
 
-def discard(pairs: DataFrame, counted: DataFrame | None, long: DataFrame) -> DataFrame:
-    """Drops the pairs whose common leading columns, short (c, or else by ``counted``) and long ones, cannot reach the bound."""
-    keys = long.groupBy("row").agg(F.collect_set("key").alias("k"))
+def discard(pairs: DataFrame, counted: DataFrame | None, keys: DataFrame) -> DataFrame:
+    """Drops the pairs whose common leading columns, short (c, or else by ``counted``) and long ones (``keys``), cannot reach the bound."""
     x, y = (keys.select(F.col("row").alias(s), F.col("k").alias("k" + s)) for s in "ab")
     if counted is not None:
         pairs = pairs.join(counted.select("a", "b", "c"), ["a", "b"], "left")
@@ -314,14 +315,23 @@ def _followers(long: DataFrame, turn: int, space: Workspace) -> DataFrame:
     return _unordered(best.select("x.row1", "x.n1", "row2", "n2")).distinct()
 
 
-def _all_across(long: DataFrame) -> DataFrame:
-    """Every pair of rows of different components that share a long column and leave room, dealt out by column and band of sizes."""
-    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+def _all_across(long: DataFrame, space: Workspace) -> DataFrame:
+    """Every pair of rows of different components that share a long column and leave room, dealt out by column and band of sizes.
+
+    A pair comes out of its first common column; only where that stands behind the first
+    ``BEFORE`` open columns of a row, it comes out of a few more.
+    """
+    open_keys = space.keep(long.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"), True)
+    held = long.join(open_keys, "key")
+    listed = held.groupBy("row", "n", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("all"))
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int").alias("band")
+    each = listed.select("row", "n", "label", band, F.transform(F.slice("all", 1, BEFORE), lambda x: x["key"]).alias("head"), F.posexplode("all").alias("at", "x"))
+    each = space.keep(each.select("row", "n", "label", "band", "x.pos", "x.key", F.slice("head", F.lit(1), F.col("at")).alias("before")), True)
     # the smaller set needs the column within its first n - ceil(8 n / 9) + 1
-    smaller = long.filter("pos <= n div 9").withColumn("band", F.explode(F.array(band, band + 1, band + 2)))
-    x = smaller.select("key", "band", *[F.col(c).alias(c + "1") for c in ("row", "n", "pos", "label")])
-    y = long.select("key", band.alias("band"), *[F.col(c).alias(c + "2") for c in ("row", "n", "pos", "label")])
-    met = x.join(y, ["key", "band"]).filter("label1 <> label2 AND (n1 < n2 OR (n1 = n2 AND row1 <> row2))").filter(_room("n1", "pos1", "n2", "pos2"))
+    smaller = each.filter("pos <= n div 9").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
+    x, y = (t.select("key", "band", *[F.col(c).alias(c + end) for c in ("row", "n", "pos", "label", "before")]) for t, end in ((smaller, "1"), (each, "2")))
+    first = ~F.arrays_overlap("before1", "before2")
+    met = x.join(y, ["key", "band"]).filter("label1 <> label2 AND (n1 < n2 OR (n1 = n2 AND row1 <> row2))").filter(_room("n1", "pos1", "n2", "pos2") & first)
     return _unordered(met).distinct()
 
 
@@ -403,7 +413,8 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> D
     """node, label of every class that links with another one; None if no two share a leading column."""
     space = Workspace(docs.sparkSession)
     counted, long = multiply(docs, described, space)
-    pairs = space.keep(discard(counted.filter("room = 1"), None, long), True)
+    keys = space.keep(long.groupBy("row").agg(F.collect_set("key").alias("k")), True)
+    pairs = space.keep(discard(counted.filter("room = 1"), None, keys), True)
     space.tidy()
     labels, links = None, []
     for turn in range(ROUNDS + 1):
@@ -412,9 +423,9 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> D
             ends = open_pairs.selectExpr("a AS u", "na AS m", "b AS v", "nb AS n").union(open_pairs.selectExpr("b", "nb", "a", "na"))
             one = ends.groupBy("u", "m").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n")).alias("x"))
             one = _unordered(one.selectExpr("u AS row1", "m AS n1", "x.v AS row2", "x.n AS n2"))
-            chosen = one.union(discard(_followers(open_long, turn, space), counted, long)).distinct()
+            chosen = one.union(discard(_followers(open_long, turn, space), counted, keys)).distinct()
         else:
-            chosen = open_pairs.union(discard(_all_across(open_long), counted, long)).distinct()
+            chosen = open_pairs.union(discard(_all_across(open_long, space), counted, keys)).distinct()
         chosen = cut(chosen.coalesce(fewer_parts(docs.sparkSession)))
         found = cut(verify(chosen, docs, classes).coalesce(fewer_parts(docs.sparkSession)))
         space.tidy()

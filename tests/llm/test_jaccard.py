@@ -63,6 +63,33 @@ def test_components_equal_brute_force(spark, monkeypatch, long, frequent):
     assert got == brute(rows)
 
 
+def test_families_that_do_not_link(spark, monkeypatch):
+    """Long columns whose rows stay apart: combinations of common passages, and a few earlier columns only."""
+    monkeypatch.setattr(jaccard, "BEFORE", 2)
+    rng = random.Random(9)
+    passages = [[f"p{k}_{i}" for i in range(24)] for k in range(9)]
+    rows = [(k, " ".join(w for p in rng.sample(passages, 5) for w in p)) for k in range(150)]
+    rows += [(200 + k, t + " more") for k, (_, t) in enumerate(rows[:30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs).collect()} == brute(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words])), (3, " ".join(words[:47_000])), (4, " ".join(words[:56_000])), (5, " ".join(words[:40]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs).collect()} == brute(rows)
+
+
+def test_null_ids_bridge(spark):
+    base = [f"b{k}" for k in range(60)]
+    texts = [base, base[3:], base[7:]]  # the first and the last do not link
+    rows = [(5, " ".join(texts[0])), (None, " ".join(texts[1])), (2, " ".join(texts[2]))]
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 2, None: 2, 2: 2}
+
+
 def test_empty_table_and_odd_rows(spark):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None)]
