@@ -61,11 +61,16 @@ def in_language(articles: DataFrame, code: str) -> DataFrame:
 def for_topic(articles: DataFrame, topic: str | None, minimum: int = 4, topics=V.TOPICS, pool: str | None = None) -> DataFrame:
     """Articles relevant to the topic, or all where too few are.
 
-    The count is over the given rows, which callers bound, or over those with the same value in column ``pool``.
+    The count is over all rows, or over those with the same value in column ``pool`` (bounded pools).
     """
-    every = Window.partitionBy(F.col(pool) if pool else F.lit(0))
+
+    def counted(fits: Column) -> Column:
+        if pool:
+            return F.count(F.when(fits, 1)).over(Window.partitionBy(pool))
+        return articles.agg(F.count_if(fits)).scalar()
+
     if topic == "international_english":
-        n = F.count(F.when(F.col("region") == "english", 1)).over(every)
+        n = counted(F.col("region") == "english")
         return articles.withColumn("_n", n).filter((F.col("region") == "english") | (F.col("_n") == 0)).drop("_n")
     if topic not in topics:
         return articles
@@ -74,8 +79,7 @@ def for_topic(articles: DataFrame, topic: str | None, minimum: int = 4, topics=V
         return articles.filter(relevant & F.startswith(fold("source_name"), F.lit("un news")))
     if topic in ("international", "security_world"):
         return articles.filter(relevant)
-    marked = articles.withColumn("_fit", relevant)
-    marked = marked.withColumn("_n", F.count(F.when(F.col("_fit"), 1)).over(every))
+    marked = articles.withColumn("_n", counted(relevant)).withColumn("_fit", relevant)
     return marked.filter(F.col("_fit") | (F.col("_n") < minimum)).drop("_fit", "_n")
 
 
@@ -107,21 +111,28 @@ def export_order() -> list[Column]:
     return [when_seen().desc(), F.desc("priority"), F.asc("id")]
 
 
-def rank(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> DataFrame:
-    """Renews ``ord``: by relevance for a topic, most alarming or calmest first for the two moods, else unchanged."""
+def rank_order(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> tuple[DataFrame, list[Column]]:
+    """The rows that a ranking keeps, with its scores, and the order by them; ties are the caller's.
+
+    By relevance (``_s``) and priority for a topic; most alarming (``_s``) first; or those of little alarm (``_a``) by calm (``_c``).
+    """
     folded = rules.joined("title", "summary", "content")
     if key in topics:
         score = rules.relevance(key, "source_name", "region", "title", "summary", "content", topics)
-        return numbered(df.withColumn("_s", score), F.desc("_s"), F.desc("priority"), F.asc("ord")).drop("_s")
+        return df.withColumn("_s", score), [F.desc("_s"), F.desc("priority")]
     if key == "anxiogene":
-        return numbered(df.withColumn("_s", rules.anxiety(folded, anxiety)), F.desc("_s"), F.asc("ord")).drop("_s")
+        return df.withColumn("_s", rules.anxiety(folded, anxiety)), [F.desc("_s")]
     if key == "non_anxiogene":
         marked = df.withColumns({"_a": rules.anxiety(folded, anxiety) <= 1, "_c": rules.calm(folded, calm)})
-        marked = marked.withColumn("_n", F.count(F.when(F.col("_a"), 1)).over(Window.partitionBy(F.lit(0))))
-        kept = marked.filter(F.col("_a") | (F.col("_n") < 6))
-        first = F.when(F.col("_a"), -F.col("_c")).otherwise(F.lit(1))
-        return numbered(kept, first.asc(), F.asc("ord")).drop("_a", "_c", "_n")
-    return df
+        few = df.select(rules.anxiety(folded, anxiety).alias("_a")).agg(F.count_if(F.col("_a") <= 1)).scalar() < 6
+        return marked.filter(F.col("_a") | few), [F.when(F.col("_a"), -F.col("_c")).otherwise(F.lit(1)).asc()]
+    return df, []
+
+
+def rank(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> DataFrame:
+    """Renews ``ord`` by :func:`rank_order`; unchanged for other keys.  Numbering is one task, for bounded pools."""
+    scored, order = rank_order(df, key, topics, anxiety, calm)
+    return numbered(scored, *order, F.asc("ord")).drop("_s", "_a", "_c") if order else df
 
 
 # ---- repeats -------------------------------------------------------------------------------
