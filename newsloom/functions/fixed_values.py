@@ -481,10 +481,17 @@ GERMAN_TERMS = "de deutsch allemand valais oberwallis haut-valais"
 UN_TERMS = "english UN ONU United Nations Nations Unies"
 
 # ---- Fixed values: speech text ----
-MOJIBAKE = (
-    ("â€™", "'"), ("â€˜", "'"), ("â€œ", ""), ("â€", ""), ("Â«", ""), ("Â»", ""), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("Å“", "oe"),
-)
-ACRONYMS = (
+#: Characters that are not spoken, and what is said or shown for signs and for text that was decoded wrongly.
+UNSPOKEN = "[\u200b\u200c\u200d\u2060\ufeff]"
+SPOKEN_SIGNS = {
+    "’": "'", "‘": "'", "`": "'", "«": "", "»": "", '"': "", "–": "-", "—": "-", "…": "...", "|": ", ", "%": " pour cent ", "+": " plus ",
+    "â€™": "'", "â€˜": "'", "â€œ": "", "â€": "", "Â«": "", "Â»": "", "â€“": "-", "â€”": "-", "â€¦": "...", "Å“": "oe",
+}
+#: Patterns and what is said for them, in this order.
+SPOKEN_WORDS = (
+    (r"(?i)\bEN DIRECT\s*[,:\-]\s*", ""),
+    (r"\bM\.\s+", "monsieur "),
+    (r"\bMme\s+", "madame "),
     (r"\bRDC\b", "Congo"),
     (r"\bOMS\b", "Organisation mondiale de la santé"),
     (r"\bONU\b", "Organisation des Nations unies"),

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze, text
+from .text import let, squeeze, text
 
-#: The named references of Latin text, by rule: those of one character below U+2100.
-_NAMED = {n: chr(c) for n, c in html.entities.name2codepoint.items() if c < 0x2100 and n not in ("amp", "lt", "gt", "quot")}
+#: The named references of one character, by rule.
+_NAMED = {n: chr(c) for n, c in html.entities.name2codepoint.items() if n not in ("amp", "lt", "gt", "quot")}
 
 
 def unescape(c) -> Column:
@@ -44,9 +44,26 @@ def strip_html(c) -> Column:
 
 
 def main_text(c) -> Column:
-    """Text of all article and main elements, or of the whole page without them; scripts, styles and drawings are left out."""
+    """Text of all article and main elements, or of the whole page without them; scripts, styles and drawings are left out.
+
+    The page is taken apart in front of each opening and closing tag of these elements; what
+    lies inside any of them, however they are nested, is kept.
+    """
     bare = reduce(
         lambda t, tag: F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " "), ("script", "style", "noscript", "svg"), text(c)
     )
-    parts = F.regexp_extract_all(bare, F.lit(r"(?is)<(article|main)\b.*?</\1\s*>"), 0)
-    return strip_html(F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(bare))
+
+    def inside(page):
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+        def step(acc, piece):
+            turn = F.when(piece.rlike(r"(?i)^<(?:article|main)\b"), 1).when(piece.rlike(r"(?i)^</(?:article|main)\b"), -1).otherwise(0)
+            depth = F.greatest(F.lit(0), acc["depth"] + turn)
+            # the closing tag itself parts what stands before and behind it
+            kept = F.when(depth > 0, F.concat(acc["kept"], F.array(piece))).when(acc["depth"] > 0, F.concat(acc["kept"], F.array(F.lit(" ")))).otherwise(acc["kept"])
+            return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+        pieces = F.split(page, r"(?i)(?=</?(?:article|main)\b)")
+        return let(F.aggregate(pieces, start, step, lambda acc: acc["kept"]), lambda k: F.when(F.size(k) > 0, F.array_join(k, "")).otherwise(page))
+
+    return strip_html(let(bare, inside))

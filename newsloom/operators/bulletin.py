@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as X
 from ..functions.text import text
+from ..sources.folders import cut
 
 #: Texts around a bulletin: (style, language) → opener and closer; {brand} is filled in.
 FRAMES = {
@@ -80,6 +81,7 @@ def child_kind(title, body, kinds=CHILD_KINDS) -> Column:
 
 def prompt_text(index: Column) -> Column:
     """The block that describes an article to a language model."""
+    # fixed values: the labels, in this order, are the format that prompts are written for
     body = X.excerpt(F.when(text("content") != "", F.col("content")).otherwise(F.col("summary")), 900)
     lines = [
         F.format_string("Article A%02d", index.cast("int")),
@@ -161,10 +163,11 @@ def revise(drafts: DataFrame, write, transcript: str = "transcript", warnings: s
     """Keeps drafts that pass the gate; others go through ``write(drafts with issue)`` up to ``attempts`` times.
 
     ``write`` is the caller's own writer (a model behind a pandas UDF, say).  Adds ``issue``, null where a draft passed.
+    Each attempt is checkpointed, as a writer may answer differently when it is asked again.
     """
-    out = drafts.withColumn("issue", quality_issue(transcript, F.col(warnings)))
+    out = cut(drafts.withColumn("issue", quality_issue(transcript, F.col(warnings))))
     for _ in range(attempts - 1):
         good, bad = out.filter("issue IS NULL"), out.filter("issue IS NOT NULL")
         again = write(bad).drop("issue").withColumn("issue", quality_issue(transcript, F.col(warnings)))
-        out = good.unionByName(again)
+        out = cut(good.unionByName(again))
     return out

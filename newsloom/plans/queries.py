@@ -13,6 +13,7 @@ from ..functions import speech
 from ..functions import text as X
 from ..operators import bulletin, publish, schedule, search, select, store
 from ..sources import sinks
+from ..sources.folders import shared_folder
 from . import views
 
 # ---- rule sets of words that the driver tables hold ------------------------------------------
@@ -247,13 +248,9 @@ def stream_upsert_equals_batch(spark, d):
 
 
 def _work_folder(spark) -> str:
-    import tempfile
     import uuid
 
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not (spark.sparkContext.master or "").startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="newsloom-")
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # ---- keys, stories, subjects -----------------------------------------------------------------
@@ -598,7 +595,7 @@ def publish_diff(spark, d):
 
 
 @query(
-    """SELECT o_orderkey AS bulletin_id, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_size DESC, l_shipdate DESC, l_linenumber) AS parts
+    """SELECT o_orderkey AS bulletin_id, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_size DESC, l_shipdate DESC, l_linenumber, p_partkey) AS parts
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1"""
 )
 def bulletin_lineage(spark, d):
@@ -606,7 +603,7 @@ def bulletin_lineage(spark, d):
     o = views.table(spark, d, "orders").select("o_orderkey")
     bridge = views.table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     joined = bridge.join(views.table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    one = F.struct((-F.col("p_size")).alias("a"), (-F.unix_date(F.col("l_shipdate").cast("date"))).alias("b"), "l_linenumber", "p_partkey")
+    one = F.struct((-F.col("p_size")).alias("a"), (-F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("b"), "l_linenumber", "p_partkey")
     listed = joined.groupBy(F.col("o_orderkey").alias("bulletin_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("s"))
     return listed.select("bulletin_id", "n", F.array_join(F.transform("s", lambda x: x["p_partkey"].cast("string")), ",").alias("parts"))
 
@@ -705,7 +702,24 @@ def sentence_budget(spark, d):
     return a.select("id", X.bounded_excerpt("title", "content", "source_name", 60).alias("excerpt"))
 
 
-@query()
+def _unescape(c: str) -> str:
+    """The references that the pages hold; the ampersand's own comes last."""
+    for name, char in (("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
+    return c
+
+
+_BARE_PAGE = "html"
+for _tag in ("script", "style", "noscript", "svg"):
+    _BARE_PAGE = f"regexp_replace({_BARE_PAGE}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+_TAGLESS = "regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)</?[A-Za-z!?][^>]*>', ' ', 'g')"
+
+
+@query(
+    f"""WITH b AS (SELECT page_id, {_BARE_PAGE} AS b FROM pages),
+    a AS (SELECT page_id, b, regexp_extract_all(b, '(?is)<article\\b.*?</article\\s*>') AS a FROM b)
+    SELECT page_id, trim(regexp_replace(replace({_unescape(_TAGLESS.format("CASE WHEN len(a) > 0 THEN array_to_string(a, ' ') ELSE b END"))}, chr(160), ' '), '\\s+', ' ', 'g')) AS text FROM a"""
+)
 def html_main_text(spark, d):
     p = views.table(spark, d, "pages")
     return p.select("page_id", H.main_text("html").alias("text"))
@@ -741,12 +755,67 @@ def word_counts(spark, d):
     return a.groupBy("source_name").agg(F.sum("n").alias("n_words"), F.max("l").alias("longest"))
 
 
-@query()
+def _normalized(c: str) -> str:
+    for sign in sorted(X.V.SPOKEN_SIGNS, key=len, reverse=True):
+        c = f"replace({c}, '{sign.replace(chr(39), chr(39) * 2)}', '{X.V.SPOKEN_SIGNS[sign].replace(chr(39), chr(39) * 2)}')"
+    for pattern, said in X.V.SPOKEN_WORDS:
+        c = f"regexp_replace({c}, '{pattern}', '{said}', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '([A-Za-zÀ-ÿ])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-zÀ-ÿ])', '\\1 \\2', 'g')"
+    table = "string_split('" + "|".join(speech.french_numbers()) + "', '|')"
+    number = "CAST(replace(x, 'ᵉ', '') AS BIGINT)"
+    low, high = f"{table}[{number} % 1000 + 1]", f"{number} // 1000 % 1000"
+    bare = f"CASE WHEN {high} % 100 IN (0, 80) THEN regexp_replace({table}[{high} + 1], 's$', '') ELSE {table}[{high} + 1] END"
+    many = lambda n, name: f"CASE WHEN {n} > 0 THEN {table}[{n} + 1] || ' {name}' || CASE WHEN {n} > 1 THEN 's' ELSE '' END END"
+    said = f"""concat_ws(' ', {many(f"{number} // 1000000000 % 1000", "milliard")}, {many(f"{number} // 1000000 % 1000", "million")},
+      CASE WHEN {high} = 1 THEN 'mille' WHEN {high} > 1 THEN {bare} || ' mille' END, CASE WHEN {number} % 1000 > 0 OR {number} = 0 THEN {low} END)"""
+    words = f"regexp_extract_all({c}, '(?s)[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')"
+    c = f"array_to_string(list_transform({words}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]{{1,12}}ᵉ?') THEN {said} ELSE x END), '')"
+    c = f"regexp_replace({c}, '\\s+([,.;:!?])', '\\1', 'g')"
+    return f"trim(regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'))"
+
+
+def _plainer(c: str) -> str:
+    c = f"strip_accents(replace(replace({c}, 'œ', 'oe'), 'Œ', 'Oe'))"
+    for pattern, said in X.V.PLAIN_SPEECH:
+        c = f"regexp_replace({c}, '(?i){pattern}', '{said}', 'g')"
+    return c
+
+
+def _line_table(source: str, most: int) -> str:
+    """SQL tables over ``source`` (doc_id, t) up to ``lines`` (doc_id, lines)."""
+    last = "length(regexp_extract(a, '[^\\n]*$'))"
+    fill = lambda pieces, long: f"""list_reduce({pieces}, lambda a, x: CASE {long} WHEN {last} = 0 OR {last} + 1 + length(x) <= {most}
+      THEN a || CASE WHEN {last} = 0 THEN '' ELSE ' ' END || x ELSE a || chr(10) || x END, '')"""
+    split = lambda c, signs: f"regexp_split_to_array(regexp_replace({c}, '([{signs}])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"""sp AS (SELECT doc_id, i, unnest({split("p", ".!?")}) AS s, generate_subscripts({split("p", ".!?")}, 1) AS j
+      FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(t, '\\n{{2,}}'), 1) AS i FROM {source})),
+    sc AS (SELECT doc_id, i, j, trim(s) AS s, unnest({split("trim(s)", ",;:")}) AS c, generate_subscripts({split("trim(s)", ",;:")}, 1) AS k FROM sp WHERE trim(s) <> ''),
+    sw AS (SELECT *, CASE WHEN length(c) <= {most} THEN c ELSE chr(10) || {fill("list_filter(regexp_split_to_array(c, chr(92) || 's+'), lambda w: w <> '')", "")} || chr(10) END AS w FROM sc),
+    sl AS (SELECT doc_id, i, j, any_value(s) AS s, list(w ORDER BY k) AS w FROM sw GROUP BY 1, 2, 3),
+    lines AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i, j) AS lines FROM (SELECT doc_id, i, j, CASE WHEN length(s) <= {most} THEN s
+      ELSE array_to_string(list_filter(list_transform(string_split({fill("w", "WHEN starts_with(x, chr(10)) THEN a || x")}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) END AS l FROM sl) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_plainer(_normalized("text"))} AS t FROM documents), {_line_table("t", speech.SHORT_LINE)}
+    SELECT doc_id, coalesce(lines, '') AS lines FROM documents LEFT JOIN lines USING (doc_id)"""
+)
 def speech_text(spark, d):
     docs = views.table(spark, d, "documents")
     return docs.select("doc_id", speech.ascii_lines("text").alias("lines"))
 
 
+@query(
+    f"""WITH t AS (SELECT event_id AS doc_id, {_normalized("event_id * 7919 || ' ' || event_type || event_id || ', le ' || event_id % 101 || 'ᵉ jour + 3% ; ' || event_id * 1000003 % 987654321012 || '|fin'")} AS t FROM events)
+    SELECT doc_id AS event_id, t AS said FROM t"""
+)
+def spoken_numbers(spark, d):
+    e = views.table(spark, d, "events")
+    n = F.col("event_id")
+    parts = ((n * 7919).cast("string"), F.lit(" "), F.col("event_type"), n.cast("string"), F.lit(", le "), (n % 101).cast("string"), F.lit("ᵉ jour + 3% ; "))
+    return e.select("event_id", speech.normalize(F.concat(*parts, (n * 1000003 % 987654321012).cast("string"), F.lit("|fin"))).alias("said"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import records  # noqa: F401  registers its queries
 

@@ -203,12 +203,12 @@ def plain_lines(text, most):
                 continue
             current = ""
             for part in re.split(r"(?<=[,;:])\s+", s):
-                for piece in [part] if len(part) <= most else by_words(part):
-                    if len(f"{current} {piece}".strip()) <= most:
-                        current = f"{current} {piece}".strip()
-                    else:
-                        out += [current] if current else []
-                        current = piece
+                if len(f"{current} {part}".strip()) <= most:
+                    current = f"{current} {part}".strip()
+                    continue
+                out += [current] if current else []
+                current = part if len(part) <= most else ""
+                out += by_words(part) if len(part) > most else []
             out += [current] if current else []
     return out
 
@@ -218,5 +218,24 @@ def test_speech(spark):
     for most in (20, 40, 400):
         got = one(spark, speech.lines("t", most), t=text)
         assert got == plain_lines(text, most) and all(len(line) <= most for line in got)
-    assert one(spark, speech.plain("t"), t="L’ONU a 5km à 20% | M. X…") == "L'Organisation des Nations unies a 5 km à 20 pour cent, monsieur X..."
+    assert one(spark, speech.plain("t"), t="L’ONU a 5km à 20% | M. X…") == "L'Organisation des Nations unies a cinq km à vingt pour cent, monsieur X..."
     assert one(spark, speech.ascii_text("t"), t="Œuvre à Genève, É") == "Oeuvre a Geneve, E"
+    said = one(spark, speech.plain("t"), t="Les 31 « élus » de la 70ᵉ liste, +27% le 19juin | soir. EN DIRECT : 12я _5 0")
+    assert said == "Les trente et un élus de la soixante-dix liste, plus vingt-sept pour cent le dix-neuf juin, soir. 12я _5 zéro"
+    assert len(one(spark, speech.lines("t", 180), t="Ab. " + "mot " * 80 + "fin, et puis la suite.")) == 4
+
+
+def test_numbers_in_words(spark):
+    want = {
+        0: "zéro", 16: "seize", 21: "vingt et un", 71: "soixante et onze", 80: "quatre-vingts", 81: "quatre-vingt-un", 91: "quatre-vingt-onze", 100: "cent",
+        101: "cent un", 200: "deux cents", 203: "deux cent trois", 1000: "mille", 1999: "mille neuf cent quatre-vingt-dix-neuf", 3000: "trois mille",
+        80_000: "quatre-vingt mille", 200_000: "deux cent mille", 1_000_000: "un million", 80_000_001: "quatre-vingts millions un",
+        2_000_000_000: "deux milliards", 123_456_789_012: "cent vingt-trois milliards quatre cent cinquante-six millions sept cent quatre-vingt-neuf mille douze",
+    }
+    df = spark.createDataFrame([(n,) for n in want], "n long")
+    assert {r.n: r.w for r in df.select("n", speech.in_words(F.col("n")).alias("w")).collect()} == want
+
+
+def test_nested_articles(spark):
+    page = "<nav>x</nav><article>a <article>b</article> c &trade;</article> out <MAIN>d</main> e</article> <script>article</script>"
+    assert one(spark, html.main_text("t"), t=page) == "a b c ™ d"
