@@ -783,17 +783,17 @@ def _plainer(c: str) -> str:
 
 def _line_table(source: str, most: int) -> str:
     """SQL tables over ``source`` (doc_id, t) up to ``lines`` (doc_id, lines)."""
-    last = "length(regexp_extract(a, '[^\\n]*$'))"
+    last = "length(regexp_extract(a, '[^\\x02]*$'))"
     fill = lambda pieces, long: f"""list_reduce({pieces}, lambda a, x: CASE {long} WHEN {last} = 0 OR {last} + 1 + length(x) <= {most}
-      THEN a || CASE WHEN {last} = 0 THEN '' ELSE ' ' END || x ELSE a || chr(10) || x END, '')"""
+      THEN a || CASE WHEN {last} = 0 THEN '' ELSE ' ' END || x ELSE a || chr(2) || x END, '')"""
     split = lambda c, signs: f"regexp_split_to_array(regexp_replace({c}, '([{signs}])\\s+', '\\1' || chr(1), 'g'), chr(1))"
     return f"""sp AS (SELECT doc_id, i, unnest({split("p", ".!?")}) AS s, generate_subscripts({split("p", ".!?")}, 1) AS j
       FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(t, '\\n{{2,}}'), 1) AS i FROM {source})),
     sc AS (SELECT doc_id, i, j, trim(s) AS s, unnest({split("trim(s)", ",;:")}) AS c, generate_subscripts({split("trim(s)", ",;:")}, 1) AS k FROM sp WHERE trim(s) <> ''),
-    sw AS (SELECT *, CASE WHEN length(c) <= {most} THEN c ELSE chr(10) || {fill("list_filter(regexp_split_to_array(c, chr(92) || 's+'), lambda w: w <> '')", "")} || chr(10) END AS w FROM sc),
+    sw AS (SELECT *, CASE WHEN length(c) <= {most} THEN c ELSE chr(2) || {fill("list_filter(regexp_split_to_array(c, chr(92) || 's+'), lambda w: w <> '')", "")} || chr(2) END AS w FROM sc),
     sl AS (SELECT doc_id, i, j, any_value(s) AS s, list(w ORDER BY k) AS w FROM sw GROUP BY 1, 2, 3),
     lines AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i, j) AS lines FROM (SELECT doc_id, i, j, CASE WHEN length(s) <= {most} THEN s
-      ELSE array_to_string(list_filter(list_transform(string_split({fill("w", "WHEN starts_with(x, chr(10)) THEN a || x")}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) END AS l FROM sl) GROUP BY 1)"""
+      ELSE array_to_string(list_filter(list_transform(string_split({fill("w", "WHEN starts_with(x, chr(2)) THEN a || x")}, chr(2)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) END AS l FROM sl) GROUP BY 1)"""
 
 
 @query(
