@@ -1,6 +1,7 @@
 """Licence scan over a positional index of rare licence words.
 
-Templates are short licence texts.  A first pass counts in how many documents each
+Templates are one-sentence notices and the paragraphs of public licences
+(``licence_texts``).  A first pass counts in how many documents each
 template word occurs; the index lists, for the ``ANCHORS`` words of each template
 with the highest inverse document frequency, the templates and positions where they
 stand.  A document is looked up by the licence words it holds; each posting proposes
@@ -14,7 +15,7 @@ Base phrases are templates that must match whole.  Words are
 has no words and no labels; an empty table gives an empty result; repeated rows are
 scanned each alone; where templates tie, all their labels are given.  Input columns
 that bear the name of an output are replaced.  Two narrow passes; what reaches the
-driver is one number for each template word.
+driver is one number for each template word.  Very long texts are scanned whole, one at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import add_columns, pieces, raw_texts, words_of
+from .licence_texts import PARAGRAPHS
 
 ANCHORS = 2
 LEAST = 0.6
@@ -85,7 +87,7 @@ NOTICES = [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
         ("permission to use copy modify", "with or without fee"),
     ),
-]
+] + [Template(label, text, keys) for label, text, keys in PARAGRAPHS]
 
 MATCH = T.StructType(
     [
@@ -220,3 +222,20 @@ def report(docs: DataFrame) -> DataFrame:
         joined(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def base_report(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`report` that the base phrases alone give."""
+    return report(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM (VALUES ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])) AS t(label, k)),
+m AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, k, unnest(range(1, len(w) - len(k) + 2)) AS i FROM d, p) WHERE w[i : i + len(k) - 1] = k),
+f AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels
+FROM d LEFT JOIN f USING (doc_id)
+"""

@@ -52,6 +52,11 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
 
+def licence_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base phrases give, which SQL can express."""
+    return licences.base_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.report(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_quality": op9_quality,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "licence_base_places": licence_base_places,
     }
 
 
@@ -84,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.REPORT_SQL,
         "op10_ngram_jaccard": jaccard.SQL,
+        "licence_base_places": licences.BASE_SQL,
     }

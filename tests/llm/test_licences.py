@@ -50,3 +50,52 @@ def test_notices(spark):
     got = {r.doc_id: r.labels for r in licences.report(docs).collect()}
     assert list(cases.values()) == [got[k] for k in range(len(cases))]
     assert licences.report(docs.limit(0)).count() == 0
+
+
+def test_every_template_is_found_within_other_words(spark):
+    rows = [(k, f"Some words, before. {t.text}! And after it.") for k, t in enumerate(licences.NOTICES)]
+    rows += [(100 + k, t.text.replace(" the ", " that ", 1)) for k, t in enumerate(licences.NOTICES) if " the " in t.text and not any("the" in x for x in t.keys)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, r in got.items():
+        assert licences.NOTICES[doc % 100].label in {m.label for m in r.matches}, doc
+        assert all(m.score == 1 or doc >= 100 or m.label != licences.NOTICES[doc].label or m.n_words < 30 for m in r.matches)
+
+
+def brute_labels(text, documents):
+    """Labels by trying every template at every place, with weights counted plainly."""
+    import math
+
+    own = licences.words_of((text or "").encode())
+    found = set()
+    for t in licences.BASE + licences.NOTICES:
+        words = licences.words_of(t.text.encode())
+        weight = {w: math.log((len(documents) + 1) / (sum(w in d for d in documents) + 1)) + 1 for w in words}
+        for start in range(-len(words), len(own)):
+            held = [0 <= start + i < len(own) and own[start + i] == w for i, w in enumerate(words)]
+            keys = [licences.words_of(k.encode()) for k in t.keys]
+            at = [next(i for i in range(len(words)) if words[i : i + len(k)] == k) for k in keys]
+            whole = all(all(held[i : i + len(k)]) for i, k in zip(at, keys))
+            score = sum(weight[w] for w, h in zip(words, held) if h) / sum(weight[w] for w in words)
+            if whole and score >= (1 - 1e-9 if t.base else licences.LEAST):
+                found.add(t.label)
+    return ",".join(sorted(found))
+
+
+def test_labels_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for k in range(40):
+        words = []
+        for t in rng.sample(licences.NOTICES, rng.randrange(3)):
+            part = t.text.split()
+            for _ in range(rng.randrange(6)):
+                part[rng.randrange(len(part))] = "other"
+            words += ["before", *part[: rng.randrange(len(part) // 2, len(part) + 1)]]
+        rows.append((k, " ".join(words)))
+    rows += [(50, None), (51, "all rights reserved general public license " * 3000)]
+    documents = [set(licences.words_of((t or "").encode())) for _, t in rows]
+    got = {r.doc_id: r.labels for r in licences.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        assert got[k] == brute_labels(text if k != 51 else "all rights reserved general public license", documents), k
