@@ -67,7 +67,7 @@ OFTEN = 3
 SALTS = 256
 SLICE = 1024
 #: So many earlier columns of a row are looked through for one that a pair has met in already.
-BEFORE = 64
+BEFORE = 16
 #: Stands for a missing doc_id.
 _NONE = -(1 << 63)
 
@@ -427,6 +427,7 @@ def link_classes(docs: DataFrame, described: DataFrame, classes: DataFrame) -> D
         else:
             chosen = open_pairs.union(discard(_all_across(open_long, space), counted, keys)).distinct()
         chosen = cut(chosen.coalesce(fewer_parts(docs.sparkSession)))
+        space.tidy()
         found = cut(verify(chosen, docs, classes).coalesce(fewer_parts(docs.sparkSession)))
         space.tidy()
         if found.isEmpty():
