@@ -1,28 +1,39 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model is trained on all trusted documents: n-grams of ``ORDER`` symbols (a class of
-bytes each, ``SYMBOLS`` classes), whose counts are dealt out by n-gram.  Lower orders count
-the distinct symbols an n-gram was seen behind; each order has three discounts of its own.
-Symbols rather than words, because their n-grams recur: the corpus needs each distinct one
-once, while most word triples occur nowhere else and would have to be shuffled one by one.
-
-To score, the distinct n-grams of the corpus are joined with the sharded counts of their
-own, their history's and all shorter orders.  The joined table has at most
-SYMBOLS ** ORDER = 2^24 numbers whatever the corpus, so it is broadcast and each document
-adds up its own n-grams' logarithms in one narrow pass.  Documents whose perplexity
-exceeds the cutoff of their language (a quantile of its trusted documents' perplexity; of
-all trusted ones where the language has none) are rejected.
-
-Null and empty texts have no symbols: their perplexity is null and they are not kept.
-Without any trusted text nothing can be judged: the perplexity is null and every document
-with text is kept.  A null language is a language of its own, ``und``.  Repeated rows are
-each scored; a repeated or unknown id among the trusted counts once or not at all; rows
-without doc_id are never trusted.  An empty table gives an empty result.  Columns other
-than doc_id, text and lang are not read.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words.
+
+Words are runs of letters, digits and bytes beyond ASCII, lower-cased (A-Z) and with every
+digit as one, or runs of other visible signs; each is a 31-bit hash, so an n-gram of
+``ORDER`` = 2 words is one number.  The model is trained on all trusted documents.  Its
+words' counts are the distinct words they were seen behind; both orders have three
+discounts of their own, and an unseen word has its share of a vocabulary with one word more.
+
+Trusted documents would look better than others to a model that has seen them.  So there are
+two models, each of the trusted documents of one half (by a hash of doc_id), and every
+document is scored by the model of the other half.
+
+To score, counts and texts meet in shards.  A logarithm of probability is a sum over a
+document's keys: for a word, what it has above an unseen one and its weight as a history;
+for a seen pair, what it has above its parts.  A block of documents sends each shard its
+sorted keys and the documents that hold them, packed; the shard adds up what it knows for each
+document of the block, and a block's sums from all shards are added in the shards' order.
+Both what is sent and the model grow with the corpus, and so does the number of shards.
+Keys are spread by a hash, and a block sends a key once however often it occurs.
+
+Documents whose perplexity exceeds the cutoff of their language (a quantile of its trusted
+documents' perplexity; of all trusted ones where the language has none) are rejected.
+
+Null and empty texts, and those of white space, have no words: their perplexity is null and
+they are not kept.  Where the other half has no trusted words nothing can be judged: the
+perplexity is null and documents with words are kept.  A null language is a language of its
+own, ``und``.  Repeated rows are each scored; a repeated or unknown id among the trusted
+counts once or not at all; rows without doc_id are never trusted.  Very long texts are
+worked on whole.  An empty table gives an empty result.  Columns other than doc_id, text and
+lang are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,114 +41,138 @@ from pyspark.sql import functions as F
 
 from . import bitmaps
 from .batches import flat_bytes, pieces
-from .shared import cut
-
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
+from .shared import Workspace, cut
+from .shingles import Shingler, mix
+
+ORDER = 2
+BITS = 31
+#: Stands before a text's first word; words are greater, and 0 stands for no word.
+START = 1
+FOLDS = 2
 #: Bytes of text worked on at once.
-PIECE = 1 << 20
+PIECE = 4 << 20
+#: Bytes of text for each shard of the counts.
+SHARD = 8 << 20
 #: Up to so many languages' cutoffs are broadcast.
 MOST_LANGUAGES = 10_000
 QUANTILE = 0.995
 #: Something must be left for unseen n-grams.
 LEAST_DISCOUNT = 0.01
 
-_SHOWN = b"\n .,!?;:'\"()-_/\\=+*#$%&@<>|[]{}"  # each a symbol of its own
-_CLASS = np.array(
-    [
-        c - 96 if 97 <= c <= 122
-        else 27 if 65 <= c <= 90
-        else 28 if 48 <= c <= 57
-        else 29 + _SHOWN.index(c) if c in _SHOWN
-        else 61 if c < 128
-        else 62 if c >= 192
-        else 63
-        for c in range(256)
-    ],
+_MASK = (1 << BITS) - 1
+_FORM = np.array([c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
+#: 0: white space and control characters, 1: letters and digits, 2: other signs.
+_KIND = np.array(
+    [0 if c <= 32 or c == 127 else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)],
     np.uint8,
-)
+)
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Every symbol's n-gram as a number, and each row's number of symbols.  Texts start behind zeros."""
-    data, bounds = flat_bytes(column)
-    rows = len(bounds) - 1
-    at = np.arange(len(data)) + (ORDER - 1) * (np.repeat(np.arange(rows), np.diff(bounds)) + 1)
-    symbol = np.zeros(len(data) + (ORDER - 1) * (rows + 1), np.int32)
-    symbol[at] = _CLASS[data]
-    code = np.zeros(len(data), np.int32)
-    for k in range(ORDER - 1, -1, -1):
-        code = code << BITS | symbol[at - k]
-    return code, np.diff(bounds)
+class Words:
+    """Finds words of whole columns by prefix sums, as for shingles."""
 
+    def __init__(self):
+        self.shingler = Shingler()
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """g, n over all rows' text."""
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Every word's number and each row's number of words."""
+        data, bounds = flat_bytes(column)
+        rows = len(bounds) - 1
+        at = np.arange(1, len(data) + 1) + np.repeat(np.arange(rows), np.diff(bounds))
+        kind = np.zeros(len(data) + rows + 2, np.uint8)
+        kind[at] = _KIND[data]
+        change = np.flatnonzero(kind[1:] != kind[:-1])
+        begins = kind[change + 1] > 0
+        start, end = change[begins], change[np.flatnonzero(begins) + 1]
+        sums, down = self.shingler.sums(_FORM[data], at, kind == 0)
+        hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        ends = bounds[1:] + np.arange(1, rows + 1)
+        numbers = hashes % np.uint64(_MASK - START) + np.uint64(START + 1)
+        return numbers.astype(np.int64), np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
+
+
+def behind(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The word before each word."""
+    before = np.empty(len(words), np.int64)
+    before[1:] = words[:-1]
+    begin = np.cumsum(sizes) - sizes
+    before[begin[sizes > 0]] = START
+    return before
+
+
+def fold(doc_id: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(FOLDS)).cast("long")
 
-    def run(source):
-        table, held = np.zeros(1 << (BITS * ORDER), np.uint32), 0
 
-        def counted():
-            found = np.flatnonzero(table)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found].astype(np.int64))], names=["g", "n"])
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """g, n over all rows' text; g: the half, the word before and the word."""
 
+    def run(source):
+        words_of = Words()
         for whole in source:
             for batch in pieces(whole, "text", PIECE):
-                found, n = np.unique(grams(batch.column("text"))[0], return_counts=True)
-                held += int(n.sum())
-                if held >= 1 << 32:
-                    yield counted()
-                    table[:], held = 0, int(n.sum())
-                table[found] += n.astype(np.uint32)
-        yield counted()
+                words, sizes = words_of(batch.column("text"))
+                half = np.repeat(batch.column("fold").to_numpy(), sizes)
+                found, n = np.unique(half << 2 * BITS | behind(words, sizes) << BITS | words, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+    return texts.select("fold", "text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
 
-    return texts.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+def discounts(table: DataFrame) -> tuple[float, float, float]:
+    row = table.agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)) for k in (1, 2, 3, 4)]).first()
+    n = [x or 0 for x in row]
+    if not n[0] or not n[1]:
+        return 0.5, 0.5, 0.5
+    y = n[0] / (n[0] + 2 * n[1])
+    return tuple(min(k, max(LEAST_DISCOUNT, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3))
+
+
+def _discount(d: tuple[float, float, float]) -> F.Column:
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
 class Model:
-    """Counts of each order, as tables keyed by n-gram, and the orders' discounts."""
-
-    def __init__(self, texts: DataFrame):
-        self.counts: dict[int, DataFrame] = {ORDER: cut(count_grams(texts))}
-        for order in range(ORDER - 1, 0, -1):
-            shorter = F.col("g").bitwiseAND((1 << (BITS * order)) - 1).alias("g")
-            self.counts[order] = cut(self.counts[order + 1].groupBy(shorter).agg(F.count("*").alias("n")))
-        self.discounts = {k: self._discounts(t) for k, t in self.counts.items()}
-        self.trained = self.discounts[ORDER] is not None
-
-    @staticmethod
-    def _discounts(table: DataFrame) -> tuple[float, float, float] | None:
-        row = table.agg(F.count("*"), *[F.sum(F.when(F.col("n") == k, 1).otherwise(0)) for k in (1, 2, 3, 4)]).first()
-        if not row[0]:
-            return None
-        n = row[1:]
-        if not n[0] or not n[1]:
-            return 0.5, 0.5, 0.5
-        y = n[0] / (n[0] + 2 * n[1])
-        return tuple(min(k, max(LEAST_DISCOUNT, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3))
-
-    def probabilities(self, wanted: DataFrame, order: int = ORDER) -> DataFrame:
-        """g, p for the distinct n-grams g in ``wanted``: joins with the counts of the n-gram and of its history."""
-        small, mid, large = self.discounts[order]
-        n = F.col("n")
-        discount = F.when(n == 1, small).when(n == 2, mid).otherwise(large)
+    """entries: key, value; unseen and start: by half, the logarithm of an unseen word's probability and the weight of START."""
+
+    def __init__(self, texts: DataFrame, space: Workspace):
+        pairs = space.keep(count_pairs(texts))
+        word = F.shiftleft(F.shiftright("g", 2 * BITS), BITS).bitwiseOR(F.col("g").bitwiseAND(F.lit(_MASK)))
         history = F.shiftright("g", BITS)
-        counts = self.counts[order]
-        behind = counts.groupBy(history.alias("h")).agg(F.sum("n").alias("total"), F.sum(discount).alias("left"))
-        if order == 1:
-            lower = wanted.withColumn("q", F.lit(1.0 / SYMBOLS))
-        else:
-            tail = F.col("g").bitwiseAND((1 << (BITS * (order - 1))) - 1)
-            below = self.probabilities(wanted.select(tail.alias("g")).distinct(), order - 1)
-            lower = wanted.withColumn("t", tail).join(below.select(F.col("g").alias("t"), F.col("p").alias("q")), "t")
-        own = F.greatest(F.lit(0.0), F.coalesce(n - discount, F.lit(0.0)))
-        return (
-            lower.join(counts, "g", "left")
-            .withColumn("h", history)
-            .join(behind, "h", "left")
-            .select("g", F.coalesce((own + F.col("left") * F.col("q")) / F.col("total"), F.col("q")).alias("p"))
+        single = space.keep(pairs.groupBy(word.alias("u")).agg(F.count("*").alias("n")), True)
+        two, one = _discount(discounts(pairs)), _discount(discounts(single))
+        # two rows: one for each half
+        halves = {
+            r.half: r
+            for r in single.groupBy(F.shiftright("u", BITS).alias("half"))
+            .agg(F.sum("n").alias("total"), F.sum(one).alias("left"), F.count("*").alias("size"))
+            .collect()
+        }
+        base = {h: r["left"] / r["total"] / (r["size"] + 1) for h, r in halves.items()}
+        self.unseen = {h: float(np.log(p)) for h, p in base.items()}
+        half = F.shiftright("u", BITS)
+        pick = lambda values: F.coalesce(*[F.when(half == h, F.lit(float(v))) for h, v in values.items()], F.lit(1.0))
+        own = F.greatest(F.lit(0.0), F.col("n") - one)
+        p = F.coalesce(own / pick({h: r["total"] for h, r in halves.items()}), F.lit(0.0)) + pick(base)
+        weights = pairs.groupBy(history.alias("u")).agg(F.sum("n").alias("total"), F.sum(two).alias("left"))
+        words = space.keep(single.select("u", p.alias("p")).join(weights, "u", "full"), True)
+        p, weight = F.coalesce("p", pick(base)), F.coalesce(F.col("left") / F.col("total"), F.lit(1.0))
+        first = [(h << BITS) + START for h in halves]
+        self.start = {
+            r.u >> BITS: float(np.log(r["left"] / r["total"])) for r in words.filter(F.col("u").isin(first)).collect()
+        }
+        above = F.log(p) - F.log(pick(base))
+        high, low = F.shiftleft(half, 2 * BITS), F.col("u").bitwiseAND(F.lit(_MASK))
+        whole = words.select(high.bitwiseOR(low).alias("key"), (above + F.log(weight)).alias("value"))
+        last = words.select(high.bitwiseOR(F.shiftleft(low, BITS)).alias("key"), above.alias("value")).filter("value != 0")
+        seen = (
+            pairs.select("g", "n", history.alias("h"), word.alias("w"))
+            .join(words.select(F.col("u").alias("h"), "total", "left"), "h")
+            .join(words.select(F.col("u").alias("w"), "p"), "w")
         )
+        less = F.col("left") / F.col("total") * F.col("p")
+        share = F.greatest(F.lit(0.0), F.col("n") - two) / F.col("total")
+        self.entries = whole.union(last).union(seen.select(F.col("g").alias("key"), (F.log(share + less) - F.log(less)).alias("value")))
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -149,54 +184,146 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         for batch in source:
             yield batch.filter(pa.array(bitmaps.hit(shared.value, batch.column("spot").to_numpy())))
 
-    used = docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropna().withColumn("spot", bitmaps.spot("id"))
+    used = docs.select(F.col("doc_id").cast("long").alias("id"), fold("doc_id").alias("fold"), "text").dropna()
+    used = used.withColumn("spot", bitmaps.spot("id"))
     return used.mapInArrow(run, used.schema).join(ids, "id", "left_semi")
 
 
-def distinct_grams(texts: DataFrame) -> DataFrame:
-    """g: the n-grams that occur at all."""
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers' bytes by place, compressed."""
+    if not len(numbers):
+        return b""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-    def run(source):
-        met = np.zeros(1 << (BITS * ORDER), bool)
-        for whole in source:
-            for batch in pieces(whole, "text", PIECE):
-                met[grams(batch.column("text"))[0]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(met))], names=["g"])
 
-    return texts.select("text").mapInArrow(run, "g long").distinct()
+def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    size = n * np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, size, "zstd", asbytes=True), np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_symbols and perplexity of each document."""
-    used = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols")
-    if not model.trained:
-        return used.select("doc_id", "lang", size, F.lit(None).cast("double").alias("perplexity"))
-    wanted = cut(distinct_grams(used))
-    joined = model.probabilities(wanted).select(F.col("g").cast("int"), F.log("p").cast("float").alias("log")).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((joined["g"].to_numpy(), joined["log"].to_numpy()))
-
-    def score(source):
-        log = np.zeros(1 << (BITS * ORDER), np.float32)
-        log[shared.value[0]] = shared.value[1]
+_ASKED = "shard long, block long, n_keys long, n_places long, keys binary, times binary, places binary, rows binary"
+_ADDED = "shard long, block long, n_sums long, places binary, sums binary, rows binary"
+
+
+def number_of(rows: bytes, keys: np.ndarray) -> int:
+    """A block's number follows from what is in it, so that a task that runs again gives the same."""
+    digest = hashlib.blake2b(rows, digest_size=8)
+    digest.update(keys.tobytes())
+    return int.from_bytes(digest.digest(), "little", signed=True)
+
+
+def asked(used: DataFrame, bits: int) -> DataFrame:
+    """A row for each block of documents and shard; one of a block's rows carries what names its documents."""
+
+    def run(source):
+        words_of, up = Words(), np.uint64(64 - bits)
         for whole in source:
             for batch in pieces(whole, "text", PIECE):
-                codes, n = grams(batch.column("text"))
-                total = np.concatenate(([0.0], np.cumsum(log[codes], dtype=np.float64)))
-                ends = np.cumsum(n)
-                mean = (total[ends] - total[ends - n]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("lang"), pa.array(n, pa.int64()), pa.array(np.exp(-mean), mask=n == 0)],
-                    names=["doc_id", "lang", "n_symbols", "perplexity"],
-                )
+                words, sizes = words_of(batch.column("text"))
+                doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+                half = (FOLDS - 1 - batch.column("fold").to_numpy()) << 2 * BITS
+                mine = half[doc]
+                alone = mine | words
+                ends = np.cumsum(sizes)[sizes > 0] - 1
+                alone[ends] = mine[ends] | words[ends] << BITS
+                keys = mix(np.concatenate((mine | behind(words, sizes) << BITS | words, alone)).astype(np.uint64))
+                order = np.argsort(keys, kind="stable")
+                keys, places = keys[order], np.concatenate((doc, doc))[order]
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(keys)))
+                distinct = keys[first]
+                named = batch.select(["doc_id", "lang", "fold"]).append_column("n_words", pa.array(sizes, pa.int64()))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, named.schema) as out:
+                    out.write_batch(named)
+                rows = sink.getvalue().to_pybytes()
+                block = number_of(rows, keys)
+                shard = (distinct >> up).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
+                home = block & ((1 << bits) - 1)
+                found = np.unique(np.append(shard, home))
+                cuts = np.searchsorted(shard, found), np.searchsorted(shard, found, "right")
+                place_of = np.append(first, len(keys))
+                table = []
+                for s, a, b in zip(found.tolist(), *map(np.ndarray.tolist, cuts)):
+                    part = places[place_of[a] : place_of[b]]
+                    deltas = np.diff(distinct[a:b], prepend=np.uint64(0))
+                    packed = (_pack(deltas), _pack(times[a:b].astype(np.uint32)), _pack(part))
+                    table.append((s, block, b - a, len(part), *packed, rows if s == home else None))
+                names = [f.split()[0] for f in _ASKED.split(", ")]
+                kinds = [pa.int64() if f.endswith("long") else pa.binary() for f in _ASKED.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table), kinds)], names=names)
+
+    return used.mapInArrow(run, _ASKED)
+
+
+def added(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What a shard knows for each document of the blocks that ask it."""
+    keys = right.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, values = keys[order], np.append(right.column("value").to_numpy()[order], 0.0)
+    out = []
+    for r in left.to_pylist():
+        wanted = np.cumsum(_unpack(r["keys"], r["n_keys"], np.uint64), dtype=np.uint64)
+        at = np.searchsorted(keys, wanted)
+        if len(keys):
+            at = np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, len(keys))
+        known = np.repeat(values[at], _unpack(r["times"], r["n_keys"], np.uint32))
+        sums = np.bincount(_unpack(r["places"], r["n_places"], np.uint32), known)
+        hit = np.flatnonzero(sums)
+        out.append((r["shard"], r["block"], len(hit), _pack(hit.astype(np.uint32)), _pack(sums[hit]), r["rows"]))
+    kinds = [pa.int64() if f.endswith("long") else pa.binary() for f in _ADDED.split(", ")]
+    columns = list(zip(*out)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _ADDED.split(", ")])
 
-    schema = used.select("doc_id", "lang").schema.add("n_symbols", "long").add("perplexity", "double")
-    return used.mapInArrow(score, schema)
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, n_words and perplexity of each document."""
+    used = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), fold("doc_id").alias("fold"), "text")
+    size = used.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (size // SHARD).bit_length())
+    unseen, start = model.unseen, model.start
+
+    def spread(source):
+        up = np.uint64(64 - bits)
+        for batch in source:
+            key = mix(batch.column("key").to_numpy().astype(np.uint64))
+            shard = (key >> up).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key.view(np.int64)), batch.column("value")], names=["shard", "key", "value"])
+
+    def combine(table: pa.Table) -> pa.Table:
+        parts = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        # blocks that are alike in all their documents share a number, and each has named its own
+        named = [r["rows"] for r in parts if r["rows"] is not None]
+        block = pa.ipc.open_stream(named[0]).read_all()
+        sums, last = np.zeros(block.num_rows), None
+        for r in parts:
+            if r["shard"] != last:
+                sums[_unpack(r["places"], r["n_sums"], np.uint32)] += _unpack(r["sums"], r["n_sums"], np.float64)
+            last = r["shard"]
+        n, half = block["n_words"].to_numpy(), FOLDS - 1 - block["fold"].to_numpy()
+        given = lambda values: np.array([values.get(int(h), np.nan) for h in half])
+        mean = (sums + given(start) + n * given(unseen)) / np.maximum(n, 1)
+        judged = pa.array(np.exp(-mean), mask=(n == 0) | np.isnan(mean))
+        one = pa.table([block["doc_id"], block["lang"], block["n_words"], judged], names=["doc_id", "lang", "n_words", "perplexity"])
+        return pa.concat_tables([one] * len(named))
+
+    entries = model.entries.mapInArrow(spread, "shard long, key long, value double")
+    sums = asked(used, bits).groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(added, _ADDED)
+    schema = used.select("doc_id", "lang").schema.add("n_words", "long").add("perplexity", "double")
+    return sums.groupBy("block").applyInArrow(combine, schema)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, cutoff and keep of each document.  trusted: the doc_ids of trusted texts."""
-    scored = cut(perplexities(docs, Model(trusted_texts(docs, trusted))))
+    """doc_id, lang, n_words, perplexity, cutoff and keep of each document.  trusted: the doc_ids of trusted texts."""
+    space = Workspace(docs.sparkSession)
+    try:
+        scored = cut(perplexities(docs, Model(trusted_texts(docs, trusted), space)))
+    finally:
+        space.close()
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     known = cut(scored.filter("perplexity IS NOT NULL").join(ids, "doc_id", "left_semi").select("lang", "perplexity"))
     at = F.percentile_approx("perplexity", quantile, 10_000)
@@ -205,5 +332,5 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Da
     # a row for each language: few, unless the column holds something else
     few = cutoffs.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
     out = scored.join(F.broadcast(cutoffs) if few else cutoffs, "lang", "left").withColumn("cutoff", F.coalesce("own", F.lit(overall).cast("double")))
-    keep = F.when(F.col("n_symbols") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("cutoff"), F.lit(True)))
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", "cutoff", keep.alias("keep"))
+    keep = F.when(F.col("n_words") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("cutoff"), F.lit(True)))
+    return out.select("doc_id", "lang", "n_words", "perplexity", "cutoff", keep.alias("keep"))

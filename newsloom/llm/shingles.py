@@ -42,6 +42,17 @@ class Shingler:
         self.values = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))[_LOWER]
         self.up = self.down = np.zeros(0, _U)
 
+    def sums(self, data: np.ndarray, at: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of the bytes' values times powers, with ``data`` at the places ``at``, and the powers' inverses."""
+        if len(self.up) < len(outside):
+            self.up = _powers(_BASE, len(outside) * 5 // 4)
+            self.down = _powers(pow(_BASE, -1, 1 << 64), len(outside) * 5 // 4)
+        out = np.zeros(len(outside), _U)
+        out[at] = self.values[data]
+        out *= self.up[: len(outside)]
+        out[outside] = 0
+        return np.cumsum(out, out=out), self.down
+
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Every word's hash and each row's number of words."""
         data, bounds = flat_bytes(column)
@@ -50,17 +61,10 @@ class Shingler:
         inside = np.zeros(len(data) + rows + 2, bool)
         at = np.arange(1, len(data) + 1) + row  # a gap parts the rows
         inside[at] = ~_SPACE[data]
-        if len(self.up) < len(inside):
-            self.up = _powers(_BASE, len(inside) * 5 // 4)
-            self.down = _powers(pow(_BASE, -1, 1 << 64), len(inside) * 5 // 4)
-        sums = np.zeros(len(inside), _U)
-        sums[at] = self.values[data]
-        sums *= self.up[: len(inside)]
-        sums[~inside] = 0
-        np.cumsum(sums, out=sums)
+        sums, down = self.sums(data, at, ~inside)
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edge[::2], edge[1::2]
-        hashes = mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
         ends = bounds[1:] + np.arange(1, rows + 1)
         return hashes, np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
 

@@ -1,43 +1,47 @@
 import math
 import random
+import re
 from collections import Counter
 
 from newsloom.llm import quality
 
 
-def codes(text):
-    symbols = [0] * (quality.ORDER - 1) + [int(quality._CLASS[b]) for b in (text or "").encode()]
-    return [tuple(symbols[k : k + quality.ORDER]) for k in range(len(symbols) - quality.ORDER + 1)]
+def words(text):
+    """Words by a pattern, with digits alike."""
+    found = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", text or "")
+    return [re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), w)) for w in found]
+
+
+def pairs(text):
+    return list(zip(["<"] + words(text), words(text)))
 
 
 class Plain:
-    """Interpolated modified Kneser-Ney, written from its definition."""
-
-    def __init__(self, texts):
-        n = quality.ORDER
-        self.counts = {n: Counter(g for t in texts for g in codes(t))}
-        for k in range(n - 1, 0, -1):
-            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
-        self.d = {}
-        for k, c in self.counts.items():
-            m = Counter(c.values())
-            y = m[1] / (m[1] + 2 * m[2])
-            self.d[k] = [0] + [min(i, max(0.01, i - (i + 1) * y * m[i + 1] / m[i])) if m[i] else 0.5 for i in (1, 2, 3)]
+    """Interpolated modified Kneser-Ney of two words, written from its definition."""
 
-    def p(self, g):
-        if not g:
-            return 1 / quality.SYMBOLS
-        k, c = len(g), self.counts[len(g)]
-        row = [n for other, n in c.items() if other[:-1] == g[:-1]]
-        lower = self.p(g[1:])
-        if not row:
-            return lower
-        d = self.d[k]
+    def __init__(self, counts, discounts):
+        self.pairs, (self.two, self.one) = counts, discounts
+        self.behind = Counter(w for _, w in counts)
+
+    @staticmethod
+    def discounts(counts):
+        m = Counter(counts)
+        if not m[1] or not m[2]:  # too little to tell
+            return [0, 0.5, 0.5, 0.5]
+        y = m[1] / (m[1] + 2 * m[2])
+        return [0] + [min(i, max(0.01, i - (i + 1) * y * m[i + 1] / m[i])) if m[i] else 0.5 for i in (1, 2, 3)]
+
+    def share(self, own, row, d, lower):
         left = sum(d[min(3, n)] for n in row)
-        return (max(0.0, c[g] - d[min(3, c[g])]) + left * lower) / sum(row)
+        return (max(0.0, own - d[min(3, own)]) + left * lower) / sum(row)
+
+    def p(self, g):
+        one = self.share(self.behind[g[1]], self.behind.values(), self.one, 1 / (len(self.behind) + 1))
+        row = [n for other, n in self.pairs.items() if other[0] == g[0]]
+        return self.share(self.pairs[g], row, self.two, one) if row else one
 
     def perplexity(self, text):
-        logs = [math.log(self.p(g)) for g in codes(text)]
+        logs = [math.log(self.p(g)) for g in pairs(text)]
         return math.exp(-sum(logs) / len(logs))
 
 
@@ -48,23 +52,41 @@ def sentence(rng):
 def test_perplexity_equals_plain_model(spark):
     rng = random.Random(2)
     rows = [(k, sentence(rng), rng.choice(["en", "fr", None])) for k in range(60)]
-    rows += [(100, "XQ #$% zz~ 99", "en"), (101, None, "en"), (102, "", "fr"), (None, "the of", "en"), (5, rows[5][1], "en")]
+    rows += [(100, "XQ #$% zz~ 99", "en"), (101, None, "en"), (102, "", "fr"), (103, " \n\t", "fr"), (None, "the of", "en"), (5, rows[5][1], "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS block", "2 AS g").repartition(3)
     trusted = spark.createDataFrame([(k,) for k in range(0, 60, 2)] + [(None,), (0,), (999,)], "doc_id long")
     got = quality.judge(docs, trusted).collect()
     assert len(got) == len(rows)
-    plain = Plain([t for k, t, _ in rows[:60] if k % 2 == 0])
+    half = dict(docs.select("doc_id", quality.fold("doc_id").alias("f")).collect())
+    counts = [Counter(g for k, t, _ in rows[:60] if k % 2 == 0 and half[k] == f for g in pairs(t)) for f in (0, 1)]
+    # both halves' counts give the discounts
+    two = Plain.discounts([n for c in counts for n in c.values()])
+    one = Plain.discounts([n for c in counts for n in Counter(w for _, w in c).values()])
+    plain = [Plain(c, (two, one)) for c in counts]
     texts = {k: t for k, t, _ in rows}
     for r in got:
         text = texts[r.doc_id]
-        if not text:
+        assert r.n_words == len(words(text))
+        if not words(text):
             assert r.perplexity is None and not r.keep
         else:
-            assert abs(r.perplexity / plain.perplexity(text) - 1) < 1e-6
+            assert abs(r.perplexity / plain[1 - half[r.doc_id]].perplexity(text) - 1) < 1e-6
             assert r.keep == (r.perplexity <= r.cutoff)
     assert not next(r.keep for r in got if r.doc_id == 100)
 
 
+def test_shards_and_blocks_add_up(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, sentence(rng) + " " + sentence(rng), "en") for k in range(80)], "doc_id long, text string, lang string")
+    docs = docs.union(docs.filter("doc_id = 7")).union(spark.createDataFrame([(90, "the of " * 40_000, "en")], docs.schema)).repartition(2)
+    trusted = docs.select("doc_id").filter("doc_id % 3 != 0")
+    whole = sorted((r.doc_id, r.n_words, round(r.perplexity, 9)) for r in quality.judge(docs, trusted).collect())
+    monkeypatch.setattr(quality, "SHARD", 500)
+    monkeypatch.setattr(quality, "PIECE", 300)
+    assert sorted((r.doc_id, r.n_words, round(r.perplexity, 9)) for r in quality.judge(docs, trusted).collect()) == whole
+    assert len(whole) == 82 and whole[-1][1] == 80_000
+
+
 def test_nothing_trusted_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, None, None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long")
