@@ -33,6 +33,7 @@ lang are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,21 @@ class Words:
         return numbers.astype(np.int64), np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
 
 
+def gathered(source) -> Iterator[pa.RecordBatch]:
+    """Batches of about PIECE bytes of text, whatever the batches that come in: equal keys are sent once for each."""
+    held, size = [], 0
+    for whole in source:
+        for batch in pieces(whole, "text", PIECE):
+            more = batch.column("text").nbytes
+            if held and size + more > PIECE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(batch)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def behind(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The word before each word."""
     before = np.empty(len(words), np.int64)
@@ -109,12 +125,11 @@ def count_pairs(texts: DataFrame) -> DataFrame:
 
     def run(source):
         words_of = Words()
-        for whole in source:
-            for batch in pieces(whole, "text", PIECE):
-                words, sizes = words_of(batch.column("text"))
-                half = np.repeat(batch.column("fold").to_numpy(), sizes)
-                found, n = np.unique(half << 2 * BITS | behind(words, sizes) << BITS | words, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["g", "n"])
+        for batch in gathered(source):
+            words, sizes = words_of(batch.column("text"))
+            half = np.repeat(batch.column("fold").to_numpy(), sizes)
+            found, n = np.unique(half << 2 * BITS | behind(words, sizes) << BITS | words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["g", "n"])
 
     return texts.select("fold", "text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
@@ -165,14 +180,12 @@ class Model:
         high, low = F.shiftleft(half, 2 * BITS), F.col("u").bitwiseAND(F.lit(_MASK))
         whole = words.select(high.bitwiseOR(low).alias("key"), (above + F.log(weight)).alias("value"))
         last = words.select(high.bitwiseOR(F.shiftleft(low, BITS)).alias("key"), above.alias("value")).filter("value != 0")
-        seen = (
-            pairs.select("g", "n", history.alias("h"), word.alias("w"))
-            .join(words.select(F.col("u").alias("h"), "total", "left"), "h")
-            .join(words.select(F.col("u").alias("w"), "p"), "w")
-        )
-        less = F.col("left") / F.col("total") * F.col("p")
-        share = F.greatest(F.lit(0.0), F.col("n") - two) / F.col("total")
-        self.entries = whole.union(last).union(seen.select(F.col("g").alias("key"), (F.log(share + less) - F.log(less)).alias("value")))
+        # what a pair has above its history's weight, from its history alone; single precision is enough for sums of logarithms
+        ratio = F.greatest(F.lit(0.0), F.col("n") - two) / F.col("left")
+        parts = pairs.withColumn("u", history).join(weights, "u").select("g", ratio.cast("float").alias("ratio"))
+        seen = parts.withColumn("u", word).join(words.select("u", "p"), "u")
+        value = F.log(F.lit(1.0) + F.col("ratio") / F.col("p"))
+        self.entries = whole.union(last).union(seen.select(F.col("g").alias("key"), value.alias("value"))).select("key", F.col("value").cast("float"))
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -205,8 +218,13 @@ def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-_ASKED = "shard long, block long, n_keys long, n_places long, keys binary, times binary, places binary, rows binary"
-_ADDED = "shard long, block long, n_sums long, places binary, sums binary, rows binary"
+_ASKED = "shard int, block long, n_keys long, n_places long, keys binary, times binary, places binary, rows binary"
+_ADDED = "shard int, block long, n_sums long, places binary, sums binary, rows binary"
+
+
+def _kinds(schema: str) -> list[pa.DataType]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return [kinds[f.split()[1]] for f in schema.split(", ")]
 
 
 def number_of(rows: bytes, keys: np.ndarray) -> int:
@@ -221,41 +239,40 @@ def asked(used: DataFrame, bits: int) -> DataFrame:
 
     def run(source):
         words_of, up = Words(), np.uint64(64 - bits)
-        for whole in source:
-            for batch in pieces(whole, "text", PIECE):
-                words, sizes = words_of(batch.column("text"))
-                doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-                half = (FOLDS - 1 - batch.column("fold").to_numpy()) << 2 * BITS
-                mine = half[doc]
-                alone = mine | words
-                ends = np.cumsum(sizes)[sizes > 0] - 1
-                alone[ends] = mine[ends] | words[ends] << BITS
-                keys = mix(np.concatenate((mine | behind(words, sizes) << BITS | words, alone)).astype(np.uint64))
-                order = np.argsort(keys, kind="stable")
-                keys, places = keys[order], np.concatenate((doc, doc))[order]
-                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(keys)))
-                distinct = keys[first]
-                named = batch.select(["doc_id", "lang", "fold"]).append_column("n_words", pa.array(sizes, pa.int64()))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, named.schema) as out:
-                    out.write_batch(named)
-                rows = sink.getvalue().to_pybytes()
-                block = number_of(rows, keys)
-                shard = (distinct >> up).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
-                home = block & ((1 << bits) - 1)
-                found = np.unique(np.append(shard, home))
-                cuts = np.searchsorted(shard, found), np.searchsorted(shard, found, "right")
-                place_of = np.append(first, len(keys))
-                table = []
-                for s, a, b in zip(found.tolist(), *map(np.ndarray.tolist, cuts)):
-                    part = places[place_of[a] : place_of[b]]
-                    deltas = np.diff(distinct[a:b], prepend=np.uint64(0))
-                    packed = (_pack(deltas), _pack(times[a:b].astype(np.uint32)), _pack(part))
-                    table.append((s, block, b - a, len(part), *packed, rows if s == home else None))
-                names = [f.split()[0] for f in _ASKED.split(", ")]
-                kinds = [pa.int64() if f.endswith("long") else pa.binary() for f in _ASKED.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table), kinds)], names=names)
+        for batch in gathered(source):
+            words, sizes = words_of(batch.column("text"))
+            doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+            half = (FOLDS - 1 - batch.column("fold").to_numpy()) << 2 * BITS
+            mine = half[doc]
+            alone = mine | words
+            ends = np.cumsum(sizes)[sizes > 0] - 1
+            alone[ends] = mine[ends] | words[ends] << BITS
+            keys = mix(np.concatenate((mine | behind(words, sizes) << BITS | words, alone)).astype(np.uint64))
+            order = np.argsort(keys, kind="stable")
+            keys, places = keys[order], np.concatenate((doc, doc))[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(keys)))
+            distinct = keys[first]
+            named = batch.select(["doc_id", "lang", "fold"]).append_column("n_words", pa.array(sizes, pa.int64()))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, named.schema) as out:
+                out.write_batch(named)
+            rows = sink.getvalue().to_pybytes()
+            block = number_of(rows, keys)
+            shard = (distinct >> up).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
+            home = block & ((1 << bits) - 1)
+            found = np.unique(np.append(shard, home))
+            cuts = np.searchsorted(shard, found), np.searchsorted(shard, found, "right")
+            place_of = np.append(first, len(keys))
+            table = []
+            for s, a, b in zip(found.tolist(), *map(np.ndarray.tolist, cuts)):
+                part = places[place_of[a] : place_of[b]]
+                deltas = np.diff(distinct[a:b], prepend=np.uint64(0))
+                packed = (_pack(deltas), _pack(times[a:b].astype(np.uint32)), _pack(part))
+                table.append((s, block, b - a, len(part), *packed, rows if s == home else None))
+            names = [f.split()[0] for f in _ASKED.split(", ")]
+            kinds = _kinds(_ASKED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table), kinds)], names=names)
 
     return used.mapInArrow(run, _ASKED)
 
@@ -275,7 +292,7 @@ def added(left: pa.Table, right: pa.Table) -> pa.Table:
         sums = np.bincount(_unpack(r["places"], r["n_places"], np.uint32), known)
         hit = np.flatnonzero(sums)
         out.append((r["shard"], r["block"], len(hit), _pack(hit.astype(np.uint32)), _pack(sums[hit]), r["rows"]))
-    kinds = [pa.int64() if f.endswith("long") else pa.binary() for f in _ADDED.split(", ")]
+    kinds = _kinds(_ADDED)
     columns = list(zip(*out)) or [()] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _ADDED.split(", ")])
 
@@ -292,7 +309,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         for batch in source:
             key = mix(batch.column("key").to_numpy().astype(np.uint64))
             shard = (key >> up).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key.view(np.int64)), batch.column("value")], names=["shard", "key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(key.view(np.int64)), batch.column("value")], names=["shard", "key", "value"])
 
     def combine(table: pa.Table) -> pa.Table:
         parts = sorted(table.to_pylist(), key=lambda r: r["shard"])
@@ -311,7 +328,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         one = pa.table([block["doc_id"], block["lang"], block["n_words"], judged], names=["doc_id", "lang", "n_words", "perplexity"])
         return pa.concat_tables([one] * len(named))
 
-    entries = model.entries.mapInArrow(spread, "shard long, key long, value double")
+    entries = model.entries.mapInArrow(spread, "shard int, key long, value float")
     sums = asked(used, bits).groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(added, _ADDED)
     schema = used.select("doc_id", "lang").schema.add("n_words", "long").add("perplexity", "double")
     return sums.groupBy("block").applyInArrow(combine, schema)
