@@ -32,6 +32,8 @@ _CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
 #: Characters around a cut that make it one.
 _CONTEXT = 2
 
+_LEAVES = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))
+
 EDIT = T.ArrayType(
     T.StructType(
         [
@@ -68,9 +70,16 @@ def leaves(text: str, size: int = LEAF) -> list[str]:
 class Tree:
     """Sums of characters and tokens over a document's leaves."""
 
-    def __init__(self, text: str, count):
+    def __init__(self, text: str, count, stored: list[dict] | None = None):
         self.text, self.count, self.encoded = text, count, 0
-        self._build([(len(x), self._tokens(x)) for x in leaves(text)])
+        pairs = [(x["chars"], x["tokens"]) for x in stored or ()]
+        if sum(c for c, _ in pairs) != len(text):
+            pairs = [(len(x), self._tokens(x)) for x in leaves(text)]
+        self._build(pairs)
+
+    def stored(self) -> list[dict]:
+        w = self.width
+        return [{"chars": c, "tokens": t} for c, t in zip(self.chars[w : w + self.n], self.tokens[w : w + self.n]) if c]
 
     def _tokens(self, piece: str) -> int:
         self.encoded += len(piece)
@@ -135,12 +144,22 @@ class Tree:
 
 
 def count(
-    docs: DataFrame, edits: DataFrame | None, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame,
+    edits: DataFrame | None,
+    ranks_path: str,
+    pattern: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    tree: str | None = None,
 ) -> DataFrame:
     """Adds n_tokens, and what the edits (doc_id, seq, start, end, text) lead to: text_after, n_tokens_after, n_encoded.
 
     n_encoded: characters encoded for the edits alone.  Without edits the pass is
     narrow; a document's edits are gathered and joined to it by id.
+
+    tree: the column that takes the leaves after the edits.  If ``docs`` has it (the table that an
+    earlier call gave, whose text is ``text_after`` now), trees start from it and nothing but the
+    edits is encoded; a tree that is null or not as long as its text is built anew.
     """
     name = "__edits"
     if edits is None:
@@ -150,10 +169,10 @@ def count(
         listed = edits.select(F.col(doc_id).alias("__id"), F.struct(*fields).alias("e")).groupBy("__id")
         listed = listed.agg(F.sort_array(F.collect_list("e")).alias(name))
         joined = docs.join(listed, docs[doc_id] == listed["__id"], "left").drop("__id")
-    return counted(joined, name, ranks_path, pattern, text).drop(name)
+    return counted(joined, name, ranks_path, pattern, text, tree).drop(name)
 
 
-def counted(joined: DataFrame, edits: str, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+def counted(joined: DataFrame, edits: str, ranks_path: str, pattern: str, text: str = "text", tree: str | None = None) -> DataFrame:
     """As :func:`count`, for edits that are an array column of each row."""
     with open(ranks_path, "rb") as f:
         shared = joined.sparkSession.sparkContext.broadcast(f.read())
@@ -162,20 +181,24 @@ def counted(joined: DataFrame, edits: str, ranks_path: str, pattern: str, text:
         encode = encoding(shared.value, pattern).encode_ordinary
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            before, after, texts, worked = [], [], [], []
+            before, after, texts, worked, trees = [], [], [], [], []
             column = batch.column(text if text in batch.schema.names else "__input").to_pylist()
-            for value, changes in zip(column, batch.column(edits).to_pylist()):
-                tree = Tree(value or "", lambda piece: len(encode(piece)))
-                before.append(tree.n_tokens)
-                tree.encoded = 0
+            known = batch.column(tree).to_pylist() if tree in batch.schema.names else [None] * len(column)
+            for value, changes, stored in zip(column, batch.column(edits).to_pylist(), known):
+                sums = Tree(value or "", lambda piece: len(encode(piece)), stored)
+                before.append(sums.n_tokens)
+                sums.encoded = 0
                 for e in changes or ():
                     begin = e["start"] or 0
-                    tree.edit(begin, begin if e["end"] is None else e["end"], e["text"] or "")
-                after.append(tree.n_tokens)
-                texts.append(tree.text if changes else value)
-                worked.append(tree.encoded)
+                    sums.edit(begin, begin if e["end"] is None else e["end"], e["text"] or "")
+                after.append(sums.n_tokens)
+                texts.append(sums.text if changes else value)
+                worked.append(sums.encoded)
+                if tree:
+                    trees.append(sums.stored())
             ints = [pa.array(x, pa.int64()) for x in (before, after, worked)]
-            return [ints[0], pa.array(texts, pa.string()), ints[1], ints[2]]
+            out = [ints[0], pa.array(texts, pa.string()), ints[1], ints[2]]
+            return out + [pa.array(trees, _LEAVES)] if tree else out
 
         return compute
 
@@ -185,6 +208,9 @@ def counted(joined: DataFrame, edits: str, ranks_path: str, pattern: str, text:
         T.StructField("n_tokens_after", T.LongType()),
         T.StructField("n_encoded", T.LongType()),
     ]
+    if tree:
+        leaf = T.StructType([T.StructField("chars", T.LongType()), T.StructField("tokens", T.LongType())])
+        fields.append(T.StructField(tree, T.ArrayType(leaf)))
     return add_columns(joined, fields, text, make)
 
 

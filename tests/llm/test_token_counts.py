@@ -69,3 +69,26 @@ def test_query_rows_equal_full_recount(spark, sf_dir, encoder):
             a, b = min(e.start, len(text)), min(e.end, len(text))
             text = text[:a] + e.text + text[b:]
         assert got[r.doc_id].n_tokens_after == len(encoder.encode_ordinary(text))
+
+
+def test_stored_trees_take_the_next_edits(spark, encoder, tmp_path):
+    n = lambda s: len(encoder.encode_ordinary(s))
+    docs = spark.createDataFrame([(1, "some words of a long text " * 400), (2, None), (3, "short")], "doc_id long, text string")
+    schema = "doc_id long, seq int, start int, end int, text string"
+    one = spark.createDataFrame([(1, 1, 5000, 5003, "new"), (2, 1, 0, 0, "born here")], schema)
+    two = spark.createDataFrame([(1, 1, 0, 4, "Other"), (2, 1, 4, 9, ""), (3, 1, 0, 0, "very ")], schema)
+    tc.count(docs, one, RANKS, public_tokenizers.PATTERN, tree="tree").write.parquet(f"{tmp_path}/first")
+    first = spark.read.parquet(f"{tmp_path}/first")
+    got = {r.doc_id: r for r in tc.count(first, two, RANKS, public_tokenizers.PATTERN, text="text_after", tree="tree").collect()}
+    before = {r.doc_id: r for r in first.collect()}
+    assert got[2].text_after == "born" and got[3].text_after == "very short"
+    for k, r in got.items():
+        assert r.n_tokens == before[k].n_tokens_after and r.n_tokens_after == n(r.text_after)
+        assert sum(x.chars for x in r.tree) == len(r.text_after) and sum(x.tokens for x in r.tree) == r.n_tokens_after
+    assert got[1].n_encoded < 3 * tc.LEAF
+    # leaves that do not fit their text are not believed; those that fit are, and nothing is encoded for them
+    stale = first.selectExpr("doc_id", "text_after AS text", "array(named_struct('chars', 1L, 'tokens', 77L)) AS tree")
+    assert {r.n_tokens for r in tc.count(stale, None, RANKS, public_tokenizers.PATTERN, tree="tree").collect()} == {r.n_tokens_after for r in before.values()}
+    calls = []
+    tree = tc.Tree("ab cd", lambda s: calls.append(s) or n(s), [{"chars": 5, "tokens": n("ab cd")}])
+    assert tree.n_tokens == n("ab cd") and not calls
