@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, languages, licences, neighbours, pages, quality, sentencepieces, substrings, token_counts
+from . import alignment, chat, decontamination, jaccard, languages, licences, manifest, neighbours, pages, quality, sentencepieces, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model_path())
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -82,6 +96,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_quality": op9_quality,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_alignment": op11_alignment,
+        "op12_chat_formatting": op12_chat_formatting,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "licence_base_places": licence_base_places,
     }
 
@@ -90,5 +107,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.REPORT_SQL,
         "op10_ngram_jaccard": jaccard.SQL,
+        "op12_chat_formatting": chat.SQL,
+        "op13_merkle_manifest": manifest.SQL,
         "licence_base_places": licences.BASE_SQL,
     }
