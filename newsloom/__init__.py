@@ -1 +1,11 @@
-"""newsloom: incremental text and news-style document pipelines as lazy Spark plans."""
+"""newsloom: incremental text and news-style document pipelines as lazy Spark plans.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the
+package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

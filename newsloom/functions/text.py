@@ -31,8 +31,10 @@ def let(value: Column, use) -> Column:
 def fold(c) -> Column:
     """Lower case without accents (Latin letters; ligatures and ß stay); loose combining marks go."""
     marked = "".join(_MARKED)
-    low = F.translate(F.lower(text(c)), marked, "".join(_MARKED[x] for x in marked))
-    return F.regexp_replace(low, r"\p{Mn}", "")
+    low = F.lower(text(c))
+    plain = F.translate(low, marked, "".join(_MARKED[x] for x in marked))
+    # a text of as many bytes as characters has no accents
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(plain, r"\p{Mn}", ""))
 
 
 def squeeze(c) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import language, rules
 from ..functions.text import fold, story_key, subject_key
+from ..sources.folders import cut
+from . import order
 
 
 def when_seen() -> Column:
@@ -49,13 +51,17 @@ def for_children(articles: DataFrame, patterns=V.CHILD_UNSUITABLE) -> DataFrame:
     return articles.filter(~rules.is_child_unsuitable("title", "summary", "content", patterns))
 
 
-def in_language(articles: DataFrame, code: str) -> DataFrame:
+def speaks(code: str) -> Column:
     """English: by region and language.  Else: not English by region, and French or of no clear language."""
     if code == "en":
-        return articles.filter((F.col("region") == "english") & (F.col("language") == "en"))
+        return (F.col("region") == "english") & (F.col("language") == "en")
     found = language.detect("title", "summary", "content", F.col("region"))
     fits = F.when(F.col("language") == "fr", True).when(F.col("language").isin("en", "de"), False).otherwise(found.isin("fr", "unknown"))
-    return articles.filter((F.col("region") != "english") & fits)
+    return (F.col("region") != "english") & fits
+
+
+def in_language(articles: DataFrame, code: str) -> DataFrame:
+    return articles.filter(speaks(code))
 
 
 def for_topic(articles: DataFrame, topic: str | None, minimum: int = 4, topics=V.TOPICS, pool: str | None = None) -> DataFrame:
@@ -86,13 +92,13 @@ def for_topic(articles: DataFrame, topic: str | None, minimum: int = 4, topics=V
 # ---- ranks ---------------------------------------------------------------------------------
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
-    """Adds the place in the order; for rows that a limit has bounded."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def numbered(df: DataFrame, *by: Column, name: str = "ord") -> DataFrame:
+    """Adds the place in the order, for pools that a limit has bounded: one task.  Whole tables: :func:`order.numbered`."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("long"))
 
 
-def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+def top(df: DataFrame, n: int, *by: Column) -> DataFrame:
+    return df.orderBy(*by).limit(n)
 
 
 def candidate_order() -> list[Column]:
@@ -129,19 +135,20 @@ def rank_order(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIET
     return df, []
 
 
-def rank(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> DataFrame:
-    """Renews ``ord`` by :func:`rank_order`; unchanged for other keys.  Numbering is one task, for bounded pools."""
-    scored, order = rank_order(df, key, topics, anxiety, calm)
-    return numbered(scored, *order, F.asc("ord")).drop("_s", "_a", "_c") if order else df
+def rank(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM, bounded: bool = False) -> DataFrame:
+    """Renews ``ord`` by :func:`rank_order`; unchanged for other keys.  ``bounded``: a limit has bounded the rows, and one task numbers them."""
+    scored, by = rank_order(df, key, topics, anxiety, calm)
+    number = numbered if bounded else order.numbered
+    return number(scored, *by, F.asc("ord")).drop("_s", "_a", "_c") if by else df
 
 
 # ---- repeats -------------------------------------------------------------------------------
 
 
 def first_by(df: DataFrame, key: Column, ord_: str = "ord") -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy("_k").orderBy(ord_)
-    return df.withColumn("_k", key).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_k", "_r")
+    """The first row of each key; tasks combine before the shuffle, so that a key of very many rows is no window of one task."""
+    row = F.struct(*df.columns)
+    return df.groupBy(key.alias("_k")).agg(F.min_by(row, ord_).alias("_row")).select("_row.*")
 
 
 def unique_stories(df: DataFrame) -> DataFrame:
@@ -156,11 +163,20 @@ def unique_subjects(df: DataFrame, subjects=V.KNOWN_SUBJECTS) -> DataFrame:
     return first_by(df, subject(subjects))
 
 
-def diversified(df: DataFrame, subjects=V.KNOWN_SUBJECTS) -> DataFrame:
-    """Nothing is dropped: first the first row of each subject, then all others, each in order.  Renews ``ord``."""
-    w = Window.partitionBy("_k").orderBy("ord")
-    marked = df.withColumn("_k", subject(subjects)).withColumn("_again", F.row_number().over(w) > 1)
-    return numbered(marked, F.asc("_again"), F.asc("ord")).drop("_k", "_again")
+def diversified(df: DataFrame, subjects=V.KNOWN_SUBJECTS, bounded: bool = False) -> DataFrame:
+    """Nothing is dropped: first the first row of each subject, then all others, each in order.  Renews ``ord``.
+
+    The first ones are a minimum and a join by subject, which Spark splits where a subject is
+    frequent, and numbering is by ranges; ``bounded``: a limit has bounded the rows, and windows do.
+    """
+    marked = df.withColumn("_k", subject(subjects))
+    if bounded:
+        marked = marked.withColumn("_again", F.row_number().over(Window.partitionBy("_k").orderBy("ord")) > 1)
+        return numbered(marked, F.asc("_again"), F.asc("ord")).drop("_k", "_again")
+    marked = cut(marked)
+    firsts = marked.groupBy("_k").agg(F.min("ord").alias("_first"))
+    joined = marked.join(firsts, "_k").withColumn("_again", F.col("ord") > F.col("_first")).drop("_k", "_first")
+    return order.numbered(joined, F.asc("_again"), F.asc("ord")).drop("_again")
 
 
 # ---- selection -----------------------------------------------------------------------------
@@ -205,7 +221,7 @@ def selection(
     both = both.withColumn("_n", F.count(F.when(F.col("part") == 0, 1)).over(Window.partitionBy(F.lit(0))))
     both = both.filter((F.col("part") == F.col("_first")) & ((F.col("part") == 0) | (F.col("_n") < target))).drop("_first", "_n")
     both = numbered(both, F.asc("part"), F.asc("ord")).drop("part")
-    both = rank(both, "non_anxiogene" if child else style.key, topics, sets.get("anxiety", V.ANXIETY), sets.get("calm", V.CALM))
+    both = rank(both, "non_anxiogene" if child else style.key, topics, sets.get("anxiety", V.ANXIETY), sets.get("calm", V.CALM), True)
     both = unique_stories(both)
-    both = unique_subjects(both, subjects) if child else diversified(both, subjects)
+    both = unique_subjects(both, subjects) if child else diversified(both, subjects, True)
     return both.orderBy("ord").limit(target)

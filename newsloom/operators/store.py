@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language, rules
 from ..functions.text import canonical_url, url_hash
+from ..sources.commits import Tables, Transaction
 
 
 def compact(log: DataFrame, key: str | list[str], arrival: str, first: list[str], last: list[str], last_known: list[str]) -> DataFrame:
@@ -52,17 +53,44 @@ def with_use(rows: DataFrame, uses: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("used_count") > 0, "used").otherwise("new"))
 
 
+def use_counts(uses: DataFrame) -> DataFrame:
+    """How often bulletins took each article."""
+    return uses.groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("used_count"))
+
+
+def create_bulletins(tables: Tables, bulletins: DataFrame, picked: DataFrame, attempts: int = 5) -> int:
+    """New bulletins, the articles that they picked and the marks of use, in one commit; gives its version.
+
+    A pair that is there already stays one row, but each mention counts as a use.  An id that is
+    taken fails, and nothing is changed.  Where another writer was faster, it is done anew on what that
+    one left.
+    """
+
+    def change(t: Transaction) -> None:
+        taken = bulletins.select("id").join(t.read("bulletins").select("id"), "id", "left_semi").take(1)
+        if taken:
+            raise ValueError(f"there is a bulletin {taken[0].id} already")
+        pairs = picked.select("bulletin_id", "article_id")
+        t.append("bulletins", bulletins)
+        t.append("bulletin_articles", pairs.distinct().join(t.read("bulletin_articles"), ["bulletin_id", "article_id"], "left_anti"))
+        t.append("article_uses", pairs)
+
+    return tables.retrying(change, attempts)
+
+
 def merge_sources(stored: DataFrame, given: DataFrame) -> DataFrame:
     """Stored sources brought up to date: matched by url, else by name; ids and validators stay, unmatched ones are added.
 
-    A given row whose url and name match different stored rows follows the url.
+    A given row follows its url where a stored row has it.  A name counts only for stored rows that
+    no given url names, and only while they bear it: a row that its url gives another name is added by
+    the one that has its former name.  So no stored row answers to two given ones.
     """
     config = ["name", "url", "region", "priority", "interval_minutes", "max_entries", "enabled"]
-    by_url = stored.select(F.col("id").alias("id_u"), F.col("url").alias("u"))
-    by_name = stored.select(F.col("id").alias("id_n"), F.col("name").alias("m"))
     named = given.select(*config).dropDuplicates(["url"]).dropDuplicates(["name"])
-    matched = named.join(by_url, F.col("url") == F.col("u"), "left").join(by_name, F.col("name") == F.col("m"), "left")
-    matched = matched.withColumn("id", F.coalesce("id_u", "id_n")).drop("id_u", "id_n", "u", "m")
+    by_url = named.join(stored.select("id", "url"), "url")
+    unclaimed = stored.join(by_url.select("id"), "id", "left_anti")
+    others = named.join(by_url.select("url"), "url", "left_anti").join(unclaimed.select("id", "name"), "name", "left")
+    matched = by_url.select("id", *config).unionByName(others.select("id", *config))
     kept = stored.select("id", *[c for c in stored.columns if c not in [*config, "id"]])
     updated = matched.filter("id IS NOT NULL").join(kept, "id")
     added = matched.filter("id IS NULL").withColumn("id", F.xxhash64("url"))

@@ -305,13 +305,12 @@ def topic_unique(spark, d):
     {_any("folded", SETS["child"])} AS child_unsuitable FROM (SELECT *, {_FOLDED} FROM v_articles)"""
 )
 def rule_flags(spark, d):
-    a = _articles(spark, d).withColumns(
-        {"folded": rules.joined("title", "summary", "content"), "folded_source": rules.joined("source_name", "title", "summary", "content")}
-    )
+    a = _articles(spark, d).withColumn("folded", rules.joined("title", "summary", "content"))
+    a = a.withColumn("folded_source", rules.with_source(F.col("folded"), "source_name"))
     return a.select(
         "id",
-        rules.tiered(F.col("folded"), **SETS["sports"]).alias("sports_text"),
-        rules.tiered(F.col("folded_source"), **SETS["sports"]).alias("sports_article"),
+        rules.tiered(F.col("folded"), **SETS["sports"], bound=True).alias("sports_text"),
+        rules.tiered(F.col("folded_source"), **SETS["sports"], bound=True).alias("sports_article"),
         rules.is_low_value("title", "summary", SETS["low_value"]).alias("low_value"),
         rules.any_match(F.col("folded"), SETS["child"]).alias("child_unsuitable"),
     )
@@ -323,15 +322,16 @@ def rule_flags(spark, d):
 )
 def anxiety_calm_scores(spark, d):
     a = _articles(spark, d).select("id", rules.joined("title", "summary", "content").alias("folded"))
-    return a.select("id", rules.anxiety(F.col("folded"), SETS["anxiety"]).alias("anxiety"), rules.calm(F.col("folded"), SETS["calm"]).alias("calm"))
+    return a.select("id", rules.anxiety(F.col("folded"), SETS["anxiety"], True).alias("anxiety"), rules.calm(F.col("folded"), SETS["calm"], True).alias("calm"))
 
 
 @query(
     f"""WITH {views.ARTICLES_SQL} SELECT id, {", ".join(f"CAST({_relevance(t)} AS BIGINT) AS {t}" for t in ("valais", "suisse", "international"))} FROM v_articles"""
 )
 def topic_relevance(spark, d):
-    score = lambda t: rules.relevance(t, "source_name", "region", "title", "summary", "content", TOPICS).alias(t)
-    return _articles(spark, d).select("id", *[score(t) for t in ("valais", "suisse", "international")])
+    folded = rules.joined("source_name", "region", "title", "summary", "content")
+    score = lambda t: rules.relevance(t, "source_name", "region", "title", "summary", "content", TOPICS, F.col("folded")).alias(t)
+    return _articles(spark, d).withColumn("folded", folded).select("id", *[score(t) for t in ("valais", "suisse", "international")])
 
 
 @query(
@@ -441,8 +441,8 @@ def _items(spark, d):
     return a.select(
         "id", "title", F.col("source_name").alias("source"), "region", "language", "published_at", F.col("created_at").alias("scraped_at"),
         "priority", "is_sports", F.substring("content", 1, 320).alias("summary"), F.lit("").alias("search_terms"),
-        F.least(F.lit(10), rules.anxiety(F.col("folded"), SETS["anxiety"])).alias("tension"),
-        F.least(F.lit(10), rules.calm(F.col("folded"), SETS["calm"])).alias("calm"),
+        F.least(F.lit(10), rules.anxiety(F.col("folded"), SETS["anxiety"], True)).alias("tension"),
+        F.least(F.lit(10), rules.calm(F.col("folded"), SETS["calm"], True)).alias("calm"),
         (~rules.any_match(F.col("folded"), SETS["child"]) & ~F.col("is_sports")).alias("child_friendly"),
     )
 
@@ -817,7 +817,7 @@ def spoken_numbers(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import records  # noqa: F401  registers its queries
+    from . import records, state  # noqa: F401  register their queries
 
     return dict(QUERIES)
 

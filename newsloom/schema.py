@@ -35,6 +35,8 @@ BULLETINS = _struct(
     "status string, audio_path string, audio_mime_type string, duration_seconds double, warnings strings, error string"
 )
 BULLETIN_ARTICLES = _struct("bulletin_id string, article_id long")
+#: A row for each time that a bulletin takes an article.
+ARTICLE_USES = _struct("bulletin_id string, article_id long")
 AUDIO_ASSETS = _struct("id long, bulletin_id string, path string, mime_type string, duration_seconds double, created_at timestamp")
 PIPELINE_RUNS = _struct("id long, kind string, status string, started_at timestamp, ended_at timestamp, message string")
 #: What arrives from feeds, before it is compacted.
