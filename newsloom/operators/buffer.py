@@ -30,20 +30,19 @@ def pools(articles: DataFrame, styles: list[Style], most: int = 7, sets: dict |
     """The articles that slots of these styles can reach, with their places and what the selection asks of them.
 
     english: whose order it is (one with articles in English, or without); as_new, as_recent: the
-    place in the order of candidates and of recent ones, or null; seen: rank of the date, as places
-    of recent ones also depend on how often an article has been used by then.
+    place in the order of candidates and of recent ones, or null; seen: the date, as places
+    of recent ones also depend on how often an article has been used by then.  Their ids pass the driver.
     """
-    sets, depth, found = sets or {}, reach(styles, most), []
+    sets, depth, places = sets or {}, reach(styles, most), {}
     for english in sorted({s.language == "en" for s in styles}):
-        new = select.numbered(select.top(select.candidates(articles, english), depth, *select.candidate_order()), *select.candidate_order())
-        old = select.numbered(select.top(select.recent(articles, english), depth, *select.recent_order()), *select.recent_order())
-        found += [d.withColumns({"english": F.lit(english), "part": F.lit(p)}) for p, d in enumerate((new, old))]
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    place = lambda p: F.max(F.when(F.col("part") == p, F.col("ord")))
-    row = F.struct(*articles.columns)
-    one = both.groupBy("id", "english").agg(place(0).alias("as_new"), place(1).alias("as_recent"), F.first(row).alias("a")).select("english", "as_new", "as_recent", "a.*")
+        for part, (kept, by) in enumerate(((select.candidates(articles, english), select.candidate_order()), (select.recent(articles, english), select.recent_order()))):
+            for k, r in enumerate(select.top(kept.select("id", "priority", "published_at", "created_at", "used_count"), depth, *by).collect(), 1):
+                places.setdefault((r.id, english), [None, None])[part] = k
+    # as many ids as the slots can reach, so that only these rows and their texts are read, wherever they come from
+    ids = articles.filter(F.col("id").isin(sorted({i for i, _ in places})))
+    rows = [(i, e, *p) for (i, e), p in places.items()]
+    reached = articles.sparkSession.createDataFrame(rows, "id long, english boolean, as_new long, as_recent long")
+    one = ids.join(F.broadcast(reached), "id")
     text, whole = F.col("_text"), F.col("_whole")
     one = one.withColumns({"_text": rules.joined("title", "summary", "content"), "_whole": rules.joined("source_name", "region", "title", "summary", "content")})
     asked = {

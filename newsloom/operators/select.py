@@ -117,29 +117,37 @@ def export_order() -> list[Column]:
     return [when_seen().desc(), F.desc("priority"), F.asc("id")]
 
 
-def rank_order(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> tuple[DataFrame, list[Column]]:
-    """The rows that a ranking keeps, with its scores, and the order by them; ties are the caller's.
+def rank_values(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> tuple[DataFrame, list[Column]]:
+    """The rows that a ranking keeps, with its scores, and the values by which it goes up; ties are the caller's.
 
     By relevance (``_s``) and priority for a topic; most alarming (``_s``) first; or those of little alarm (``_a``) by calm (``_c``).
     """
     folded = rules.joined("title", "summary", "content")
     if key in topics:
         score = rules.relevance(key, "source_name", "region", "title", "summary", "content", topics)
-        return df.withColumn("_s", score), [F.desc("_s"), F.desc("priority")]
+        return df.withColumn("_s", score), [-F.col("_s"), -F.col("priority")]
     if key == "anxiogene":
-        return df.withColumn("_s", rules.anxiety(folded, anxiety)), [F.desc("_s")]
+        return df.withColumn("_s", rules.anxiety(folded, anxiety)), [-F.col("_s")]
     if key == "non_anxiogene":
         marked = df.withColumns({"_a": rules.anxiety(folded, anxiety) <= 1, "_c": rules.calm(folded, calm)})
         few = df.select(rules.anxiety(folded, anxiety).alias("_a")).agg(F.count_if(F.col("_a") <= 1)).scalar() < 6
-        return marked.filter(F.col("_a") | few), [F.when(F.col("_a"), -F.col("_c")).otherwise(F.lit(1)).asc()]
+        return marked.filter(F.col("_a") | few), [F.when(F.col("_a"), -F.col("_c")).otherwise(F.lit(1))]
     return df, []
 
 
+def rank_order(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM) -> tuple[DataFrame, list[Column]]:
+    """As :func:`rank_values`, with the values as orders; rows of no priority come last."""
+    scored, values = rank_values(df, key, topics, anxiety, calm)
+    return scored, [v.asc_nulls_last() for v in values]
+
+
 def rank(df: DataFrame, key: str | None, topics=V.TOPICS, anxiety=V.ANXIETY, calm=V.CALM, bounded: bool = False) -> DataFrame:
     """Renews ``ord`` by :func:`rank_order`; unchanged for other keys.  ``bounded``: a limit has bounded the rows, and one task numbers them."""
-    scored, by = rank_order(df, key, topics, anxiety, calm)
-    number = numbered if bounded else order.numbered
-    return number(scored, *by, F.asc("ord")).drop("_s", "_a", "_c") if by else df
+    scored, values = rank_values(df, key, topics, anxiety, calm)
+    if not values:
+        return df
+    out = numbered(scored, *[v.asc_nulls_last() for v in values], F.asc("ord")) if bounded else order.renumbered(scored, *values)
+    return out.drop("_s", "_a", "_c")
 
 
 # ---- repeats -------------------------------------------------------------------------------
@@ -151,32 +159,35 @@ def first_by(df: DataFrame, key: Column, ord_: str = "ord") -> DataFrame:
     return df.groupBy(key.alias("_k")).agg(F.min_by(row, ord_).alias("_row")).select("_row.*")
 
 
-def unique_stories(df: DataFrame) -> DataFrame:
-    return first_by(df, story_key("title", "summary", "content"))
+def unique_stories(df: DataFrame, story: Column | None = None) -> DataFrame:
+    """The first row of each story; ``story``: a column that holds it already."""
+    return first_by(df, story_key("title", "summary", "content") if story is None else story)
 
 
 def subject(subjects=V.KNOWN_SUBJECTS) -> Column:
     return subject_key(rules.joined("title", "summary", "content"), subjects)
 
 
-def unique_subjects(df: DataFrame, subjects=V.KNOWN_SUBJECTS) -> DataFrame:
-    return first_by(df, subject(subjects))
+def unique_subjects(df: DataFrame, subjects=V.KNOWN_SUBJECTS, named: Column | None = None) -> DataFrame:
+    """The first row of each subject; ``named``: a column that holds it already."""
+    return first_by(df, subject(subjects) if named is None else named)
 
 
-def diversified(df: DataFrame, subjects=V.KNOWN_SUBJECTS, bounded: bool = False) -> DataFrame:
+def diversified(df: DataFrame, subjects=V.KNOWN_SUBJECTS, bounded: bool = False, named: Column | None = None) -> DataFrame:
     """Nothing is dropped: first the first row of each subject, then all others, each in order.  Renews ``ord``.
 
     The first ones are a minimum and a join by subject, which Spark splits where a subject is
     frequent, and numbering is by ranges; ``bounded``: a limit has bounded the rows, and windows do.
     """
-    marked = df.withColumn("_k", subject(subjects))
+    key = subject(subjects) if named is None else named
     if bounded:
-        marked = marked.withColumn("_again", F.row_number().over(Window.partitionBy("_k").orderBy("ord")) > 1)
+        marked = df.withColumn("_k", key).withColumn("_again", F.row_number().over(Window.partitionBy("_k").orderBy("ord")) > 1)
         return numbered(marked, F.asc("_again"), F.asc("ord")).drop("_k", "_again")
-    marked = cut(marked)
+    marked = cut(df.select("ord", key.alias("_k")))
     firsts = marked.groupBy("_k").agg(F.min("ord").alias("_first"))
-    joined = marked.join(firsts, "_k").withColumn("_again", F.col("ord") > F.col("_first")).drop("_k", "_first")
-    return order.numbered(joined, F.asc("_again"), F.asc("ord")).drop("_again")
+    again = marked.join(firsts, "_k").select("ord", (F.col("ord") > F.col("_first")).alias("_again"))
+    places = order.numbered(again.withColumnRenamed("ord", "_old"), F.asc("_again"), F.asc("_old")).drop("_again")
+    return df.join(places.withColumnRenamed("ord", "_new"), df["ord"] == F.col("_old")).select(*[df[c] for c in df.columns if c != "ord"], F.col("_new").alias("ord"))
 
 
 # ---- selection -----------------------------------------------------------------------------

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import text as X
 from ..operators import buffer, order, publish, select, store
+from ..sources import feed_files, feeds
 from ..sources.commits import Conflict, Tables
 from ..streaming import keyed
 from . import views
@@ -119,6 +121,51 @@ def contested_sources(spark, d):
     return out.select(F.when(F.startswith("url", F.lit("https://other/")), F.lit(None)).otherwise(F.col("id")).alias("id"), "name", "url")
 
 
+# ---- feeds that are polled --------------------------------------------------------------------
+
+_WORDS = "trim(regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""SELECT 'http://feed/' || doc_id AS url, 'No ' || doc_id || ' & <' || source AS title, {_WORDS} AS summary,
+    CASE WHEN doc_id % 3 = 1 THEN NULL ELSE {_stamp("TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS BIGINT))")} END AS published_at, doc_id % 2 + 1 AS poll, 0 AS read_again FROM documents"""
+)
+def polled_feeds(spark, d):
+    """Documents as entries of RSS, Atom and broken RSS files; even ones are there at the first poll, odd ones at the second, and a third poll reads nothing."""
+    folder = _work_folder(spark)
+    docs = views.table(spark, d, "documents")
+    key = F.col("doc_id").cast("string")
+    link, title = F.concat(F.lit("http://feed/"), key), F.concat(F.lit("No "), key, F.lit(" &amp;amp; &amp;lt;"), F.col("source"))
+    words = F.trim(F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z0-9]+", " "))
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("#x</link><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description><![CDATA[<p>"), words, F.lit("</p>]]></description></item>"))
+    atom = F.concat(F.lit('<entry><source><title>no</title></source><title type="html">'), title, F.lit('</title><link rel="self" href="no"/><link href="'), link, F.lit('"/><summary type="xhtml"><div>'), words, F.lit("</div></summary></entry>"))
+    broken = F.concat(F.lit("<item><title>No "), key, F.lit(" & &amp;lt;"), F.col("source"), F.lit("<link>"), link, F.lit("<guid>none<pubDate>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z<description>"), words)
+    made = docs.select((F.col("doc_id") % 2).alias("part"), F.when(F.col("doc_id") % 3 == 0, rss).when(F.col("doc_id") % 3 == 1, atom).otherwise(broken).alias("value"))
+    schemas = {"log": S.ARTICLE_LOG, "feed_files": feed_files.FEED_FILES}
+    tables = Tables(spark, f"{folder}/tables", schemas).init()
+    prepare = lambda e: feeds.items(e).withColumn("scraped_at", F.lit(None).cast("timestamp"))
+    polls = []
+    for part in (0, 1, None):
+        if part is not None:
+            made.filter(F.col("part") == part).select("value").write.mode("append").text(f"{folder}/feeds")
+        polls.append((len(polls) + 1, tables.versions()[-1] + 1, feed_files.poll(spark, f"{folder}/feeds", tables, "log", prepare, pattern="part-*")))
+    bounds = [(k, sum(p["added"] for _, _, p in polls[: k - 1]), sum(p["added"] for _, _, p in polls[:k])) for k, _, _ in polls]
+    poll = F.when(F.col("arrival") <= bounds[0][2], 1).otherwise(2)
+    again = F.lit(polls[2][2]["read"] + polls[2][2]["added"])
+    return tables.read("log").select("url", "title", "summary", stamp("published_at").alias("published_at"), poll.alias("poll"), again.alias("read_again"))
+
+
+@query(
+    f"""WITH {views.ARTICLES_SQL}, p AS (SELECT id, source_name, idx % 4 * 5 AS most, row_number() OVER (PARTITION BY source_name ORDER BY {_SEEN} DESC, id) AS r FROM v_articles)
+    SELECT id, source_name FROM p WHERE most = 0 OR r <= most"""
+)
+def first_of_sources(spark, d):
+    """The newest articles of each source, as many as the source says (0: all of them)."""
+    rows = _articles(spark, d).select("id", "source_name", (F.col("idx") % 4 * 5).alias("most"), select.when_seen().alias("seen"))
+    return order.first_of_each(rows, "source_name", F.col("most"), F.desc("seen"), F.asc("id")).select("id", "source_name")
+
+
 # ---- places in whole tables ------------------------------------------------------------------
 
 
@@ -134,7 +181,8 @@ _ARCHIVE = f"row_number() OVER (ORDER BY {_SEEN} DESC, id)"
 
 
 def _archive(spark, d):
-    return order.numbered(_articles(spark, d), *select.archive_order())
+    """All articles, newest first; what orders them stands in ``ord``."""
+    return _articles(spark, d).withColumn("ord", F.struct((-F.unix_micros(select.when_seen())).alias("newest"), F.col("id").alias("id")))
 
 
 @query(
@@ -154,8 +202,9 @@ def diversified_archive(spark, d):
 )
 def unique_articles(spark, d):
     """The newest article of each story, and of each subject."""
-    archive = _archive(spark, d)
-    kinds = {"story": select.unique_stories(archive), "subject": select.unique_subjects(archive, SUBJECTS)}
+    keys = _articles(spark, d).select("id", "published_at", "created_at", X.story_key("title", "summary", "content").alias("story"), select.subject(SUBJECTS).alias("subject"))
+    archive = order.numbered(keys, *select.archive_order())
+    kinds = {"story": select.unique_stories(archive, F.col("story")), "subject": select.unique_subjects(archive, SUBJECTS, F.col("subject"))}
     one, two = (df.select("id", "ord", F.lit(k).alias("kind")) for k, df in kinds.items())
     return one.union(two)
 

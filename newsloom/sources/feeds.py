@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from ..functions import language
 from ..functions.dates import first_date
 from ..functions.html import main_text, strip_html
 from ..functions.text import canonical_url, squeeze, text
+from ..operators import order
 
 #: RSS items: the tags that are read; absent ones are null.
 ITEM = T.StructType(
@@ -124,11 +125,9 @@ def items(entries: DataFrame) -> DataFrame:
 
 
 def first_entries(entries: DataFrame, sources: DataFrame, source: str = "source", place: str = "place") -> DataFrame:
-    """The first max_entries entries of each enabled source (zero or less: all of them)."""
+    """The first max_entries entries of each enabled source (zero or less: all of them); a source of very many is no single task."""
     limits = sources.filter("enabled").select(F.col("name").alias(source), "max_entries", "region")
-    w = Window.partitionBy(source).orderBy(place)
-    ranked = entries.join(limits, source).withColumn("_r", F.row_number().over(w))
-    return ranked.filter("max_entries <= 0 OR _r <= max_entries").drop("_r", "max_entries")
+    return order.first_of_each(entries.join(limits, source), source, F.col("max_entries"), F.asc(place)).drop("max_entries")
 
 
 def enriched(articles: DataFrame, pages: DataFrame) -> DataFrame:
