@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import html.entities
 from functools import reduce
 
@@ -10,29 +11,51 @@ from pyspark.sql import functions as F
 
 from .text import let, squeeze, text
 
-#: The named references of one character, by rule.
-_NAMED = {n: chr(c) for n, c in html.entities.name2codepoint.items() if n not in ("amp", "lt", "gt", "quot")}
+#: Every named reference (most end with a semicolon), and those that need none, longest first.
+_NAMED = html.entities.html5
+_BARE = sorted((n for n in _NAMED if not n.endswith(";")), key=len, reverse=True)
+#: What numbers below 160 stand for: control characters go, and 128 to 159 are read as Windows-1252.
+_LOW = {n: html.unescape(f"&#{n};") for n in range(160)}
+_REFERENCE = r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
+_UNKNOWN = "\ufffd"
+
+
+def _table(values: dict) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[F.lit(v) for v in values.values()]))
 
 
 def unescape(c) -> Column:
-    """Decodes character references: decimal, hexadecimal and named ones."""
-    out = text(c)
-    codes = F.map_from_arrays(F.array(*[F.lit(n) for n in _NAMED]), F.array(*[F.lit(v) for v in _NAMED.values()]))
-    # one pass over the pieces between references keeps what decoding yields from being decoded again
-    parts = F.regexp_extract_all(out, F.lit(r"(?s)&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z]{2,8};|[^&]+|&"), 0)
-
-    def one(p):
-        name = F.substring(p, 2, F.length(p) - 2)
-        number = F.when(p.rlike("^&#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).try_cast("int")
-        basic = F.when(p == "&amp;", "&").when(p == "&lt;", "<").when(p == "&gt;", ">").when(p == "&quot;", '"').when(p == "&apos;", "'")
-        point = F.when(
-            number.between(1, 0x10FFFF),
-            F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"),
-        )
-        return F.when(~p.rlike("^&.+;$"), p).when(p.startswith("&#"), F.coalesce(point, p)).otherwise(
-            F.coalesce(basic, F.try_element_at(codes, name), p)
-        )
+    """Decodes character references as HTML 5 does: numbers in either base, all names, and the longest name where the semicolon is missing."""
+    out, named, low = text(c), _table(_NAMED), _table(_LOW)
+
+    def numbered(digits: Column) -> Column:
+        hexadecimal = digits.rlike("^[xX]")
+        bare = F.regexp_replace(digits, "^[xX]?0*|;$", "")
+        # more digits than any character has
+        number = F.when(F.length(bare) > 7, F.lit(1 << 40)).when(bare == "", 0).when(hexadecimal, F.conv(bare, 16, 10).try_cast("long")).otherwise(bare.try_cast("long"))
+
+        def point(n: Column) -> Column:
+            outside = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+            nothing = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+            shown = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+            return F.when(n < 160, F.element_at(low, n.cast("int"))).when(outside, F.lit(_UNKNOWN)).when(nothing, F.lit("")).otherwise(shown)
 
+        return let(number, point)
+
+    def by_name(name: Column) -> Column:
+        def prefix(head: Column) -> Column:
+            rest = F.substring(name, F.length(head) + 1, F.length(name))
+            return F.when(head != "", F.concat(F.try_element_at(named, head), rest)).otherwise(F.concat(F.lit("&"), name))
+
+        return F.coalesce(F.try_element_at(named, name), let(F.regexp_extract(name, f"^(?:{'|'.join(_BARE)})", 0), prefix))
+
+    def one(p: Column) -> Column:
+        held = F.startswith(p, F.lit("&")) & (F.length(p) > 1)
+        rest = F.substring(p, 2, F.length(p))
+        return F.when(~held, p).when(F.startswith(p, F.lit("&#")), numbered(F.substring(p, 3, F.length(p)))).otherwise(by_name(rest))
+
+    # one pass over the pieces between references keeps what decoding yields from being decoded again
+    parts = F.regexp_extract_all(out, F.lit(_REFERENCE), 0)
     return F.when(F.instr(out, "&") == 0, out).otherwise(F.array_join(F.transform(parts, one), ""))
 
 

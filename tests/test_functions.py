@@ -239,3 +239,18 @@ def test_numbers_in_words(spark):
 def test_nested_articles(spark):
     page = "<nav>x</nav><article>a <article>b</article> c &trade;</article> out <MAIN>d</main> e</article> <script>article</script>"
     assert one(spark, html.main_text("t"), t=page) == "a b c ™ d"
+
+
+def test_all_character_references(spark):
+    import html as plain
+    import random
+
+    from newsloom.functions import html as H
+
+    rng = random.Random(7)
+    names = list(plain.entities.html5)
+    texts = ["&frac12; m&sup2; &Hat; &nbsp|&nbspx &notit; &amp;amp; &ampamp; &#0; &#128; &#x80; &#x1F600; &#99999999999999; &#xD800; &#11; &#xFFFE; &#38;lt; & &; &# &#; &#x; &x &AMP &unknown; a&lt", "&", "", "&&&amp", "&" + "a" * 50]
+    texts += ["".join(rng.choice([f"&{rng.choice(names)}", f"&{rng.choice(names).rstrip(';')}", f"&#{rng.randrange(70000)}", f"&#x{rng.randrange(70000):x};", " text ", ";", "&", "#", "=", "é"]) for _ in range(12)) for _ in range(300)]
+    texts += [" ".join(f"&{n}" for n in names)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.unescape("t").alias("u")).collect()
+    assert [r.u for r in rows] == [plain.unescape(r.t) for r in rows]
