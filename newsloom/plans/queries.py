@@ -128,8 +128,8 @@ def _detect() -> str:
 _SEEN = "coalesce(published_at, created_at)"
 
 
-def _articles(spark, d):
-    return views.articles(spark, d)
+def _articles(spark, d, flags=True):
+    return views.articles(spark, d, flags)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,7 +305,7 @@ def topic_unique(spark, d):
     {_any("folded", SETS["child"])} AS child_unsuitable FROM (SELECT *, {_FOLDED} FROM v_articles)"""
 )
 def rule_flags(spark, d):
-    a = _articles(spark, d).withColumn("folded", rules.joined("title", "summary", "content"))
+    a = _articles(spark, d, False).withColumn("folded", rules.joined("title", "summary", "content"))
     a = a.withColumn("folded_source", rules.with_source(F.col("folded"), "source_name"))
     return a.select(
         "id",
@@ -321,7 +321,7 @@ def rule_flags(spark, d):
     CAST({_count("folded", SETS["calm"])} AS BIGINT) AS calm FROM (SELECT *, {_FOLDED} FROM v_articles)"""
 )
 def anxiety_calm_scores(spark, d):
-    a = _articles(spark, d).select("id", rules.joined("title", "summary", "content").alias("folded"))
+    a = _articles(spark, d, False).select("id", rules.joined("title", "summary", "content").alias("folded"))
     return a.select("id", rules.anxiety(F.col("folded"), SETS["anxiety"], True).alias("anxiety"), rules.calm(F.col("folded"), SETS["calm"], True).alias("calm"))
 
 
@@ -331,7 +331,7 @@ def anxiety_calm_scores(spark, d):
 def topic_relevance(spark, d):
     folded = rules.joined("source_name", "region", "title", "summary", "content")
     score = lambda t: rules.relevance(t, "source_name", "region", "title", "summary", "content", TOPICS, F.col("folded")).alias(t)
-    return _articles(spark, d).withColumn("folded", folded).select("id", *[score(t) for t in ("valais", "suisse", "international")])
+    return _articles(spark, d, False).withColumn("folded", folded).select("id", *[score(t) for t in ("valais", "suisse", "international")])
 
 
 @query(
@@ -437,7 +437,7 @@ _ITEMS_SQL = f"{views.ARTICLES_SQL}, v_items AS (SELECT {_ITEM_COLUMNS} FROM (SE
 
 
 def _items(spark, d):
-    a = _articles(spark, d).withColumn("folded", rules.joined("title", "summary", "content"))
+    a = _articles(spark, d, False).withColumn("folded", rules.joined("title", "summary", "content"))
     return a.select(
         "id", "title", F.col("source_name").alias("source"), "region", "language", "published_at", F.col("created_at").alias("scraped_at"),
         "priority", "is_sports", F.substring("content", 1, 320).alias("summary"), F.lit("").alias("search_terms"),

@@ -162,7 +162,7 @@ def polled_feeds(spark, d):
 )
 def first_of_sources(spark, d):
     """The newest articles of each source, as many as the source says (0: all of them)."""
-    rows = _articles(spark, d).select("id", "source_name", (F.col("idx") % 4 * 5).alias("most"), select.when_seen().alias("seen"))
+    rows = _articles(spark, d, False).select("id", "source_name", (F.col("idx") % 4 * 5).alias("most"), select.when_seen().alias("seen"))
     return order.first_of_each(rows, "source_name", F.col("most"), F.desc("seen"), F.asc("id")).select("id", "source_name")
 
 
@@ -182,7 +182,7 @@ _ARCHIVE = f"row_number() OVER (ORDER BY {_SEEN} DESC, id)"
 
 def _archive(spark, d):
     """All articles, newest first; what orders them stands in ``ord``."""
-    return _articles(spark, d).withColumn("ord", F.struct((-F.unix_micros(select.when_seen())).alias("newest"), F.col("id").alias("id")))
+    return _articles(spark, d, False).withColumn("ord", F.struct((-F.unix_micros(select.when_seen())).alias("newest"), F.col("id").alias("id")))
 
 
 @query(
@@ -202,7 +202,7 @@ def diversified_archive(spark, d):
 )
 def unique_articles(spark, d):
     """The newest article of each story, and of each subject."""
-    keys = _articles(spark, d).select("id", "published_at", "created_at", X.story_key("title", "summary", "content").alias("story"), select.subject(SUBJECTS).alias("subject"))
+    keys = _articles(spark, d, False).select("id", "published_at", "created_at", X.story_key("title", "summary", "content").alias("story"), select.subject(SUBJECTS).alias("subject"))
     archive = order.numbered(keys, *select.archive_order())
     kinds = {"story": select.unique_stories(archive, F.col("story")), "subject": select.unique_subjects(archive, SUBJECTS, F.col("subject"))}
     one, two = (df.select("id", "ord", F.lit(k).alias("kind")) for k, df in kinds.items())

@@ -23,10 +23,15 @@ def _with_idx(df: DataFrame) -> DataFrame:
     return df.withColumns({"idx": idx, "priority": 33 + 6 * idx, "region": region})
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priority and region follow from the source's name, so no join with the sources is needed for them."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+def articles(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
+    """Priority and region follow from the source's name, so no join with the sources is needed for them.
+
+    Without ``flags`` there is no is_sports, and the texts need not be shuffled to meet the labels.
+    """
+    docs = table(spark, sf_dir, "documents")
+    if flags:
+        labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+        docs = docs.join(labels, "doc_id", "left")
     minutes = lambda more: F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(37 * F.col("doc_id") + more).cast("int"))
     rows = docs.select(
         F.col("doc_id").alias("id"),
@@ -38,7 +43,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 11 != 0, minutes(0)).alias("published_at"),
         minutes(5).alias("created_at"),
         F.when(F.col("doc_id") % 4 == 0, "used").otherwise("new").alias("status"),
-        F.coalesce("toxic", F.lit(False)).alias("is_sports"),
+        *([F.coalesce("toxic", F.lit(False)).alias("is_sports")] if flags else []),
         (F.col("doc_id") % 3).alias("used_count"),
     )
     return _with_idx(rows)
