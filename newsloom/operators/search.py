@@ -74,6 +74,17 @@ def faceted(
     return kept if read is None else kept.join(read.select("id"), "id", "left_anti")
 
 
+def on_device(items: DataFrame, now: Column, read: DataFrame | None = None, *, english: bool = False, **facets) -> DataFrame:
+    """The filter of the app on devices: German items are dropped as they are read, whatever the settings, and English ones by language or region.
+
+    Other settings are those of :func:`faceted`.
+    """
+    named = F.lower(text("language"))
+    kept = items.filter(named != "de")
+    kept = kept if english else kept.filter((named != "en") & (text("region") != "english"))
+    return faceted(kept, now, read, english=True, german=True, **facets)
+
+
 def preset(parameters: dict[str, str]) -> dict:
     """Filter settings of an address: english=1 or region=english opens English, german=1 or de=1 German."""
     out = {}

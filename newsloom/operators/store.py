@@ -53,6 +53,14 @@ def with_use(rows: DataFrame, uses: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("used_count") > 0, "used").otherwise("new"))
 
 
+def reclassified(stored: DataFrame) -> DataFrame:
+    """Stored articles (with their source's region) as today's rules see them: sports by text, and the language anew where it is unknown or the source is English."""
+    known = F.coalesce(F.nullif("language", F.lit("")), F.lit("unknown"))
+    anew = (known == "unknown") | (F.col("region") == "english")
+    found = language.detect("title", "summary", "content", F.col("region"))
+    return stored.withColumns({"is_sports": rules.is_sports("title", "summary", "content"), "language": F.when(anew, found).otherwise(known)})
+
+
 def use_counts(uses: DataFrame) -> DataFrame:
     """How often bulletins took each article."""
     return uses.groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("used_count"))

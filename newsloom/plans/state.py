@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import buffer, order, publish, select, store
+from ..operators import bulletin, buffer, order, publish, search, select, store
 from ..sources import feed_files, feeds
 from ..sources.commits import Conflict, Tables
-from ..streaming import keyed
+from ..streaming import keyed, upserts
 from . import views
-from .queries import _FOLDED, _LOW, _SEEN, _STORY, SETS, SUBJECTS, TOPICS, _articles, _count, _detect, _relevance, _stamp, _subject, _tiered, _work_folder, query, stamp
+from .queries import _FOLDED, _ITEMS_SQL, _LOW, _SEEN, _STORY, NOW, SETS, SUBJECTS, TOPICS, _articles, _count, _detect, _items, _relevance, _stamp, _subject, _tiered, _work_folder, now, query, stamp
 
 # ---- states of streams -----------------------------------------------------------------------
 
@@ -166,6 +166,41 @@ def first_of_sources(spark, d):
     return order.first_of_each(rows, "source_name", F.col("most"), F.desc("seen"), F.asc("id")).select("id", "source_name")
 
 
+@query(
+    f"""WITH {views.ARTICLES_SQL} SELECT source_name, count(*) AS n_new FROM v_articles WHERE id % 3 <> 0 GROUP BY 1"""
+)
+def ingest_counts(spark, d):
+    """New articles of each source, where a third were there before."""
+    after = _articles(spark, d, False).select("id", "source_name")
+    return feeds.ingest_summary(after.filter("id % 3 = 0"), after)
+
+
+@query(
+    f"""WITH {views.ARTICLES_SQL}, {_detect()} SELECT a.id, CASE WHEN a.language = 'unknown' OR a.region = 'english' THEN detected ELSE a.language END AS language
+    FROM v_articles a JOIN v_detected USING (id)"""
+)
+def reclassified_language(spark, d):
+    """The stored language as the present rules see it; sports flags by the production patterns are tested on fixtures."""
+    return store.reclassified(_articles(spark, d, False)).select("id", "language")
+
+
+@query(f"SELECT {_stamp('time_bucket(INTERVAL 15 MINUTE, ts)')} AS slot, count(*) AS n FROM events GROUP BY 1")
+def stream_slot_counts(spark, d):
+    """Counts of slots as a stream of files gives them: each slot's last count, as batches bring more."""
+    folder = _work_folder(spark)
+    views.table(spark, d, "events").repartition(4).write.parquet(f"{folder}/in")
+    schema = views.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = upserts.slot_counts(stream, "ts", 15, "1000 days")
+
+    def write(batch, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out/*")
+    return out.groupBy(stamp("slot").alias("slot")).agg(F.max_by("n", "batch").alias("n"))
+
+
 # ---- places in whole tables ------------------------------------------------------------------
 
 
@@ -218,6 +253,39 @@ def ranked_archive(spark, d):
     return select.rank(_archive(spark, d), "suisse", TOPICS).select("id", "ord")
 
 
+@query(
+    f"""WITH {_ITEMS_SQL} SELECT id, 'fresh' AS page FROM v_items WHERE language <> 'de' AND language <> 'en' AND region <> 'english' AND NOT is_sports
+      AND coalesce(published_at, scraped_at) >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY
+    UNION ALL SELECT id, 'open' FROM v_items WHERE language <> 'de' AND child_friendly AND tension <= 4 AND priority >= 40 AND id % 10 <> 3"""
+)
+def device_pages(spark, d):
+    """What the app shows with its first settings, and with English, all times and items for children."""
+    items = _items(spark, d)
+    read = items.filter("id % 10 = 3").select("id")
+    fresh = search.on_device(items, now(), period="7d")
+    every = search.on_device(items, now(), read, english=True, period="all", hide_sports=False, child_only=True, most_tension=4, least_priority=40)
+    return fresh.select("id", F.lit("fresh").alias("page")).union(every.select("id", F.lit("open").alias("page")))
+
+
+_DRAFT = "transcript || CASE conv_id % 4 WHEN 1 THEN chr(10) || 'sources utilisées pour cette édition: a' || chr(10) || 'Sources utilisées pour cette édition: b' ELSE '' END"
+
+
+@query(
+    f"""WITH {views.TRANSCRIPTS_SQL}, t AS (SELECT conv_id, lower({_DRAFT}) AS low FROM v_transcripts)
+    SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'self-reported short transcript' WHEN conv_id % 4 = 1 THEN 'duplicate source credits'
+      WHEN contains(low, 'the') THEN 'generic filler: the' END AS issue FROM t"""
+)
+def draft_self_reports(spark, d):
+    """Drafts that say of themselves that they are too short, and such as credit their sources twice."""
+    t = views.transcripts(spark, d)
+    credit = F.lit("\nsources utilisées pour cette édition: a\nSources utilisées pour cette édition: b")
+    draft = F.concat("transcript", F.when(F.col("conv_id") % 4 == 1, credit).otherwise(""))
+    warnings = F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("ok"), F.lit("Le texte est Trop Court"))).otherwise(F.array(F.lit("a warning")))
+    return t.select("conv_id", bulletin.quality_issue(draft, warnings, 0, ("the",)).alias("issue")).withColumn(
+        "issue", F.when(F.startswith("issue", F.lit("repetitive")), F.lit(None)).otherwise(F.col("issue"))
+    )
+
+
 # ---- slots that take articles from each other ------------------------------------------------
 
 _SLOTS = [(f"2024-02-01 {h:02d}:00:00", select.Style(("valais", "suisse", "anxiogene", "non_anxiogene", "enfant", "contexte")[h % 6])) for h in range(6)]
