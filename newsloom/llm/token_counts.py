@@ -7,7 +7,7 @@ sums above them.  An edit finds its leaves by descent, encodes only those and, w
 touches one's edge, the neighbour (the boundary context), and updates the sums on the
 paths.  The tokenizer is a byte-level BPE of tiktoken, whose vocabulary is a parameter.
 
-Null and empty texts have no tokens and take edits as empty texts.  Edits of a document
+Null and empty texts have no tokens and take edits as empty texts; a very long text is encoded leaf by leaf.  Edits of a document
 apply in the order of ``seq`` (then start, end and text); offsets are code points of the
 text as it is then, and are clipped to it; an edit with a null start, end or text counts
 as 0, the start and the empty text.  Edits of unknown documents change nothing.  Rows that
@@ -18,6 +18,7 @@ empty result.  Input columns that bear the name of an output are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ _CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
 #: Characters around a cut that make it one.
 _CONTEXT = 2
 
-_LEAVES = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))
+_LEAVES = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64()), ("digest", pa.int64())]))
 
 EDIT = T.ArrayType(
     T.StructType(
@@ -67,19 +68,37 @@ def leaves(text: str, size: int = LEAF) -> list[str]:
     return out
 
 
+def digest(piece: str) -> int:
+    """Tells a leaf's text from another of the same length."""
+    return int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Tree:
-    """Sums of characters and tokens over a document's leaves."""
+    """Sums of characters and tokens over a document's leaves; stored ones count if they are the text's."""
 
     def __init__(self, text: str, count, stored: list[dict] | None = None):
         self.text, self.count, self.encoded = text, count, 0
-        pairs = [(x["chars"], x["tokens"]) for x in stored or ()]
-        if sum(c for c, _ in pairs) != len(text):
+        pairs = [(x["chars"], x["tokens"]) for x in stored or ()] if self._holds(stored) else None
+        if pairs is None:
             pairs = [(len(x), self._tokens(x)) for x in leaves(text)]
         self._build(pairs)
 
+    def _holds(self, stored: list[dict] | None) -> bool:
+        """Whether the leaves are those of this text, not of another or of one from before an edit."""
+        at = 0
+        for x in stored or ():
+            if x["chars"] is None or x["tokens"] is None or digest(self.text[at : at + x["chars"]]) != x["digest"]:
+                return False
+            at += x["chars"]
+        return at == len(self.text)
+
     def stored(self) -> list[dict]:
-        w = self.width
-        return [{"chars": c, "tokens": t} for c, t in zip(self.chars[w : w + self.n], self.tokens[w : w + self.n]) if c]
+        w, at, out = self.width, 0, []
+        for c, t in zip(self.chars[w : w + self.n], self.tokens[w : w + self.n]):
+            if c:
+                out.append({"chars": c, "tokens": t, "digest": digest(self.text[at : at + c])})
+                at += c
+        return out
 
     def _tokens(self, piece: str) -> int:
         self.encoded += len(piece)
@@ -159,7 +178,7 @@ def count(
 
     tree: the column that takes the leaves after the edits.  If ``docs`` has it (the table that an
     earlier call gave, whose text is ``text_after`` now), trees start from it and nothing but the
-    edits is encoded; a tree that is null or not as long as its text is built anew.
+    edits is encoded; a tree that is null or whose leaves are not its text's, by their digests, is built anew.
     """
     name = "__edits"
     if edits is None:
@@ -209,7 +228,7 @@ def counted(joined: DataFrame, edits: str, ranks_path: str, pattern: str, text:
         T.StructField("n_encoded", T.LongType()),
     ]
     if tree:
-        leaf = T.StructType([T.StructField("chars", T.LongType()), T.StructField("tokens", T.LongType())])
+        leaf = T.StructType([T.StructField(c, T.LongType()) for c in ("chars", "tokens", "digest")])
         fields.append(T.StructField(tree, T.ArrayType(leaf)))
     return add_columns(joined, fields, text, make)
 

@@ -87,8 +87,30 @@ def test_stored_trees_take_the_next_edits(spark, encoder, tmp_path):
         assert sum(x.chars for x in r.tree) == len(r.text_after) and sum(x.tokens for x in r.tree) == r.n_tokens_after
     assert got[1].n_encoded < 3 * tc.LEAF
     # leaves that do not fit their text are not believed; those that fit are, and nothing is encoded for them
-    stale = first.selectExpr("doc_id", "text_after AS text", "array(named_struct('chars', 1L, 'tokens', 77L)) AS tree")
+    stale = first.selectExpr("doc_id", "text_after AS text", "array(named_struct('chars', 1L, 'tokens', 77L, 'digest', 5L)) AS tree")
     assert {r.n_tokens for r in tc.count(stale, None, RANKS, public_tokenizers.PATTERN, tree="tree").collect()} == {r.n_tokens_after for r in before.values()}
     calls = []
-    tree = tc.Tree("ab cd", lambda s: calls.append(s) or n(s), [{"chars": 5, "tokens": n("ab cd")}])
+    tree = tc.Tree("ab cd", lambda s: calls.append(s) or n(s), [{"chars": 5, "tokens": n("ab cd"), "digest": tc.digest("ab cd")}])
     assert tree.n_tokens == n("ab cd") and not calls
+
+
+def test_leaves_of_another_text_of_the_same_length_are_not_believed(spark, encoder):
+    n = lambda s: len(encoder.encode_ordinary(s))
+    texts = ["plain words here", "qzxv kjwpq vvvvv"]
+    assert len(texts[0]) == len(texts[1]) and n(texts[0]) != n(texts[1])
+    docs = spark.createDataFrame([(1, texts[0]), (2, None), (3, "")], "doc_id long, text string")
+    kept = tc.count(docs, None, RANKS, public_tokenizers.PATTERN, tree="tree").drop("text_after")
+    moved = kept.selectExpr("doc_id", "CASE WHEN doc_id = 1 THEN 'qzxv kjwpq vvvvv' ELSE text END AS text", "tree")
+    got = {r.doc_id: r for r in tc.count(moved, None, RANKS, public_tokenizers.PATTERN, tree="tree").collect()}
+    assert got[1].n_tokens == n(texts[1]) and got[2].n_tokens == got[3].n_tokens == 0
+    part = [{"chars": 5, "tokens": 1, "digest": tc.digest("plain")}]
+    assert tc.Tree(texts[0], n, part).n_tokens == n(texts[0])
+
+
+def test_very_long_text_over_spark(spark, encoder):
+    text = "some words, and 12 more of a very long text\n" * 40_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 1, 900_000, 900_004, "new")], "doc_id long, seq int, start int, end int, text string")
+    r = tc.count(docs, edits, RANKS, public_tokenizers.PATTERN).first()
+    after = text[:900_000] + "new" + text[900_004:]
+    assert r.text_after == after and r.n_tokens_after == len(encoder.encode_ordinary(after)) and r.n_encoded < 4 * tc.LEAF
