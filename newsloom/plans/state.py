@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import bulletin, buffer, order, publish, search, select, store
+from ..operators import bulletin, buffer, order, publish, search, search_index, select, store
 from ..sources import feed_files, feeds
 from ..sources.commits import Conflict, Tables
 from ..streaming import keyed, upserts
 from . import views
-from .queries import _FOLDED, _ITEMS_SQL, _LOW, _SEEN, _STORY, NOW, SETS, SUBJECTS, TOPICS, _articles, _count, _detect, _items, _relevance, _stamp, _subject, _tiered, _work_folder, now, query, stamp
+from .queries import _FOLDED, _HAY, _ITEMS_SQL, _LOW, _SEEN, _STORY, NOW, SETS, SUBJECTS, TOPICS, _articles, _count, _detect, _items, _relevance, _stamp, _subject, _tiered, _work_folder, now, query, stamp
 
 # ---- states of streams -----------------------------------------------------------------------
 
@@ -267,6 +267,20 @@ def device_pages(spark, d):
     return fresh.select("id", F.lit("fresh").alias("page")).union(every.select("id", F.lit("open").alias("page")))
 
 
+_FOUND = f"SELECT id FROM v_items WHERE regexp_matches({_HAY}, '(^|[^a-z0-9])the([^a-z0-9]|$)') AND contains({_HAY}, 'ation') AND contains({_HAY}, 'of th')"
+
+
+@query(f"WITH {_ITEMS_SQL} {_FOUND}")
+def search_by_postings(spark, d):
+    """The quoted search over posting lists, to which two thirds of the items came first and the rest later."""
+    items = _items(spark, d).select("id", *search.SEARCHED)
+    schemas = {"items": items.schema, "postings": search_index.POSTINGS}
+    tables = Tables(spark, f"{_work_folder(spark)}/tables", schemas).init()
+    for late in (False, True):
+        search_index.add(tables, items.filter((F.col("id") % 3 == 0) == late))
+    return search_index.find(tables, '"The" "ATION" of th').select("id")
+
+
 _DRAFT = "transcript || CASE conv_id % 4 WHEN 1 THEN chr(10) || 'sources utilisées pour cette édition: a' || chr(10) || 'Sources utilisées pour cette édition: b' ELSE '' END"
 
 

@@ -50,8 +50,9 @@ EVENTS = _struct("event_id long, ts timestamp, user_id long, event_type string,
 DEFAULTS = {"region": "general", "language": "unknown", "status": "new", "summary": "", "content": "", "is_sports": False}
 
 
-def conform(df, schema: T.StructType):
-    """``df`` with exactly the schema's columns: missing ones get their default, others are cast leniently."""
+def conform(df, schema: T.StructType, defaults: bool = True):
+    """``df`` with exactly the schema's columns: missing ones get their default (or null), others are cast leniently."""
+    known = DEFAULTS if defaults else {}
     from pyspark.sql import functions as F
 
     have = {c.lower() for c in df.columns}
@@ -59,9 +60,9 @@ def conform(df, schema: T.StructType):
     for f in schema.fields:
         if f.name.lower() in have:
             value = F.col(f.name).try_cast(f.dataType)
-            if f.name in DEFAULTS:
-                value = F.coalesce(value, F.lit(DEFAULTS[f.name]).cast(f.dataType))
+            if f.name in known:
+                value = F.coalesce(value, F.lit(known[f.name]).cast(f.dataType))
         else:
-            value = F.lit(DEFAULTS.get(f.name)).cast(f.dataType)
+            value = F.lit(known.get(f.name)).cast(f.dataType)
         out.append(value.alias(f.name))
     return df.select(*out)
