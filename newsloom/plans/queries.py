@@ -762,14 +762,17 @@ def _normalized(c: str) -> str:
         c = f"regexp_replace({c}, '{pattern}', '{said}', 'g')"
     c = f"regexp_replace(regexp_replace({c}, '([A-Za-zÀ-ÿ])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-zÀ-ÿ])', '\\1 \\2', 'g')"
     table = "string_split('" + "|".join(speech.french_numbers()) + "', '|')"
-    number = "CAST(replace(x, 'ᵉ', '') AS BIGINT)"
-    low, high = f"{table}[{number} % 1000 + 1]", f"{number} // 1000 % 1000"
+    digits, most = "ltrim(replace(x, 'ᵉ', ''), '0')", speech.MOST_DIGITS
+    group = lambda k: f"CAST(substr(lpad({digits}, {most}, '0'), {most - 3 * k - 2}, 3) AS INT)"
+    low, high = f"{table}[{group(0)} + 1]", group(1)
     bare = f"CASE WHEN {high} % 100 IN (0, 80) THEN regexp_replace({table}[{high} + 1], 's$', '') ELSE {table}[{high} + 1] END"
     many = lambda n, name: f"CASE WHEN {n} > 0 THEN {table}[{n} + 1] || ' {name}' || CASE WHEN {n} > 1 THEN 's' ELSE '' END END"
-    said = f"""concat_ws(' ', {many(f"{number} // 1000000000 % 1000", "milliard")}, {many(f"{number} // 1000000 % 1000", "million")},
-      CASE WHEN {high} = 1 THEN 'mille' WHEN {high} > 1 THEN {bare} || ' mille' END, CASE WHEN {number} % 1000 > 0 OR {number} = 0 THEN {low} END)"""
+    scales = ", ".join(many(group(k + 2), speech.SCALES[k]) for k in reversed(range(len(speech.SCALES))))
+    said = f"""CASE WHEN length({digits}) > {most} THEN array_to_string(list_transform(string_split({digits}, ''), lambda y: {table}[CAST(y AS INT) + 1]), ' ')
+      ELSE concat_ws(' ', {scales}, CASE WHEN {high} = 1 THEN 'mille' WHEN {high} > 1 THEN {bare} || ' mille' END,
+        CASE WHEN {group(0)} > 0 OR {digits} = '' THEN {low} END) END"""
     words = f"regexp_extract_all({c}, '(?s)[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')"
-    c = f"array_to_string(list_transform({words}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]{{1,12}}ᵉ?') THEN {said} ELSE x END), '')"
+    c = f"array_to_string(list_transform({words}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+ᵉ?') THEN {said} ELSE x END), '')"
     c = f"regexp_replace({c}, '\\s+([,.;:!?])', '\\1', 'g')"
     return f"trim(regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'))"
 

@@ -254,3 +254,16 @@ def test_all_character_references(spark):
     texts += [" ".join(f"&{n}" for n in names)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.unescape("t").alias("u")).collect()
     assert [r.u for r in rows] == [plain.unescape(r.t) for r in rows]
+
+
+def test_numbers_of_any_length_in_words(spark):
+    from newsloom.functions import speech
+
+    wanted = {
+        "0": "zéro", "000": "zéro", "80000": "quatre-vingt mille", "1000000": "un million", "2000000000000": "deux billions", "0007": "sept",
+        "1234567890123456": "un billiard deux cent trente-quatre billions cinq cent soixante-sept milliards huit cent quatre-vingt-dix millions cent vingt-trois mille quatre cent cinquante-six",
+        "1" + "0" * 63: "un décilliard", "12" * 40: " ".join(["un deux"] * 40),
+    }
+    rows = spark.createDataFrame([(k,) for k in wanted], "n string").select("n", speech.in_words(F.col("n")).alias("w"), speech.normalize(F.concat(F.lit("nr "), F.col("n"))).alias("s"))
+    for r in rows.collect():
+        assert r.w == wanted[r.n] and r.s.endswith(wanted[r.n])
