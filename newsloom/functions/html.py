@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,7 +22,8 @@ _UNKNOWN = "\ufffd"
 
 
 def _table(values: dict) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[F.lit(v) for v in values.values()]))
+    """A constant map, as one expression whatever its size."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in values.items()})), "map<string,string>")
 
 
 def unescape(c) -> Column:
@@ -38,7 +40,7 @@ def unescape(c) -> Column:
             outside = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
             nothing = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
             shown = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-            return F.when(n < 160, F.element_at(low, n.cast("int"))).when(outside, F.lit(_UNKNOWN)).when(nothing, F.lit("")).otherwise(shown)
+            return F.when(n < 160, F.element_at(low, n.cast("string"))).when(outside, F.lit(_UNKNOWN)).when(nothing, F.lit("")).otherwise(shown)
 
         return let(number, point)
 
