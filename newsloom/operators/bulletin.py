@@ -128,14 +128,27 @@ def credited(transcript, sources: Column, language: str, repair: bool = True) ->
     return F.concat(out, credit)
 
 
+#: The first three words of a paragraph of eight words or more; what stands behind these eight is not looked at.
+_HEAD = r"(?U)^\s*+(\S++\s++\S++\s++\S++)(?:\s++\S++){5}"
+#: An opening is repeated from so many paragraphs on.
+OFTEN = 4
+
+
 def repeated_opening(transcript) -> Column:
-    """The first three words that open at least four paragraphs of eight words or more; the first such opening."""
-    parts = F.filter(F.transform(F.split(text(transcript), "\n\n"), lambda x: F.trim(x)), lambda p: X.word_count(p) >= 8)
-    strip = lambda w: F.lower(F.regexp_replace(w, "^[ ,;:.!?]+|[ ,;:.!?]+$", ""))
-    openings = F.transform(parts, lambda p: F.filter(F.transform(F.slice(X.words(p), 1, 3), strip), lambda w: w != ""))
-    openings = F.transform(F.filter(openings, lambda o: F.size(o) >= 2), lambda o: F.array_join(o, " "))
-    often = F.filter(F.array_distinct(openings), lambda o: F.size(F.filter(openings, lambda x: x == o)) >= 4)
-    return F.try_element_at(often, F.lit(1))
+    """The first three words that open at least four paragraphs of eight words or more; the first such opening.
+
+    Openings are sorted with their places, so that equal ones stand together.
+    """
+    strip = lambda w: F.lower(F.btrim(w, F.lit(" ,;:.!?")))
+    bare = lambda head: F.filter(F.transform(F.split(head, r"(?U)\s+"), strip), lambda w: w != "")
+    heads = F.filter(F.transform(F.split(text(transcript), "\n\n"), lambda p: F.regexp_extract(p, _HEAD, 1)), lambda h: h != "")
+    openings = F.transform(F.filter(F.transform(heads, bare), lambda o: F.size(o) >= 2), lambda o, k: F.struct(F.array_join(o, " ").alias("o"), k.alias("k")))
+
+    def first(ordered):
+        often = F.filter(ordered, lambda x, i: F.get(ordered, i + OFTEN - 1)["o"] == x["o"])
+        return F.array_min(F.transform(often, lambda x: F.struct(x["k"], x["o"])))["o"]
+
+    return X.let(F.array_sort(openings), first)
 
 
 def quality_issue(transcript, warnings: Column, least: int = V.LEAST_WORDS, banned=V.BANNED_PHRASES) -> Column:
