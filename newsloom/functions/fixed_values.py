@@ -411,6 +411,13 @@ BYLINES = _lines(r"""
 (?i)\s*Don['’]t get\b.*$
 (?i)\s*Sign up here\b.*$
 """)
+#: Bylines in the same order: what one of a group's holds, whether in either case, and the group's patterns.
+BYLINE_GROUPS = (
+    (("©",), False, BYLINES[:1]),
+    (("Par",), False, BYLINES[1:2]),
+    (("agences", "JWPlayer", "©"), False, BYLINES[2:6]),
+    (("continue reading", "t get", "sign up here"), True, BYLINES[6:]),
+)
 #: Phrases around a source's name ({name}), taken out in order.
 SOURCE_PHRASES = _lines(r"""
 \bSelon\s+[«"]?{name}[»"]?\s*,?\s*

@@ -139,10 +139,14 @@ def without_source(c, source, keep_lines: bool = False) -> Column:
     """Takes out phrases that name the source, by each of its names; the patterns depend on the row."""
 
     def one(out, name):
-        for phrase in V.SOURCE_PHRASES:
-            head, tail = phrase.split("{name}")
-            out = F.regexp_replace(out, F.concat(F.lit("(?iu)" + head), _quoted(name), F.lit(tail)), F.lit(""))
-        return out
+        def replaced(t):
+            for phrase in V.SOURCE_PHRASES:
+                head, tail = phrase.split("{name}")
+                t = F.regexp_replace(t, F.concat(F.lit("(?iu)" + head), _quoted(name), F.lit(tail)), F.lit(""))
+            return t
+
+        # every phrase holds the name, so a text without it is left alone
+        return F.when(F.rlike(out, F.concat(F.lit("(?iu)"), _quoted(name))), replaced(out)).otherwise(out)
 
     out = F.aggregate(source_names(source), text(c), one)
     if keep_lines:
@@ -150,10 +154,20 @@ def without_source(c, source, keep_lines: bool = False) -> Column:
     return squeeze(out)
 
 
+def _holds(t: Column, marks, folded: bool) -> Column:
+    """Whether the text holds one of the marks; ``folded``: in either case."""
+    any_of = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in marks])
+    return let(F.lower(t), any_of) if folded else any_of(t)
+
+
 def article_text(c, source) -> Column:
     """Article text without source references, bylines and calls to subscribe."""
-    bare = reduce(lambda t, p: F.regexp_replace(t, p, ""), V.BYLINES, without_source(c, source))
-    return F.regexp_replace(squeeze(bare), r"^[ .]+|[ .]+$", "")
+    # bylines in their order; where no literal of a group stands, none of its patterns matches
+    bare = without_source(c, source)
+    for marks, folded, patterns in V.BYLINE_GROUPS:
+        bare = let(bare, lambda t: F.when(_holds(t, marks, folded), reduce(lambda x, p: F.regexp_replace(x, p, ""), patterns, t)).otherwise(t))  # noqa: B023
+    # no line ends are left, so these are the signs at the very ends
+    return F.btrim(squeeze(bare), F.lit(" ."))
 
 
 def without_fillers(c, fillers=V.FILLERS) -> Column:
@@ -166,9 +180,13 @@ def usable_excerpt(c, title) -> Column:
     return let(fold(squeeze(c)), lambda f: (word_count(f) >= 4) & (f != fold(title)) & ~f.rlike(noisy))
 
 
-def looks_incomplete(c) -> Column:
+def _ends_open(folded: Column) -> Column:
     ends = rf"^$| (?:{'|'.join(V.DANGLING_WORDS)})$|\btels que [a-z]+$"
-    return F.regexp_replace(fold(c), r"^[ .,!?:;]+|[ .,!?:;]+$", "").rlike(ends)
+    return F.regexp_replace(folded, r"^[ .,!?:;]+|[ .,!?:;]+$", "").rlike(ends)
+
+
+def looks_incomplete(c) -> Column:
+    return _ends_open(fold(c))
 
 
 def template_text(title, summary, content, source) -> Column:
@@ -199,25 +217,26 @@ def word_limit(c, most: int) -> Column:
 
 
 def bounded_excerpt(title, c, source, most: int) -> Column:
-    """Whole sentences up to ``most`` words: the first one always, then while they fit; titles and unfinished ones are passed over."""
+    """Whole sentences up to ``most`` words: the first one always, then while they fit; titles and unfinished ones are passed over.
+
+    Sentences behind the one that no longer fits are not examined.
+    """
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
-    def step(acc, s):
-        def grown(n):
-            over = acc["full"] | ((F.size(acc["kept"]) > 0) & (acc["n"] + n > most))
-            kept = F.when(over, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(s)))
-            total = F.when(over, acc["n"]).otherwise(acc["n"] + n)
-            return F.struct(kept.alias("kept"), total.alias("n"), (over | (total >= most)).alias("full"))
+    def use(x):
+        def step(acc, s):
+            def grown(n):
+                over = (F.size(acc["kept"]) > 0) & (acc["n"] + n > most)
+                kept = F.when(over, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(s)))
+                total = F.when(over, acc["n"]).otherwise(acc["n"] + n)
+                good = (n >= 4) & let(fold(s), lambda f: (F.instr(x["head"], f) == 0) & ~_ends_open(f))
+                return F.when(good, F.struct(kept.alias("kept"), total.alias("n"), (over | (total >= most)).alias("full"))).otherwise(acc)
 
-        return let(word_count(s), grown)
+            return F.when(acc["full"], acc).otherwise(let(word_count(s), grown))
 
-    def use(x):
-        good = F.filter(
-            x["every"], lambda s: (F.instr(x["head"], fold(s)) == 0) & ~looks_incomplete(s) & (word_count(s) >= 4)
-        )
-        chosen = F.aggregate(good, start, step, lambda acc: F.array_join(acc["kept"], " "))
+        chosen = F.aggregate(x["every"], start, step, lambda acc: F.array_join(acc["kept"], " "))
         none = (F.size(x["every"]) > 0) | (fold(x["clean"]) == x["head"])
-        return F.coalesce(F.nullif(chosen, F.lit("")), F.when(none, F.lit("")).otherwise(word_limit(x["clean"], most)))
+        return let(chosen, lambda t: F.when(t != "", t).when(none, "").otherwise(word_limit(x["clean"], most)))
 
     parts = lambda clean: F.struct(clean.alias("clean"), sentences(clean).alias("every"), fold(title).alias("head"))
     return let(article_text(c, source), lambda clean: let(parts(clean), use))

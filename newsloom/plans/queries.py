@@ -698,7 +698,7 @@ def repeated_paragraph_opening(spark, d):
 @query()
 def sentence_budget(spark, d):
     """Whole sentences up to 60 words (tests hold it against plain code)."""
-    a = _articles(spark, d)
+    a = _articles(spark, d, False)
     return a.select("id", X.bounded_excerpt("title", "content", "source_name", 60).alias("excerpt"))
 
 

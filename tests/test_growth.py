@@ -5,7 +5,10 @@ import time
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import fixed_values as V
+from newsloom.functions import text as X
 from newsloom.operators import bulletin
+from newsloom.plans import queries as plans
 
 
 def seconds(act):
@@ -36,3 +39,23 @@ def test_repeated_opening_of_very_many_paragraphs(spark):
     one = spark.range(1).select(F.lit(long + "\n\nlast one here of eight words or more" * 4).alias("t"))
     found, took = seconds(lambda: one.select(bulletin.repeated_opening("t").alias("o")).first().o)
     assert found == "last one here" and took < 30
+
+
+def test_sentence_budget_reads_texts_once(spark, sf_dir):
+    plan = plans.queries()["sentence_budget"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_bylines_by_groups_equal_bylines_in_order(spark):
+    assert tuple(p for _, _, group in V.BYLINE_GROUPS for p in group) == V.BYLINES
+    made = ["Par Jean Dupont © 2024 AFP Texte.", "Par Anne et Paul Texte ici.", "Genève Berne avec agences Suite.", "Lu TV5 JWPlayer Field fin", "© 2024 AFP Suite", "a\n CONTINUE reading. ", "x • Don’T get y", "x DON'T GET y", "x SIGN UP here y", ". . rien .", ""]
+    rows = spark.createDataFrame([(f"{a} {b}",) for a in made for b in made], "t string").withColumn("s", F.lit("Le Temps"))
+
+    def slow(c):
+        out = X.without_source(c, "s")
+        for p in V.BYLINES:
+            out = F.regexp_replace(out, p, "")
+        return F.regexp_replace(X.squeeze(out), r"^[ .]+|[ .]+$", "")
+
+    got = rows.select("t", X.article_text("t", "s").alias("a"), slow("t").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and any(r.a != r.t for r in got)
