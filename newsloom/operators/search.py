@@ -39,10 +39,8 @@ def item_language() -> Column:
     return F.coalesce(F.nullif(text("language"), F.lit("")), F.when(F.col("region") == "english", "en"), F.lit("unknown"))
 
 
-def faceted(
-    items: DataFrame,
+def shown(
     now: Column,
-    read: DataFrame | None = None,
     *,
     english: bool = False,
     german: bool = False,
@@ -54,8 +52,8 @@ def faceted(
     most_tension: int = 10,
     least_priority: int = 0,
     query: str = "",
-) -> DataFrame:
-    """The web filter; defaults are those of a fresh page.  ``read``: ids to hide."""
+) -> Column:
+    """Whether the web filter shows an item; defaults are those of a fresh page."""
     speaks = item_language()
     held = (F.lit(english) | (speaks != "en")) & (F.lit(german) | (speaks != "de"))
     if region:
@@ -70,10 +68,21 @@ def faceted(
     held = held & (F.col("tension") <= most_tension) & (F.col("priority") >= least_priority)
     if query.strip():
         held = held & matches(query)
-    kept = items.filter(held)
+    return held
+
+
+def faceted(items: DataFrame, now: Column, read: DataFrame | None = None, **facets) -> DataFrame:
+    """The web filter with the settings of :func:`shown`.  ``read``: ids to hide."""
+    kept = items.filter(shown(now, **facets))
     return kept if read is None else kept.join(read.select("id"), "id", "left_anti")
 
 
+def pages_of(items: DataFrame, now: Column, pages: dict[str, dict], name: str = "page") -> DataFrame:
+    """The items of several pages (name: settings of :func:`shown`), a row for each page that shows the item, in one pass."""
+    held = [F.when(shown(now, **facets), F.lit(page)) for page, facets in pages.items()]
+    return items.select("id", F.explode(F.array_compact(F.array(*held))).alias(name))
+
+
 def on_device(items: DataFrame, now: Column, read: DataFrame | None = None, *, english: bool = False, **facets) -> DataFrame:
     """The filter of the app on devices: German items are dropped as they are read, whatever the settings, and English ones by language or region.
 

@@ -437,14 +437,17 @@ _ITEMS_SQL = f"{views.ARTICLES_SQL}, v_items AS (SELECT {_ITEM_COLUMNS} FROM (SE
 
 
 def _items(spark, d):
-    a = _articles(spark, d).withColumn("folded", rules.joined("title", "summary", "content"))
-    return a.select(
+    """Items meet the labels when they are narrow: no text is shuffled."""
+    a = _articles(spark, d, False).withColumn("folded", rules.joined("title", "summary", "content"))
+    narrow = a.select(
         "id", "title", F.col("source_name").alias("source"), "region", "language", "published_at", F.col("created_at").alias("scraped_at"),
-        "priority", "is_sports", F.substring("content", 1, 320).alias("summary"), F.lit("").alias("search_terms"),
+        "priority", F.substring("content", 1, 320).alias("summary"), F.lit("").alias("search_terms"),
         F.least(F.lit(10), rules.anxiety(F.col("folded"), SETS["anxiety"], True)).alias("tension"),
         F.least(F.lit(10), rules.calm(F.col("folded"), SETS["calm"], True)).alias("calm"),
-        (~rules.any_match(F.col("folded"), SETS["child"]) & ~F.col("is_sports")).alias("child_friendly"),
+        rules.any_match(F.col("folded"), SETS["child"]).alias("unsuitable"),
     )
+    flagged = views.flagged(narrow, spark, d, "id")
+    return flagged.withColumn("child_friendly", ~F.col("unsuitable") & ~F.col("is_sports")).drop("unsuitable")
 
 
 _HAY = _fold("concat_ws(' ', title, summary, source, region, language, '')")

@@ -364,11 +364,8 @@ def archive_search(spark, d):
 )
 def preset_pages(spark, d):
     """What a page shows whose address opens English by its region, German, or nothing."""
-    out = None
-    for name, parameters in (("english", {"region": "english"}), ("german", {"de": "1"}), ("plain", {})):
-        kept = search.faceted(_items(spark, d), now(), period="all", **search.preset(parameters)).select("id", F.lit(name).alias("page"))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    pages = {"english": {"region": "english"}, "german": {"de": "1"}, "plain": {}}
+    return search.pages_of(_items(spark, d), now(), {name: {"period": "all"} | search.preset(p) for name, p in pages.items()})
 
 
 @query(

@@ -49,6 +49,12 @@ def articles(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
     return _with_idx(rows)
 
 
+def flagged(df: DataFrame, spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Adds is_sports by the labels of the rows' documents."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias(key), (F.col("toxic") == 1).alias("_toxic"))
+    return df.join(labels, key, "left").withColumn("is_sports", F.coalesce("_toxic", F.lit(False))).drop("_toxic")
+
+
 def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),

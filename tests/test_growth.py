@@ -59,3 +59,9 @@ def test_bylines_by_groups_equal_bylines_in_order(spark):
 
     got = rows.select("t", X.article_text("t", "s").alias("a"), slow("t").alias("b")).collect()
     assert all(r.a == r.b for r in got) and any(r.a != r.t for r in got)
+
+
+def test_pages_of_an_address_in_one_pass(spark, sf_dir):
+    plan = plans.queries()["preset_pages"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # one of the documents, one of the labels
+    assert plan.count("FileScan parquet") == 2
