@@ -1,8 +1,10 @@
 """Search without a scan: posting lists of trigrams narrow items down, the search's own predicate decides.
 
-Postings are rows (gram, id), sorted by gram in ranges and kept under the commit that also
-says which items they cover, so that new items add postings of their own and a reader
-sees items and postings of one moment.  A search reads the postings of its terms' trigrams
+Postings are rows (gram, id), kept under the commit that also says which items they cover,
+so that new items add postings of their own and a reader sees items and postings of one
+moment.  Items, not their many postings, are dealt out to tasks; each task sorts the postings
+of its own items by gram and writes them as one file, so a gram of very many items is no
+single task.  A search reads in each file the postings of its terms' trigrams
 (a filter that reaches the files' statistics), keeps ids that have all of them, and tries
 :func:`search.matches` on those items only.  A search whose terms are all shorter than
 three characters has no trigram and reads the items.
@@ -42,7 +44,8 @@ def add(tables: Tables, new: DataFrame, items: str = "items", index: str = "post
         t.append(items, fresh.repartitionByRange("id").sortWithinPartitions("id"))
         # what was just written is read again, so that items and postings are of the same rows
         written = tables.spark.read.schema(tables.schemas[items]).parquet(f"{tables.path}/{t.added[items][-1]}")
-        t.append(index, postings(written).repartitionByRange("gram").sortWithinPartitions("gram", "id"))
+        parts = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+        t.append(index, postings(written.repartition(parts, "id")).sortWithinPartitions("gram", "id"))
 
     return tables.retrying(change)
 

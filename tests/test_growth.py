@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as V
 from newsloom.functions import text as X
-from newsloom.operators import bulletin
+from newsloom.operators import bulletin, search, search_index
 from newsloom.plans import queries as plans
+from newsloom.sources.commits import Tables
 
 
 def seconds(act):
@@ -65,3 +66,12 @@ def test_pages_of_an_address_in_one_pass(spark, sf_dir):
     plan = plans.queries()["preset_pages"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     # one of the documents, one of the labels
     assert plan.count("FileScan parquet") == 2
+
+
+def test_a_gram_of_all_items_is_written_by_several_tasks(spark, tmp_path):
+    items = spark.range(40).select("id", *[F.lit("abc").alias(c) if c == "title" else F.lit("").alias(c) for c in search.SEARCHED])
+    tables = Tables(spark, str(tmp_path / "t"), {"items": items.schema, "postings": search_index.POSTINGS}).init()
+    search_index.add(tables, items)
+    held = tables.read("postings").filter("gram = 'abc'").withColumn("file", F.input_file_name())
+    assert held.count() == 40 and held.select("file").distinct().count() > 1
+    assert search_index.find(tables, '"abc"').count() == 40
