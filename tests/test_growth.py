@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as V
 from newsloom.functions import text as X
+from newsloom import schema as S
 from newsloom.operators import bulletin, search, search_index
 from newsloom.plans import queries as plans
+from newsloom.sources import feed_files, feeds
 from newsloom.sources.commits import Tables
 
 
@@ -75,3 +77,25 @@ def test_a_gram_of_all_items_is_written_by_several_tasks(spark, tmp_path):
     held = tables.read("postings").filter("gram = 'abc'").withColumn("file", F.input_file_name())
     assert held.count() == 40 and held.select("file").distinct().count() > 1
     assert search_index.find(tables, '"abc"').count() == 40
+
+
+def test_a_poll_parses_files_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        made = "".join(f"<item><title>t{f}{k}</title><link>http://x/{f}/{k}</link></item>" for k in range(5))
+        (tmp_path / "in" / f"{f}.xml").write_text(f"<rss>{made}</rss>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def prepare(entries):
+        found = feeds.items(entries).withColumn("scraped_at", F.lit(None).cast("timestamp"))
+        return found.mapInArrow(run, found.schema)
+
+    tables = Tables(spark, str(tmp_path / "t"), {"log": S.ARTICLE_LOG, "feed_files": feed_files.FEED_FILES}).init()
+    assert feed_files.poll(spark, str(tmp_path / "in"), tables, "log", prepare) == {"listed": 3, "read": 3, "added": 15}
+    assert seen.value == 15
+    assert [r.arrival for r in tables.read("log").orderBy("url").select("arrival").collect()] == list(range(1, 16))
