@@ -55,18 +55,33 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession, drop: bool = True):
+    """What a query shuffles goes as soon as it is done, not when its plan is collected; the session's own setting comes back."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true" if drop else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
-    """Compressed tables for the intermediate results of one operator, which it drops itself."""
+    """Compressed tables for the intermediate results of one operator, which it drops itself; ``drop_shuffles``: and shuffles too."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, drop_shuffles: bool = False):
         self.spark, self.path, self.number = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+        self.drop_shuffles = drop_shuffles
 
     def keep(self, df: DataFrame, fewer: bool = False) -> DataFrame:
         """Writes and reads ``df``; ``fewer``: what comes out of a shuffle is far less than went in, and fewer files hold it."""
         self.number += 1
         if fewer:
             df = df.coalesce(fewer_parts(self.spark))
-        with small_batches(self.spark):
+        with small_batches(self.spark), shuffles_dropped(self.spark, self.drop_shuffles):
             df.write.option("compression", "zstd").parquet(f"{self.path}/{self.number}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}")
         out.workspace_number = self.number

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from newsloom.llm import quality
@@ -102,3 +103,41 @@ def test_cutoff_is_the_quantile_of_the_trusted_texts(spark):
     for lang in ("en", "fr"):
         own = sorted(r.perplexity for r in got if r.lang == lang and r.doc_id % 2 == 0)
         assert {r.cutoff for r in got if r.lang == lang} == {own[math.ceil(quality.QUANTILE * len(own)) - 1]}
+
+
+def test_disk_holds_one_part_of_the_documents(spark, monkeypatch):
+    """What a step shuffled is gone with it, and no step sends the keys of all documents; all parts are all documents."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k if k % 5 else None, sentence(rng), "en") for k in range(400)], "doc_id long, text string, lang string")
+    env, left, asked = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get(), [], []
+    files = lambda: [name for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if (name := f.rsplit("/")[-1]).startswith("shuffle_")]
+    keep, ask = quality.Workspace.keep, quality.asked
+
+    def kept(self, df, *more):
+        before = set(files())
+        out = keep(self, df, *more)
+        end = time.monotonic() + 5
+        while (new := set(files()) - before) and time.monotonic() < end:
+            time.sleep(0.1)
+        left.append(len(new))
+        return out
+
+    monkeypatch.setattr(quality.Workspace, "keep", kept)
+    monkeypatch.setattr(quality, "asked", lambda used, *more: asked.append(used.count()) or ask(used, *more))
+    monkeypatch.setattr(quality, "SHARD", 500)
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    got = quality.judge(docs, docs.select("doc_id").filter("doc_id % 2 = 0"))
+    assert got.count() == 400 and sum(asked) == 400 and max(asked) < 130
+    assert left and not any(left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == setting
+
+
+def test_a_block_sends_a_word_once_for_each_document(spark, monkeypatch):
+    """A hot word costs a shard as many places as documents hold it, not as it occurs; blocks end between documents."""
+    monkeypatch.setattr(quality, "PIECE", 15_000)
+    monkeypatch.setattr(quality, "BLOCK", 5_000)
+    docs = spark.createDataFrame([(k, "the of " * 1_000, "en") for k in range(6)], "doc_id long, text string, lang string").repartition(1)
+    rows = quality.asked(docs.withColumn("fold", quality.fold("doc_id")), 2).collect()
+    assert len({r.block for r in rows}) == 3 and sum(r.rows is not None for r in rows) == 3
+    # the, of, < the, the of, of the
+    assert sum(r.n_places for r in rows) == 6 * 5
