@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bitmaps, decontamination, jaccard, languages, queries, sentencepieces, substrings
-from newsloom.llm.shared import Workspace, fewer_parts, lower_batches, shared_folder
+from newsloom.llm.shared import Workspace, fewer_parts, lower_batch_bytes, lower_batches, shared_folder
 
+#: Distinct units that an encoding worker keeps: two workers share what the JVM leaves of an executor's memory.
+UNITS_KEPT = 200_000
 #: A document goes if no language of those chosen for it holds this part of its words.
 LEAST_SHARE = 0.4
 
@@ -25,10 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.learn(docs)
     if not model[0]:
         return docs
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    found = languages.predict(docs.select(row, docs["text"].alias("text")), model)
+    # under names that clash with none of the outputs; each text goes to the workers and back once
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    found = languages.predict(docs.toDF(*names.values()), model, names["text"])
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("languages")[0]["share"] >= LEAST_SHARE))
-    back = {c: F.col("row")[c].alias(c) for c in docs.columns}
+    back = {c: F.col(name).alias(c) for c, name in names.items()}
     return kept.select(*[F.coalesce(x, F.col("lang_pred")).alias("lang") if c == "lang" else x for c, x in back.items()])
 
 
@@ -65,7 +68,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids and their number."""
-    out = sentencepieces.encode_decode(docs, queries.piece_model_path())
+    out = sentencepieces.encode_decode(docs, queries.piece_model_path(), decoded=None, kept=UNITS_KEPT)
     return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), "agrees")
 
 
@@ -75,6 +78,7 @@ def _small(stage: Callable) -> Callable:
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         lower_batches(spark)
+        lower_batch_bytes(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -79,5 +79,8 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n) for n in names] + compute(batch), names=names + [f.name for f in fields]
                 )
+        # workers go on to other tasks: they should not hold what this one needed
+        whole = batch = compute = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType(kept + fields))

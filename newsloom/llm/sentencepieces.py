@@ -241,7 +241,8 @@ class Encoder:
             if not agrees or decoded[1:] != unit:
                 self.odd[unit] = (decoded, agrees)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str], list[bool]]:
+    def __call__(self, texts: list[str], decode: bool = True) -> tuple[np.ndarray, list[int], list[str], list[bool]]:
+        """All ids, each text's number of them, the decoded texts (none, if not asked for), and whether the library agrees."""
         split = [units_of(t) for t in texts]
         new = set().union(*split).difference(self.table) if split else set()
         if len(self.table) + len(new) > self.kept:
@@ -254,19 +255,30 @@ class Encoder:
         decoded, agrees = [], []
         for units in split:
             if odd and not odd.keys().isdisjoint(units):
-                decoded.append("".join(odd[u][0] if u in odd else " " + u for u in units)[1:])
                 agrees.append(all(odd[u][1] for u in units if u in odd))
+                if decode:
+                    decoded.append("".join(odd[u][0] if u in odd else " " + u for u in units)[1:])
             else:
-                decoded.append(" ".join(units))
                 agrees.append(True)
+                if decode:
+                    decoded.append(" ".join(units))
         return np.frombuffer(b"".join(encoded), np.int32), [len(e) // 4 for e in encoded], decoded, agrees
 
 
 def encode_decode(
-    docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", agrees: str = "agrees"
+    docs: DataFrame,
+    model_path: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = "decoded",
+    agrees: str = "agrees",
+    kept: int = UNITS_KEPT,
 ) -> DataFrame:
     """Adds each text's ids, the text they decode to, and whether the library gave the same for all its units.
 
+    ``decoded`` None: the decoded texts are compared unit by unit, but not returned.  ``kept``: distinct
+    units that a worker keeps.
+
     The model file is read on the driver and sent to the workers (a vocabulary
     file, of fixed size).  One narrow pass: no shuffle.
     """
@@ -275,18 +287,19 @@ def encode_decode(
     shared = docs.sparkSession.sparkContext.broadcast(proto)
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, kept)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column(text if text in batch.schema.names else "__input").fill_null("").to_pylist()
-            values, sizes, back, same = encoder(texts)
-            return [list_array(values, sizes, pa.int32()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
+            values, sizes, back, same = encoder(texts, bool(decoded))
+            texts = [pa.array(back, pa.string())] if decoded else []
+            return [list_array(values, sizes, pa.int32()), *texts, pa.array(same, pa.bool_())]
 
         return compute
 
     fields = [
         T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
-        T.StructField(decoded, T.StringType()),
+        *([T.StructField(decoded, T.StringType())] if decoded else []),
         T.StructField(agrees, T.BooleanType()),
     ]
     return add_columns(docs, fields, text, make, PIECE)

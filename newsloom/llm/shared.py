@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -34,6 +35,25 @@ def lower_batches(spark: SparkSession) -> str:
     return before
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that go to a Python worker at once where whole texts are handed on from stage to stage.
+BATCH_BYTES = 1 << 19
+
+
+def _number_of_bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def lower_batch_bytes(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, so that rows of whole texts take no more native memory than narrow ones.
+
+    What the JVM frees of large native blocks it gives back late or not at all, thread by thread.
+    """
+    if not 0 < _number_of_bytes(spark.conf.get(_BATCH_BYTES)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """Small Arrow batches for a while; the session's own setting comes back."""

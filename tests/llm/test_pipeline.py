@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from test_decontamination import brute as contaminated
 from test_jaccard import brute as components
@@ -96,3 +97,29 @@ def test_empty_and_odd_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
         assert stage(spark, odd, str(tmp_path)).filter("text IS NOT NULL").count() == 1
+
+
+def test_stages_hand_whole_texts_on_in_small_batches(spark, tmp_path):
+    """Executors ran out of memory: batches were bounded by rows alone, and decoded texts came back to be dropped."""
+    write(spark, str(tmp_path))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 400, 1, 1).selectExpr(
+        "id AS doc_id", "repeat('the house and the river ', 400) AS text", "'en' AS lang", "'s' AS source", "9600L AS n_chars"
+    )
+
+    def sizes(source):
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, before)
+            out = stage(spark, docs, str(tmp_path))
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 600_000
+        assert "decoded" not in out._jdf.queryExecution().analyzed().toString()
+        spark.conf.set(key, "64k")  # a smaller one of the session's own stays
+        corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+        assert spark.conf.get(key) in ("64k", "65536b")
+    finally:
+        spark.conf.set(key, before)
